@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import co_items, format_twins, packing, survivors, tokens
+from quillmill.llm import co_items, format_twins, languages, packing, survivors, tokens
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -60,8 +60,18 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_texts(_table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of documents whose label is missing or wrong, and of the stretches of mixed ones."""
+    return languages.corrected(_table(spark, sf, "documents"), _table(spark, sf, "language_labels")).select("doc_id", "seg_no", "lang")
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every stretch of every document."""
+    return languages.segmented(_table(spark, sf, "documents"), _table(spark, sf, "language_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_survivors, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p8_containers)
+    named = (p1_found, p1_survivors, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p8_containers, p9_found, p9_segments)
     return {f.__name__: f for f in named}
 
 
