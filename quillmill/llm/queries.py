@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import co_items, format_twins, languages, packing, survivors, tokens
+from quillmill.llm import co_items, format_twins, languages, names, packing, survivors, tokens
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,16 @@ def p1_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.survivors(_table(spark, sf, "dup_groups"), _table(spark, sf, "papers"), _table(spark, sf, "sources"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of names that mean the same entity."""
+    return names.linked(_table(spark, sf, "name_forms"))
+
+
+def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity of every name."""
+    return names.entities(_table(spark, sf, "name_forms"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of items that stand together at least 20 times as often as by chance, in at least 8 works."""
     return co_items.associated(_table(spark, sf, "mentions")).select("field_name", "item_a", "item_b")
@@ -71,7 +81,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_survivors, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p8_containers, p9_found, p9_segments)
+    named = (p1_found, p1_survivors, p3_found, p3_entities, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p8_containers, p9_found, p9_segments)
     return {f.__name__: f for f in named}
 
 
