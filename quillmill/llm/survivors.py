@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from quillmill.functions import clean
 from quillmill.operators.packed import PACKINGS, values_of
-from quillmill.plans import broadcast_if_small
+from quillmill.plans import broadcast_if_small, written
 
 # Remarks that there is no abstract, letters only.
 NO_ABSTRACT = ("noabstract", "abstractnotavailable", "noabstractavailable", "abstractunavailable", "noabstractprovided", "abstractnotprovided", "noabstractsupplied", "withoutabstract", "nosummary", "nosummaryavailable")
@@ -139,8 +139,11 @@ def within_another(values: DataFrame) -> DataFrame:
 
 
 def sound_values(groups: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
-    """The merged values of :func:`merged` that are no part of another member's value."""
-    values = merged(long_rows(members(groups, records, sources, ["abstract", "references", "doi"]), newest_time(records)))
+    """The merged values of :func:`merged` that are no part of another member's value.
+
+    The merged values are written once: the two searches and their joins read them instead of the records.
+    """
+    values = written(merged(long_rows(members(groups, records, sources, ["abstract", "references", "doi"]), newest_time(records))), "values")
     texts = begins_another(values.where("field_name <> 'references'"))
     sets = within_another(values.where("field_name = 'references'"))
     return texts.unionByName(sets.select(texts.columns)).where("not _part").drop("_part", "parts")
