@@ -21,9 +21,15 @@ from quillmill.functions import clean
 
 PLAIN = ("id", "display_name", "publication_year", "type", "language", "cited_by_count", "doi", "referenced_works", "abstract_inverted_index")
 
-_WORK = ", ".join(f"{f}:string" for f in PLAIN)
+#: What the flat tables are made of.
+CHILDREN = ("id", "referenced_works", "abstract_inverted_index")
+
+
+def _schema(fields: tuple[str, ...]) -> tuple[str, str]:
+    """The types of a work and of a payload, with text for every field."""
+    work = ", ".join(f"{f}:string" for f in fields)
+    return f"struct<{work}>", f"array<struct<{work}, results:array<struct<{work}>>>>"
 
-OBJECT = f"array<struct<{_WORK}, results:array<struct<{_WORK}>>>>"
 
 OPTIONS = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false", "mode": "PERMISSIVE"}
 
@@ -34,7 +40,7 @@ def work_id(c: Column) -> Column:
     return F.when(found != "", found)
 
 
-def works_of(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+def works_of(payloads: DataFrame, payload: str = "payload", fields: tuple[str, ...] = PLAIN) -> DataFrame:
     """One row for each work in a payload: a work, a list of works, or an object with ``results``.
 
     A byte order mark and blanks around the payload are ignored. Payloads that are null or not valid JSON, and parts that
@@ -44,24 +50,25 @@ def works_of(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     # within brackets, so that anything after the end of the value makes it invalid
     wrapped = payloads.select(F.concat(F.lit("["), text, F.lit("]")).alias("_json"))
     listed = F.col("_json").startswith("[[")
-    one = F.from_json("_json", OBJECT, OPTIONS)
-    many = F.from_json("_json", f"array<{OBJECT}>", OPTIONS)
+    kind, objects = _schema(fields)
+    one = F.from_json("_json", objects, OPTIONS)
+    many = F.from_json("_json", f"array<{objects}>", OPTIONS)
     tops = F.when(listed, F.when(F.size(many) == 1, many[0])).otherwise(F.when(F.size(one) == 1, one))
-    inner = lambda t: F.when(t["results"].isNotNull(), t["results"]).otherwise(F.array(F.struct(*(t[f].alias(f) for f in PLAIN))))
-    works = F.coalesce(F.flatten(F.transform(F.filter(tops, lambda t: t.isNotNull()), inner)), _piecewise(listed))
+    inner = lambda t: F.when(t["results"].isNotNull(), t["results"]).otherwise(F.array(F.struct(*(t[f].alias(f) for f in fields))))
+    works = F.coalesce(F.flatten(F.transform(F.filter(tops, lambda t: t.isNotNull()), inner)), _piecewise(listed, kind))
     return wrapped.select(F.explode(works).alias("_work")).where("_work is not null").select("_work.*")
 
 
-def _piecewise(listed: Column) -> Column:
+def _piecewise(listed: Column, kind: str) -> Column:
     """The works of a payload whose parts differ in type, such as a list with numbers in it: part by part."""
     texts = F.from_json("_json", "array<string>", OPTIONS)
     texts = F.when(listed, F.when(F.size(texts) == 1, F.from_json(texts[0], "array<string>", OPTIONS))).otherwise(F.when(F.size(texts) == 1, texts))
     objects = lambda ts: F.filter(ts, lambda t: t.startswith("{"))
     results = F.transform(objects(texts), lambda t: F.coalesce(F.from_json(t, "struct<results:array<string>>", OPTIONS)["results"], F.array(t)))
-    return F.transform(objects(F.flatten(results)), lambda t: F.from_json(t, f"struct<{_WORK}>", OPTIONS))
+    return F.transform(objects(F.flatten(results)), lambda t: F.from_json(t, kind, OPTIONS))
 
 
-def _references(c: Column) -> Column:
+def references_of(c: Column) -> Column:
     """The list as it was delivered: a list, or one text with any delimiters."""
     return F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.filter(F.split(c, r"[;,|\s]+"), lambda x: x != ""))
 
@@ -115,7 +122,7 @@ def flattened(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     without an id, parts that are absent, null or empty, and entries that are no id or no position give no row; a position outside a list counts as a list of one; works
     delivered again add only rows that differ; an empty table gives an empty table; other columns are not read.
     """
-    works = works_of(payloads, payload).select(work_id(F.col("id")).alias("work_id"), _references(F.col("referenced_works")).alias("refs"), F.from_json("abstract_inverted_index", "map<string,string>", OPTIONS).alias("words"))
+    works = works_of(payloads, payload, CHILDREN).select(work_id(F.col("id")).alias("work_id"), references_of(F.col("referenced_works")).alias("refs"), F.from_json("abstract_inverted_index", "map<string,string>", OPTIONS).alias("words"))
     nested = works.where("work_id is not null and (refs is not null or words is not null)")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
