@@ -219,9 +219,14 @@ def stretches(models: Models, text: str | None) -> list[tuple[int, str, float]]:
 
 def sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
     """(language, text) of at most ``size`` labelled documents of each language, chosen by the hash of their ids."""
-    known = documents.where("text is not null").join(F.broadcast(labels.select(F.col("label").alias("lang"), F.col("lang").alias("_l")).distinct()), "lang")
+    named = F.broadcast(labels.select(F.col("label").alias("lang"), F.col("lang").alias("_l")).distinct())
+    known = documents.where("text is not null").join(named, "lang")
+    counts = {r["_l"]: r["n"] for r in known.groupBy("_l").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
+    # about twice the sample passes the hash, so that no more than that is sent, however large the corpus is
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * size / n)))) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("_l")) * 1_000_003)
     order = Window.partitionBy("_l").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = known.select("_l", "doc_id", "text").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
+    rows = near.select("_l", "doc_id", "text").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
     return [(r["_l"], r["text"]) for r in rows.select("_l", "text").collect()]
 
 
