@@ -305,3 +305,60 @@ def main_path(weights: DataFrame, most: int = 60) -> list[tuple]:
         out.append((top["p"], top["x"]))
         top = best.where(F.col("x") == top["p"]).first()
     return out[::-1]
+
+
+def _edge_betweenness(adj: dict) -> dict:
+    """Betweenness of every undirected edge of a small graph."""
+    total: dict = defaultdict(float)
+    for s in adj:
+        order, preds, sigma, dist = [], defaultdict(list), defaultdict(float), {s: 0}
+        sigma[s] = 1.0
+        queue = deque([s])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in adj[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    preds[w].append(v)
+        delta: dict = defaultdict(float)
+        for w in reversed(order):
+            for v in preds[w]:
+                c = sigma[v] / sigma[w] * (1 + delta[w])
+                total[min(v, w), max(v, w)] += c
+                delta[v] += c
+    return total
+
+
+def _parts(adj: dict) -> list[set]:
+    seen, out = set(), []
+    for s in sorted(adj):
+        if s not in seen:
+            part, queue = {s}, deque([s])
+            while queue:
+                for w in adj[queue.popleft()]:
+                    if w not in part:
+                        part.add(w)
+                        queue.append(w)
+            seen |= part
+            out.append(part)
+    return out
+
+
+def first_split(edges: DataFrame, limit: int = 20_000) -> DataFrame:
+    """(item, part): the parts of a pruned graph after its most central edges are taken away until one more part appears.
+
+    Runs on the driver on at most ``limit`` edges and refuses more; ties of edges go to the greatest pair.
+    """
+    adj = {k: set(v) for k, v in _adjacency(edges, limit).items()}
+    start = len(_parts(adj))
+    while adj and len(_parts(adj)) == start and any(adj.values()):
+        scores = _edge_betweenness(adj)
+        v, w = max(scores, key=lambda e: (round(scores[e], 9), e))
+        adj[v].discard(w)
+        adj[w].discard(v)
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(x, k) for k, part in enumerate(_parts(adj)) for x in sorted(part)], f"item {kind}, part int")

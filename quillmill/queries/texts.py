@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import citation, composite, cooccur, entity, graph, ingest, select, text
+from quillmill.operators import citation, composite, cooccur, crosstab, entity, fuzzy, graph, ingest, select, temporal, text
 from quillmill.operators.packed import PACKINGS, unpacked
 from quillmill.sources.views import SQL, Views
 from quillmill.streaming import terms
@@ -224,6 +224,54 @@ def self_citations(v: Views) -> DataFrame:
     return citation.own_name_citations(authors, values.where("field_name = 'references'").select("doc_id", F.col("item").alias("ref")))
 
 
+@query("fuzzy_journals")
+def fuzzy_journals(v: Views) -> DataFrame:
+    return fuzzy.normalized_entities(v.table("papers"), "journal")
+
+
+@query("first_split")
+def first_split(v: Views) -> DataFrame:
+    edges = _country_edges(v)
+    return graph.first_split(edges.crossJoin(F.broadcast(edges.agg(F.avg("w").alias("_m")))).where("w > _m"))  # one row
+
+
+@query("typed_edges", """--views, y AS (SELECT a.doc_id, 'author' AS k, a.author AS x FROM b_authorships a UNION ALL SELECT doc_id, 'keyword', kwa FROM b_keywords UNION ALL SELECT doc_id, 'reference', ref FROM b_references UNION ALL SELECT doc_id, 'journal', journal FROM b_papers)
+SELECT 'paper_' || substr(md5(CAST(y.doc_id AS VARCHAR)), 1, 12) AS src, y.k || '_' || substr(md5(lower(trim(y.x))), 1, 12) AS dst, 'paper_' || y.k AS relation, p.year, count(*) AS n FROM y JOIN b_papers p USING (doc_id) GROUP BY ALL""")
+def typed_edges(v: Views) -> DataFrame:
+    return temporal.typed_edges(v.papers, {"author": (v.authors, "author"), "keyword": (v.keywords, "kwa"), "reference": (v.references, "ref"), "journal": (v.papers, "journal")})
+
+
+@query("typed_nodes", """--views, y AS (SELECT doc_id, journal, year FROM b_papers), e AS (SELECT 'paper_' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS src, 'journal_' || substr(md5(lower(trim(journal))), 1, 12) AS dst, year FROM y)
+SELECT node, split_part(node, '_', 1) AS kind, count(*) AS degree, min(year) AS first_year, max(year) AS last_year FROM (SELECT src AS node, year FROM e UNION ALL SELECT dst, year FROM e) GROUP BY node""")
+def typed_nodes(v: Views) -> DataFrame:
+    return temporal.typed_nodes(temporal.typed_edges(v.papers, {"journal": (v.papers, "journal")}))
+
+
+@query("bridge_scores")
+def bridge_scores(v: Views) -> DataFrame:
+    cited = entity.presence_counts(v.authors.select("doc_id", F.col("author").alias("item")), v.papers).select("item", F.col("citations").alias("citation"))
+    return temporal.bridge_scores(graph.betweenness(_strong_authors(v)), cited)
+
+
+@query("author_institution_pairs")
+def author_institution_pairs(v: Views) -> DataFrame:
+    lists = v.table("papers").select("record_id", ingest.split_values(F.col("author"), ";").alias("a"), ingest.split_values(F.col("institution"), ";").alias("i"))
+    return crosstab.zipped(lists, "a", "i", "record_id").groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+@query("affiliation_institutions")
+def affiliation_institutions(v: Views) -> DataFrame:
+    values = unpacked(v.table("papers"), "record_id", {"affiliation": PACKINGS["affiliation"]})
+    return ingest.detected_institutions(values).groupBy("institution").agg(F.count("*").alias("n"))
+
+
+@query("affiliation_countries")
+def affiliation_countries(v: Views) -> DataFrame:
+    values = unpacked(v.table("papers"), "record_id", {"affiliation": PACKINGS["affiliation"]})
+    names = v.table("name_forms").where("country is not null").select("country").distinct()
+    return ingest.detected_countries(values, names).groupBy("country").agg(F.count("*").alias("n"))
+
+
 @query("windowed_counts", "SELECT epoch(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS start, event_type AS item, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(v: Views) -> DataFrame:
     return terms.windowed_counts(v.table("events"), "event_type").withColumn("start", F.unix_timestamp("start").cast("double"))

@@ -128,3 +128,26 @@ def test_streams(spark, tmp_path):
     q = terms.windowed_counts(stream, "k").writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert [(r["item"], r["n"]) for r in spark.table("counted").collect()] == [("a", 2)]
+
+
+def test_fuzzy_against_all_pairs(spark):
+    from quillmill.operators import fuzzy
+
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abcde"), int(rng.integers(3, 8)))) for _ in range(60)})
+    df = spark.createDataFrame([(w,) for w in words] + [(None,), ("",)], "t string")
+    want = {(a, b) for k, a in enumerate(words) for b in words[k + 1 :] if round(fuzzy.block_ratio(a, b), 6) >= 0.8}
+    assert {(r["a"], r["b"]) for r in fuzzy.similar_pairs(df, "t", 0.8).collect()} == want
+    m = spark.createDataFrame([("Journal of Maps",)] * 3 + [("journal of mapps",), ("Letters",)], "item string")
+    assert rows(fuzzy.normalized_entities(m)) == [("journal of mapps", "Journal of Maps", 1)]
+
+
+def test_first_split_and_internal_references(spark):
+    from quillmill.operators import temporal
+
+    two = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "x"), ("x", "y"), ("y", "z"), ("x", "z")]
+    parts = {r["item"]: r["part"] for r in graph.first_split(spark.createDataFrame([(*e, 1) for e in two], "a string, b string, w long")).collect()}
+    assert {k for k, v in parts.items() if v == 0} == {"a", "b", "c"}
+    papers = spark.createDataFrame([(1, "10.1/A", "Maps of science", "adams", 2001), (2, None, "Networks of citations in maps", "baker", 2002), (3, None, "Unrelated", "cole", 2003)], "doc_id long, doi string, title string, author string, year int")
+    refs = spark.createDataFrame([(3, "r1", "10.1/a", None, None, None), (3, "r2", None, "Networks of citation in maps", None, None), (2, "r3", None, None, "Cole", 2003), (1, "r4", None, None, "none", 1)], "doc_id long, ref string, doi string, title string, author string, year int")
+    assert rows(temporal.internal_references(papers, refs)) == [(2, "r3", 3), (3, "r1", 1), (3, "r2", 2)]
