@@ -16,16 +16,16 @@ from quillmill.operators.entity import presence
 def edges(mentions: DataFrame, item: str = "item", least: int = 1) -> DataFrame:
     """(a, b, w), a < b: papers that name both."""
     per_paper = presence(mentions, item).groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("_i")).where(F.size("_i") > 1)
-    later = lambda x, k: F.transform(F.slice(F.col("_i"), k + 2, F.size("_i")), lambda y: F.struct(x.alias("a"), y.alias("b")))
-    pairs = per_paper.select(F.inline(F.flatten(F.transform("_i", later))))
+    # two generators in a row, so that the pairs of a paper never stand in memory together
+    pairs = per_paper.select("_i", F.posexplode("_i").alias("_k", "a")).select("a", F.explode(F.slice("_i", F.col("_k") + 2, F.size("_i"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("w")).where(F.col("w") >= least)
 
 
 def position_edges(mentions: DataFrame, item: str = "item") -> DataFrame:
     """(a, b, w): ordered pairs of different positions within papers; repeated items make loops and count again."""
     lists = mentions.where(F.col(item).isNotNull()).groupBy("doc_id").agg(F.collect_list(item).alias("_i")).where(F.size("_i") > 1)
-    others = lambda x, k: F.transform(F.filter(F.transform("_i", lambda y, j: F.struct(y.alias("y"), j.alias("j"))), lambda s: s["j"] != k), lambda s: F.struct(x.alias("a"), s["y"].alias("b")))
-    return lists.select(F.inline(F.flatten(F.transform("_i", others)))).groupBy("a", "b").agg(F.count("*").alias("w"))
+    ends = lists.select("_i", F.posexplode("_i").alias("_k", "a")).select("_k", "a", F.posexplode("_i").alias("_j", "b")).where("_k <> _j")
+    return ends.groupBy("a", "b").agg(F.count("*").alias("w"))
 
 
 def partners(pairs: DataFrame) -> DataFrame:

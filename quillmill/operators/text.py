@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,15 +90,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, neighbour, score, place): the k most similar vectors of each query vector; a few queries against all rows.
+#: Queries that are multiplied with the vectors at once.
+QUERY_BLOCK = 10_000
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, neighbour, score, place): the k most similar vectors of each query vector, itself aside; ties to smaller keys.
 
-    The queries are a stated set that is broadcast, so the vectors are read once and each task keeps its best only.
+    Exact search in blocks: at most ``block`` queries at a time reach the tasks, as one matrix, and each batch of vectors
+    sends on its k best for each query only. Vectors that are null or of length 0 have no neighbours and are none.
     """
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("_q")))
-    scored = vectors.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v")).join(q, F.col("neighbour") != F.col("query")).select("query", "neighbour", F.round(cosine(F.col("_q"), F.col("_v")), 6).alias("score"))
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    parts = None
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).where(F.col(vector).isNotNull()).select(key, vector).toPandas()
+        found = _best_of_block(own, vectors, k, key, vector)
+        parts = found if parts is None else parts.unionByName(found)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "neighbour"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    return parts.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _best_of_block(queries: pd.DataFrame, vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def scaled(x: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        m = np.stack([np.asarray(v, float) for v in x]) if len(x) else np.zeros((0, 1))
+        length = np.sqrt((m * m).sum(axis=1))
+        return m / np.where(length > 0, length, 1)[:, None], length > 0
+
+    ids, (matrix, good) = queries[key].to_numpy(), scaled(queries[vector])
+    sent = vectors.sparkSession.sparkContext.broadcast((ids[good], matrix[good]))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = sent.value
+        for d in it:
+            d = d[d[vector].notna()]
+            if not len(d) or not len(ids):
+                continue
+            rows, there = scaled(d[vector])
+            names = d[key].to_numpy()
+            score = np.round(matrix @ rows.T, 6)
+            score[:, ~there] = -np.inf
+            score[ids[:, None] == names[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, :k]
+            q = np.repeat(ids, order.shape[1])
+            s = np.take_along_axis(score, order, axis=1).ravel()
+            out = pd.DataFrame({"query": q, "neighbour": names[order.ravel()], "score": s})
+            yield out[np.isfinite(out["score"])]
+
+    return vectors.select(key, vector).mapInPandas(run, f"query {kind}, neighbour {kind}, score double")
 
 
 def trigram_pairs(a: DataFrame, b: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:

@@ -31,8 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as compressed parquet into the shared folder and read back.
 
-    Used instead of a checkpoint where rows hold text: a checkpoint is not compressed.
+    Used instead of a checkpoint where rows hold text: a checkpoint is not compressed. The table is deleted when
+    the application ends.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
