@@ -8,14 +8,26 @@ from pyspark.sql.window import Window
 
 from quillmill.functions import clean
 
-# Document types of other databases and the vocabulary they are harmonised to.
-DOCUMENT_TYPES = {
-    "journal article": "Article", "article; early access": "Article in press", "article; proceedings paper": "Proceedings Paper", "article; book chapter": "Book Chapter", "article; data paper": "Data Paper",
-    "review; early access": "Review", "review; book chapter": "Book Chapter", "editorial material": "Editorial", "editorial material; early access": "Editorial", "meeting abstract": "Abstract",
-    "proceedings paper": "Proceedings Paper", "conference paper": "Proceedings Paper", "letter; early access": "Letter", "book review": "Book Review", "correction": "Erratum", "published erratum": "Erratum",
-    "retracted publication": "Retracted", "retraction of publication": "Retracted", "retraction": "Retracted", "case reports": "Case Report", "comment": "Note", "news": "Note", "news item": "Note", "preprint": "Preprint",
+# Document types of other databases, by the type they are harmonised to.
+_TYPES = {
+    "Article in Press": ["Article; Early Access"],
+    "Proceedings Paper": ["Article; Proceedings Paper"],
+    "Article": [
+        "Article; Discussion", "Article; Letter", "Article; Excerpt", "Article; Chronology", "Article; Correction", "Article; Correction, Addition", "Article; Data Paper",
+        "Clinical Study", "Clinical Trial", "Clinical Trial Protocol", "Clinical Trial, Phase I", "Clinical Trial, Phase II", "Clinical Trial, Phase III", "Clinical Trial, Phase IV", "Clinical Trial, Veterinary",
+        "Comparative Study", "Controlled Clinical Trial", "Corrected and Republished Article", "Duplicate Publication", "Essay", "Historical Article", "Journal Article", "Letter", "Meta-Analysis",
+        "Randomized Controlled Trial", "Randomized Controlled Trial, Veterinary", "Research Support, N.I.H., Extramural", "Research Support, N.I.H., Intramural", "Research Support, Non-U.S. Gov't",
+        "Research Support, U.S. Gov't, Non-P.H.S.", "Research Support, U.S. Gov't, P.H.S.", "Research Support, U.S. Government", "Research Support, American Recovery and Reinvestment Act", "Technical Report", "Twin Study", "Validation Study",
+    ],
+    "Review": [
+        "Art Exhibit Review", "Dance Performance Review", "Music Performance Review", "Music Score Review", "Film Review", "TV Review, Radio Review", "TV Review, Radio Review, Video", "Theater Review, Video",
+        "Database Review", "Record Review", "Software Review", "Hardware Review", "Systematic Review", "Scientific Integrity Review",
+    ],
+    "Conference Paper": ["Clinical Conference", "Congress", "Consensus Development Conference", "Consensus Development Conference, NIH"],
 }
 
+DOCUMENT_TYPES = {raw: kind for kind, raws in _TYPES.items() for raw in raws}
+
 
 def citations(note: Column) -> Column:
     """The number in a note: ``cited by:`` off, the whole number before the first semicolon, else the first digits, else 0."""
@@ -27,9 +39,9 @@ def citations(note: Column) -> Column:
 
 
 def document_type(c: Column) -> Column:
-    """The harmonised type, or the type as it stands."""
+    """The harmonised type of an exact value, or the type as it stands."""
     table = F.create_map(*(F.lit(x) for pair in DOCUMENT_TYPES.items() for x in pair))
-    return F.coalesce(F.element_at(table, F.lower(clean.squeezed(c))), c)
+    return F.coalesce(F.element_at(table, c), c)
 
 
 def split_values(c: Column, delimiter: str, lower: bool = False, references: bool = False) -> Column:

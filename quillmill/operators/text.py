@@ -18,6 +18,13 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def stop_words(language: str) -> tuple[str, ...]:
+    """Frequent words of a language by its English name, from Spark's own lists."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return STOP_WORDS if language.lower() == "english" else tuple(StopWordsRemover.loadDefaultStopWords(language.lower()))
+
+
 def clean_text(c: Column, stop_words: tuple[str, ...] = (), lowercase: bool = True, special: bool = True, accents: bool = True, numbers: bool = True, custom: tuple[str, ...] = ()) -> Column:
     """Cleaning in the fixed order: small letters, stop words, custom words, special characters, accents, numbers.
 

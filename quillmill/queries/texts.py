@@ -272,6 +272,14 @@ def affiliation_countries(v: Views) -> DataFrame:
     return ingest.detected_countries(values, names).groupBy("country").agg(F.count("*").alias("n"))
 
 
+_KINDS = ", ".join("('" + a.replace("'", "''") + "', '" + b + "')" for a, b in ingest.DOCUMENT_TYPES.items())
+
+
+@query("document_types", f"SELECT p.record_id, coalesce(t.kind, p.document_type) AS document_type FROM papers p LEFT JOIN (VALUES {_KINDS}) t(raw, kind) ON t.raw = p.document_type")
+def document_types(v: Views) -> DataFrame:
+    return v.table("papers").select("record_id", ingest.document_type(F.col("document_type")).alias("document_type"))
+
+
 @query("windowed_counts", "SELECT epoch(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS start, event_type AS item, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(v: Views) -> DataFrame:
     return terms.windowed_counts(v.table("events"), "event_type").withColumn("start", F.unix_timestamp("start").cast("double"))

@@ -95,6 +95,9 @@ def test_small_rules(spark):
     assert [r[0] for r in notes.select(ingest.citations(F.col("n"))).collect()] == [52, 7, 0, 12, 0]
     one = spark.createDataFrame([("Café d'Été 12", "Smith 1998, p. 20010, 2005", "A, 2001; note;  B  c ;2004; (1999)")], "t string, r string, s string")
     assert one.select(text.clean_text(F.col("t")), citation.reference_year(F.col("r"), 2004), ingest.split_values(F.col("s"), ";", references=True)).first()[:] == ("caf d't", 1998, ["A, 2001", "B c"])
+    types = spark.createDataFrame([("Congress",), ("Letter",), ("congress",), (None,)], "t string")
+    assert [r[0] for r in types.select(ingest.document_type(F.col("t"))).collect()] == ["Conference Paper", "Article", "congress", None]
+    assert "les" in text.stop_words("French") and text.stop_words("english") == text.STOP_WORDS
     lists = spark.createDataFrame([(1, k, v) for k, v in enumerate(["UNKNOWN", "a", "UNKNOWN", "b", "UNKNOWN"])], "doc_id long, pos int, c string")
     assert [r["c"] for r in ingest.filled_forward(lists, "c").orderBy("pos").collect()] == ["UNKNOWN", "a", "a", "b", "b"]
 
