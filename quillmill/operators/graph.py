@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,37 +159,88 @@ def _from_each(edges: DataFrame, limit: int, search, columns: str) -> DataFrame:
     return nodes.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, columns)
 
 
-def _dependencies(adj: dict, s):
+def _arrays(edges: DataFrame, limit: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the nodes, then offsets, neighbours by number and weights of undirected edges in both directions."""
+    rows = edges.select("a", "b", F.col("w").cast("double").alias("w")).limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        raise ValueError(f"more than {limit} edges: prune the graph by weight first")
+    coded = pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks], rows.schema.field("a").type).combine_chunks().dictionary_encode()
+    a, b = np.split(coded.indices.to_numpy().astype(np.int64), 2)
+    other = a != b
+    src, dst, w = np.concatenate([a[other], b[other]]), np.concatenate([b[other], a[other]]), np.tile(rows["w"].to_numpy()[other], 2)
+    names, order = coded.dictionary.to_pylist(), np.argsort(src, kind="stable")
+    return names, np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(names)))]), dst[order], w[order]
+
+
+def _arcs_of(starts: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many arcs each of ``nodes`` has, and the places of them all."""
+    many = starts[nodes + 1] - starts[nodes]
+    return many, np.repeat(starts[nodes] - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _dependencies(starts: np.ndarray, ends: np.ndarray, s: int) -> np.ndarray:
     """What the shortest paths from ``s`` add to the betweenness of every other node."""
-    order, preds, sigma, dist = [], defaultdict(list), defaultdict(float), {s: 0}
-    sigma[s] = 1.0
-    queue = deque([s])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adj.get(v, ()):
-            if w not in dist:
-                dist[w] = dist[v] + 1
-                queue.append(w)
-            if dist[w] == dist[v] + 1:
-                sigma[w] += sigma[v]
-                preds[w].append(v)
-    delta = defaultdict(float)
-    for w in reversed(order):
-        for v in preds[w]:
-            delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-        if w != s:
-            yield (w, delta[w])
-    yield (s, 0.0)
-
-
-def betweenness(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:
-    """(item, betweenness) of an undirected graph, scaled to the number of pairs of other nodes."""
+    n = len(starts) - 1
+    seen, sigma, delta = np.zeros(n, bool), np.zeros(n), np.zeros(n)
+    seen[s], sigma[s] = True, 1.0
+    front, levels = np.array([s]), []
+    while len(front):
+        many, at = _arcs_of(starts, front)
+        new = ~seen[ends[at]]
+        v, w = np.repeat(front, many)[new], ends[at][new]
+        np.add.at(sigma, w, sigma[v])
+        seen[w] = True
+        front = np.unique(w)
+        levels.append((v, w))
+    for v, w in reversed(levels):
+        np.add.at(delta, v, sigma[v] / sigma[w] * (1 + delta[w]))
+    delta[s] = 0.0
+    return delta
+
+
+def betweenness(edges: DataFrame, limit: int = LOCAL_EDGES, digits: int | None = 6) -> DataFrame:
+    """(item, betweenness) of an undirected graph, scaled to the number of pairs of other nodes; ``digits`` None: not rounded."""
+    spark = edges.sparkSession
+    names, *arrays = _arrays(edges, limit)
+    n, kind = len(names), edges.schema["a"].dataType.simpleString()
+    graph = spark.sparkContext.broadcast((names, *arrays))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, starts, ends, _ = graph.value
+        total = np.zeros(len(names))
+        for d in it:
+            for s in d["id"]:
+                total += _dependencies(starts, ends, s)
+        yield pd.DataFrame({"item": names, "part": total})
+
+    parts = spark.range(0, n, 1, spark.sparkContext.defaultParallelism).mapInPandas(run, f"item {kind}, part double").groupBy("item").agg(F.sum("part").alias("_s"))
+    value = F.col("_s") / max((n - 1) * (n - 2), 1)
+    return parts.select("item", (value if digits is None else F.round(value, digits)).alias("betweenness"))
+
+
+def constraint_of_dense(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:
+    """(item, constraint), not rounded, of a graph that every task may hold: ``constraint`` where a join of all two-step paths is too long."""
+    spark = edges.sparkSession
+    names, *arrays = _arrays(edges, limit)
+    graph = spark.sparkContext.broadcast((names, *arrays))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, starts, ends, w = graph.value
+        n = len(names)
+        src = np.repeat(np.arange(n), np.diff(starts))
+        p = w / np.bincount(src, w, n)[src]
+        for d in it:
+            out = []
+            for i in d["id"]:
+                q, direct = ends[starts[i] : starts[i + 1]], p[starts[i] : starts[i + 1]]
+                many, at = _arcs_of(starts, q)
+                two = np.zeros(n)
+                np.add.at(two, ends[at], np.repeat(direct, many) * p[at])
+                out.append((names[i], float(((direct + two[q]) ** 2).sum()) if len(q) else None))
+            yield pd.DataFrame(out, columns=["item", "constraint"])
+
     kind = edges.schema["a"].dataType.simpleString()
-    parts = _from_each(edges, limit, _dependencies, f"item {kind}, part double").groupBy("item").agg(F.sum("part").alias("_s"))
-    n = parts.agg(F.count("*").alias("_n"))
-    pairs = (F.col("_n") - 1) * (F.col("_n") - 2)
-    return parts.crossJoin(F.broadcast(n)).select("item", F.round(F.when(pairs > 0, F.col("_s") / pairs).otherwise(0.0), 6).alias("betweenness"))  # one row
+    return spark.range(0, len(names), 1, spark.sparkContext.defaultParallelism).mapInPandas(run, f"item {kind}, constraint double")
 
 
 def _distances(adj: dict, s):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import citation, composite, cooccur, crosstab, entity, fuzzy, graph, ingest, select, temporal, text
 from quillmill.operators.packed import PACKINGS, unpacked
+from quillmill.plans import checkpointed
 from quillmill.sources.views import SQL, Views
 from quillmill.streaming import terms
 
@@ -151,10 +152,12 @@ def closeness(v: Views) -> DataFrame:
 
 @query("brokerage")
 def brokerage(v: Views) -> DataFrame:
-    edges = _strong_authors(v)
-    docs = entity.presence(v.authors.select("doc_id", F.col("author").alias("item"))).groupBy("item").agg(F.count("*").alias("n_docs"))
-    parts = graph.betweenness(edges).join(graph.degree(edges).select("item", "strength"), "item").join(graph.constraint(edges), "item").join(docs, "item")
-    return composite.brokerage(parts)
+    mentions = v.authors.select("doc_id", F.col("author").alias("item"))
+    edges = checkpointed(cooccur.edges(mentions))
+    docs = entity.presence(mentions).groupBy("item").agg(F.count("*").alias("n_docs"))
+    # every author has a row: one without partners has no paths and no strength, and its constraint counts as the greatest
+    parts = docs.join(graph.betweenness(edges, digits=None), "item", "left").join(graph.degree(edges).select("item", "strength"), "item", "left").join(graph.constraint_of_dense(edges), "item", "left")
+    return composite.brokerage(checkpointed(parts.fillna(0, ["betweenness", "strength"])))
 
 
 @query("label_communities")

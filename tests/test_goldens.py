@@ -154,3 +154,23 @@ def test_first_split_and_internal_references(spark):
     papers = spark.createDataFrame([(1, "10.1/A", "Maps of science", "adams", 2001), (2, None, "Networks of citations in maps", "baker", 2002), (3, None, "Unrelated", "cole", 2003)], "doc_id long, doi string, title string, author string, year int")
     refs = spark.createDataFrame([(3, "r1", "10.1/a", None, None, None), (3, "r2", None, "Networks of citation in maps", None, None), (2, "r3", None, None, "Cole", 2003), (1, "r4", None, None, "none", 1)], "doc_id long, ref string, doi string, title string, author string, year int")
     assert rows(temporal.internal_references(papers, refs)) == [(2, "r3", 3), (3, "r1", 1), (3, "r2", 2)]
+
+
+def test_brokerage_takes_every_pair_and_every_author(spark, small):
+    from quillmill.queries import queries
+    from quillmill.sources.views import Views
+
+    v = Views(spark, small)
+    mentions = v.authors.select("doc_id", F.col("author").alias("item"))
+    edges, got = cooccur.edges(mentions), {r["item"]: r["score"] for r in queries()["brokerage"](spark, small).collect()}
+    assert set(got) == {r["item"] for r in mentions.select("item").distinct().collect()}
+    docs = entity.presence(mentions).groupBy("item").agg(F.count("*").alias("n_docs"))
+    parts = docs.join(graph.betweenness(edges, digits=None), "item", "left").join(graph.degree(edges).select("item", "strength"), "item", "left").join(graph.constraint(edges), "item", "left")
+    want = {r["item"]: r["score"] for r in composite.brokerage(parts.fillna(0, ["betweenness", "strength"])).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_dense_constraint_is_the_joined_one(spark):
+    e = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("a", "c", 3), ("c", "d", 1)], "a string, b string, w long")
+    got = {r["item"]: round(r["constraint"], 6) for r in graph.constraint_of_dense(e).collect()}
+    assert got == {r["item"]: r["constraint"] for r in graph.constraint(e).collect()}
