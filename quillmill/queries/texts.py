@@ -252,8 +252,9 @@ def typed_nodes(v: Views) -> DataFrame:
 
 @query("bridge_scores")
 def bridge_scores(v: Views) -> DataFrame:
-    cited = entity.presence_counts(v.authors.select("doc_id", F.col("author").alias("item")), v.papers).select("item", F.col("citations").alias("citation"))
-    return temporal.bridge_scores(graph.betweenness(_strong_authors(v)), cited)
+    papers = v.papers.select(F.col("doc_id").alias("item"), "citation")
+    central = graph.directed_betweenness(v.cites, papers.select("item")).withColumn("betweenness", F.round("betweenness", 6))
+    return temporal.bridge_scores(central, papers)
 
 
 @query("author_institution_pairs")

@@ -174,3 +174,18 @@ def test_dense_constraint_is_the_joined_one(spark):
     e = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("a", "c", 3), ("c", "d", 1)], "a string, b string, w long")
     got = {r["item"]: round(r["constraint"], 6) for r in graph.constraint_of_dense(e).collect()}
     assert got == {r["item"]: r["constraint"] for r in graph.constraint(e).collect()}
+
+
+def test_directed_betweenness(spark):
+    links = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 5)], "src long, dst long")
+    nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "item long")
+    got = {r["item"]: r["betweenness"] * 20 for r in graph.directed_betweenness(links, nodes).collect()}
+    assert got == pytest.approx({1: 0, 2: 0.5, 3: 0.5, 4: 2, 5: 0, 6: 0})
+
+
+def test_bridge_scores_of_every_paper(spark, small):
+    from quillmill.queries import queries
+    from quillmill.sources.views import Views
+
+    got = queries()["bridge_scores"](spark, small).select("item").collect()
+    assert sorted(r["item"] for r in got) == sorted(r["doc_id"] for r in Views(spark, small).papers.collect())
