@@ -202,9 +202,10 @@ def first_of_duplicates(v: Views) -> DataFrame:
 
 @query("union_corpora")
 def union_corpora(v: Views) -> DataFrame:
-    papers = v.table("papers").select("record_id", "title", "doi", "journal")
-    old = papers.where("record_id <= 600")
-    return select.union_corpora(old, papers.select("record_id", "title", "doi"), "record_id").select("record_id", "journal")
+    """The export of one vendor is the old corpus, all other sources are the new one."""
+    papers = v.table("papers")
+    vendor = F.coalesce(F.lower(F.trim("source")).isin("scopus", "scopus export"), F.lit(False))
+    return select.union_corpora(papers.where(vendor), papers.where(~vendor), "record_id")
 
 
 @query("exact_clean_journals", """WITH c AS (SELECT journal AS candidate, count(*) AS n, trim(regexp_replace(regexp_replace(replace(lower(journal), '&', ' and '), '[''’`]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k FROM papers WHERE journal IS NOT NULL GROUP BY journal),

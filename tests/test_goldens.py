@@ -189,3 +189,16 @@ def test_bridge_scores_of_every_paper(spark, small):
 
     got = queries()["bridge_scores"](spark, small).select("item").collect()
     assert sorted(r["item"] for r in got) == sorted(r["doc_id"] for r in Views(spark, small).papers.collect())
+
+
+def test_union_corpora_keeps_columns_and_prefers_the_old(spark, small):
+    from quillmill.queries import queries
+
+    papers = spark.read.parquet(f"{small}/papers.parquet")
+    got, raw = queries()["union_corpora"](spark, small).collect(), {r["record_id"]: r for r in papers.collect()}
+    assert set(got[0].asDict()) == set(papers.columns)
+    assert all(r["journal"] == (raw[r["record_id"]]["journal"] or "UNKNOWN") for r in got if raw[r["record_id"]]["journal"] != "")
+    old = lambda r: (r["source"] or "").strip(" ").lower() in ("scopus", "scopus export")
+    titles = lambda rs: {r["title"] for r in rs if old(r) and r["title"]}
+    shared = titles(raw.values()) & {r["title"] for r in raw.values() if not old(r)}
+    assert shared and not any(r["title"] in shared and not old(r) for r in got)
