@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmill.plans import checkpointed
 
@@ -74,29 +75,38 @@ def power_iteration(edges: DataFrame, rounds: int = 30, katz: float | None = Non
     return scores.crossJoin(F.broadcast(length)).select("item", F.round(F.col("score") / F.col("_l"), 6).alias("score"))
 
 
-def salsa(links: DataFrame, rounds: int = 20) -> DataFrame:
+def salsa(links: DataFrame, rounds: int = 150, tolerance: float = 1e-6) -> DataFrame:
     """(item, hub, authority) of (src, dst): hubs over out-degrees, authorities over in-degrees, each summing to 1.
 
-    The hub step uses the authorities before they are scaled (the literal rule).
+    Ends when both change by less than ``tolerance`` in all, or after ``rounds``. The hub step uses the authorities before they
+    are scaled (the literal rule).
     """
     links = links.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("_o"))
     into = links.groupBy("dst").agg(F.count("*").alias("_i"))
     both = checkpointed(links.join(out, "src").join(into, "dst"))
-    nodes = checkpointed(links.select(F.col("src").alias("item")).union(links.select("dst")).distinct())
-    n = nodes.count()
-    hubs = nodes.withColumn("hub", F.lit(1.0 / max(n, 1)))
-    auth = None
-    for k in range(rounds):
-        auth = both.join(hubs.select(F.col("item").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("item")).agg(F.sum(F.col("hub") / F.col("_o")).alias("authority"))
-        raw = both.join(auth.select(F.col("item").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("item")).agg(F.sum(F.col("authority") / F.col("_i")).alias("hub"))
-        total = raw.agg(F.sum("hub").alias("_t"))
-        hubs = raw.crossJoin(F.broadcast(total)).select("item", (F.col("hub") / F.col("_t")).alias("hub"))  # one row
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            hubs, auth = checkpointed(hubs), checkpointed(auth)
-    total = auth.agg(F.sum("authority").alias("_t"))
-    auth = auth.crossJoin(F.broadcast(total)).select("item", (F.col("authority") / F.col("_t")).alias("authority"))
-    return nodes.join(hubs, "item", "left").join(auth, "item", "left").select("item", F.round(F.coalesce("hub", F.lit(0.0)), 6).alias("hub"), F.round(F.coalesce("authority", F.lit(0.0)), 6).alias("authority"))
+    nodes = checkpointed(both.select(F.col("src").alias("item")).union(both.select("dst")).distinct())
+    n = max(nodes.count(), 1)
+    scores = nodes.select("item", F.lit(1.0 / n).alias("hub"), F.lit(1.0 / n).alias("authority"))
+    for _ in range(rounds):
+        auth = both.join(scores.select(F.col("item").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("item")).agg(F.sum(F.col("hub") / F.col("_o")).alias("_a"))
+        hubs = both.join(auth.select(F.col("item").alias("dst"), "_a"), "dst").groupBy(F.col("src").alias("item")).agg(F.sum(F.col("_a") / F.col("_i")).alias("_h"))
+        raw = checkpointed(scores.join(hubs, "item", "left").join(auth, "item", "left").fillna(0.0, ["_h", "_a"]))
+        h, a = raw.agg(F.sum("_h"), F.sum("_a")).first()
+        new = raw.withColumns({"_h": F.col("_h") / (h or 1.0), "_a": F.col("_a") / (a or 1.0)})
+        change = new.agg(F.sum(F.abs(F.col("_h") - F.col("hub"))), F.sum(F.abs(F.col("_a") - F.col("authority")))).first()
+        scores = new.select("item", F.col("_h").alias("hub"), F.col("_a").alias("authority"))
+        if max(x or 0.0 for x in change) < tolerance:
+            break
+    return scores
+
+
+def decade_tops(scores: DataFrame, years: DataFrame, top: int = 5) -> DataFrame:
+    """(decade, kind, place, item, score): the best hubs and authorities of each decade; ``years``: (item, year), all nodes; ties to smaller items."""
+    rows = years.where("year is not null and year <> -1").join(scores, "item", "left").fillna(0.0, ["hub", "authority"])
+    long = rows.select((F.floor(F.col("year") / 10) * 10).cast("int").alias("decade"), "item", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("score")) for k in ("hub", "authority")))))
+    order = Window.partitionBy("decade", "kind").orderBy(F.col("score").desc(), "item")
+    return long.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("decade", "kind", "place", "item", "score")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -126,7 +126,12 @@ def pagerank(v: Views) -> DataFrame:
 
 @query("salsa")
 def salsa(v: Views) -> DataFrame:
-    return graph.salsa(v.cites, rounds=10)
+    return graph.salsa(v.cites)
+
+
+@query("salsa_decades")
+def salsa_decades(v: Views) -> DataFrame:
+    return graph.decade_tops(graph.salsa(v.cites), v.papers.select(F.col("doc_id").alias("item"), "year"))
 
 
 @query("eigenvector_centrality")

@@ -202,3 +202,12 @@ def test_union_corpora_keeps_columns_and_prefers_the_old(spark, small):
     titles = lambda rs: {r["title"] for r in rs if old(r) and r["title"]}
     shared = titles(raw.values()) & {r["title"] for r in raw.values() if not old(r)}
     assert shared and not any(r["title"] in shared and not old(r) for r in got)
+
+
+def test_salsa_iterates_to_the_tolerance(spark):
+    links = spark.createDataFrame([(k, 100 + k) for k in range(3)] + [(k + 1, 100 + k) for k in range(3)], "src long, dst long")
+    got = graph.salsa(links).collect()
+    assert sum(abs(r["authority"] - (1 / 3 if r["item"] >= 100 else 0)) for r in got) < 1e-4
+    assert sum(abs(r["hub"] - {0: 1, 3: 1}.get(r["item"], 2) / 6 * (r["item"] < 100)) for r in got) < 1e-4
+    tops = graph.decade_tops(graph.salsa(links, 2), spark.createDataFrame([(k, 1999) for k in range(4)] + [(100, 2003), (200, -1)], "item long, year int"), 5).collect()
+    assert {(r["decade"], r["kind"]) for r in tops} == {(1990, "hub"), (1990, "authority"), (2000, "hub"), (2000, "authority")} and len(tops) == 10
