@@ -50,16 +50,23 @@ PACKINGS = {
     "affiliation": Packing(),
 }
 
-_FULL_NAMES = (
-    r"^(?:\s|,)*(?:(?:\p{Lu}\.[\s-]*)+[^,.]+(?:(?:\s*,)+\s*(?:\p{Lu}\.[\s-]*)+[^,.]+)+"
-    r"|[^,.]+\s\p{Lu}{1,3}(?:(?:\s*,)+\s*[^,.]+\s\p{Lu}{1,3})+)(?:\s|,)*$"
-)
+#: The two ways in which a name is full without a comma; possessive, so that no long text recurses in the matcher.
+INITIALS_FIRST, INITIALS_LAST = r"^(?:\p{Lu}\.[\s-]*+)++[^.]+$", r"^[^.]+\s\p{Lu}{1,3}$"
+
+#: Pieces that an inner fold puts together before an outer one does, so that long cells are not copied for every piece.
+FOLD_BLOCK = 256
+
+#: What may stand between a delimiter and the quote that opens a value: blanks and a list mark.
+OPENING = r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)]|[·*])?\s*$"
+
+#: Characters of text since the last delimiter that are carried; longer ones are no list mark.
+TAIL = 64
 
 
 def _plain_quotes(c: Column) -> Column:
     """Enclosing quotes of any shape as straight ones; apostrophes and inner quotes stay."""
     curly = F.regexp_replace(c, f"(^|{EDGE})(\\s*(?:\\[\\d+\\]\\s*)?)[“«„]([^”»“\"]*)[”»“](?=\\s*(?:{EDGE}|$))", '$1$2"$3"')
-    single = F.regexp_replace(c, f"(^|{EDGE})(\\s*)['‘]((?:[^'’\"]|['’](?!\\s*(?:{EDGE}|$)))+)['’](?=\\s*(?:{EDGE}|$))", '$1$2"$3"')
+    single = F.regexp_replace(c, f"(^|{EDGE})(\\s*)['‘]((?:[^'’\"]++|['’](?!\\s*(?:{EDGE}|$)))++)['’](?=\\s*(?:{EDGE}|$))", '$1$2"$3"')
     return F.when(c.contains('"'), c).when(c.contains("“") | c.contains("«") | c.contains("„"), curly).when(c.contains("'") | c.contains("‘"), single).otherwise(c)
 
 
@@ -109,14 +116,36 @@ def _folded(cell: Column, p: Packing) -> Column:
             ),
         )
 
+    def carried(t: Column) -> Column:
+        bare = F.when(F.length(t) > TAIL, F.regexp_replace(t, r"^\s+|\s+$", "")).otherwise(t)
+        return F.when(F.length(bare) > TAIL, "x").otherwise(bare)
+
     def fold(acc: Column, x: Column) -> Column:
-        opens = acc.rlike(f"(?:^|{SEP})\\s*(?:\\[\\d+\\]|\\(\\d+\\)|\\d+[.)]|[·*])?\\s*$")
-        goes_on = F.concat(F.rtrim(acc, F.lit(HOLE)), x["text"])
+        opens = ~acc["hole"] & acc["tail"].rlike(OPENING)
         # quotes that do not enclose a value, such as those in the middle of a title, belong to it
-        literal = F.when(acc.endswith(HOLE), goes_on).when(opens, F.concat(acc, x["text"])).otherwise(F.concat(acc, F.lit('"'), x["text"], F.lit('"')))
-        return F.when(x["literal"], literal).when(x["doubled"], F.concat(acc, F.lit(f'"{HOLE}'))).otherwise(F.concat(acc, x["text"]))
+        literal = F.when(acc["hole"] | opens, x["text"]).otherwise(F.concat(F.lit('"'), x["text"], F.lit('"')))
+        text = F.when(x["literal"], literal).when(x["doubled"], F.lit('"')).otherwise(x["text"])
+        closed = F.when(x["literal"] & ~opens | x["doubled"], F.lit("x"))
+        tail = F.when(x["text"].contains(SEP), F.substring_index(x["text"], SEP, -1)).otherwise(F.concat(acc["tail"], x["text"]))
+        return F.struct(F.coalesce(closed, carried(tail)).alias("tail"), x["doubled"].alias("hole"), F.concat(acc["out"], text).alias("out"))
+
+    def joined(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(acc["tail"].alias("tail"), acc["hole"].alias("hole"), F.lit("").alias("out")), fold)
+        return _let(inner, lambda r: F.struct(r["tail"].alias("tail"), r["hole"].alias("hole"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    def blocks(ps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(ps), F.lit(FOLD_BLOCK)), lambda k: F.slice(ps, k, F.lit(FOLD_BLOCK)))
+
+    start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("hole"), F.lit("").alias("out"))
+    return _let(_let(F.split(cell, '"'), parts), lambda ps: F.aggregate(blocks(ps), start, joined)["out"])
+
 
-    return F.aggregate(_let(F.split(cell, '"'), parts), F.lit(""), fold)
+def _names(v: Column) -> Column:
+    """The names of a value: its parts between commas where there are two or more and each is a full name, else the value itself."""
+    one = lambda x: F.regexp_replace(x, r"^[\s,]+|[\s,]+$", "")
+    parts = F.filter(F.transform(F.split(v, ","), one), lambda x: x != "")
+    full = lambda ps: (F.size(ps) > 1) & (F.forall(ps, lambda x: x.rlike(INITIALS_FIRST)) | F.forall(ps, lambda x: x.rlike(INITIALS_LAST)))
+    return F.when(v.contains(","), _let(parts, lambda ps: F.when(full(ps), ps).otherwise(F.array(one(v))))).otherwise(F.array(one(v)))
 
 
 def _tidy(v: Column) -> Column:
@@ -133,8 +162,7 @@ def values_of(cell: Column, packing: Packing) -> Column:
     joined = _let(_plain_quotes(cell), lambda q: F.when(q.contains('"'), _folded(q, packing)).otherwise(_delimited(q, packing, None)))
     values = F.split(joined, SEP)
     if packing.names:
-        one = lambda v: F.regexp_replace(v, r"^[\s,]+|[\s,]+$", "")
-        values = F.flatten(F.transform(values, lambda v: F.when(v.rlike(_FULL_NAMES), F.transform(F.split(v, ","), one)).otherwise(F.array(one(v)))))
+        values = F.flatten(F.transform(values, _names))
     values = F.filter(F.transform(values, _tidy), lambda v: v != "")
     return F.when(clean.is_missing(cell), F.array().cast("array<string>")).otherwise(values)
 

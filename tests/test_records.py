@@ -80,3 +80,19 @@ def test_nested(spark):
 def test_clean_columns(spark):
     df = spark.createDataFrame([(" UnKnown ", "https://doi.org/10.1/AB."), (" ", "DOI: {10.22/x y}"), ("x", "10.9096"), (None, None)], "a string, d string")
     assert [tuple(r) for r in df.select(clean.is_missing(F.col("a")), clean.bare_doi(F.col("d"))).collect()] == [(True, "10.1/ab"), (True, None), (False, None), (True, None)]
+
+
+def test_very_long_cells(spark):
+    names = [f"Adams{'abcdefghij'[k % 10]} T{'ABC'[k % 3]}" for k in range(20_000)]
+    first = [f"A. B. Baker{'abcdefghij'[k % 10]}" for k in range(20_000)]
+    quoted = [f'Part {k}; "" and more' for k in range(20_000)]
+    long = "it isn't " * 5000 + "the end"
+    cells = [
+        ("author", ", ".join(names), names), ("author", ", ".join(first), first), ("author_keywords", "; ".join(f'"{q}"' for q in quoted), [q.replace('""', '"') for q in quoted]),
+        ("author_keywords", f"'{long}'; b", [long, "b"]), ("author", "A. " * 20_000 + "Baker, C. Cole", ["A. " * 20_000 + "Baker", "C. Cole"]), ("author_keywords", "'" * 20_000 + "x", None),
+        ("references", "\n".join(f'[{k % 1000}] "A {k}, 2001; part"' for k in range(20_000)), [f"A {k}, 2001; part" for k in range(20_000)]),
+    ]
+    for k, (f, cell, want) in enumerate(cells):
+        df = spark.createDataFrame([(cell,)], "c string").select(packed.values_of(F.col("c"), packed.PACKINGS[f]).alias("v"))
+        got = df.first()["v"]
+        assert want is None or got == want, (k, got[:3])
