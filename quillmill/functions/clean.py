@@ -28,6 +28,15 @@ def is_missing(c: Column) -> Column:
     return F.coalesce(c.rlike(f"(?i)^{BLANK}*(?:{words})?{BLANK}*$"), F.lit(True))
 
 
+# Letters with a mark, by the letter they are without it; beyond these, compatibility forms stay.
+_MARKED = {"a": "àáâãäåāăą", "c": "çćĉċč", "d": "ď", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭį", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň", "o": "òóôõöōŏő", "r": "ŕŗř", "s": "śŝşšș", "t": "ţťț", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž"}
+
+
+def without_accents(c: Column) -> Column:
+    """Small Latin letters without their marks, marks that stand by themselves off too."""
+    return F.regexp_replace(F.translate(c, "".join(_MARKED.values()), "".join(k * len(v) for k, v in _MARKED.items())), "\\p{Mn}+", "")
+
+
 def present(c: Column) -> Column:
     """The cell as it is, or null where it is missing."""
     return F.when(~is_missing(c), c)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmill.plans import checkpointed, split_join
+
 
 def top_references(references: DataFrame, n: int) -> DataFrame:
     """(ref, n): the most cited references."""
@@ -112,13 +114,18 @@ def reference_diversity(cites: DataFrame, papers: DataFrame, source: str = "jour
     return out.select(F.col("src").alias("doc_id"), "n_refs", F.round("mean_age", 6).alias("mean_age"), F.round("std_age", 6).alias("std_age"), F.round("entropy", 6).alias("entropy"), F.round(F.when(F.col("_k") > 1, F.col("entropy") / F.ln(F.col("_k").cast("double"))).otherwise(0.0), 6).alias("evenness"))
 
 
-def disruption(cites: DataFrame, least_citers: int = 1) -> DataFrame:
-    """(doc_id, ni, nj, nk, di): later papers citing the focal paper only, both it and its references, or its references only."""
-    links = cites.select("src", "dst", "src_year", "dst_year")
+def disruption(cites: DataFrame, least_citers: int = 1, strict_future: bool = True) -> DataFrame:
+    """(doc_id, ni, nj, nk, di): later papers citing the focal paper only, both it and its references, or its references only.
+
+    ``strict_future`` false also takes papers of the focal paper's own year. A reference that very many papers cite meets its citers
+    block by block.
+    """
+    links = checkpointed(cites.select("src", "dst", "src_year", "dst_year"))
     citers = links.select(F.col("dst").alias("focal"), F.col("src").alias("citer"))
     refs = links.select(F.col("src").alias("focal"), F.col("dst").alias("ref"), F.col("src_year").alias("focal_year"))
     other = links.select(F.col("src").alias("citer"), F.col("dst").alias("ref"), F.col("src_year").alias("citer_year"))
-    of_refs = refs.join(other, "ref").where("citer_year > focal_year and citer <> focal").select("focal", "citer").distinct()
+    later = "citer_year > focal_year" if strict_future else "citer_year >= focal_year"
+    of_refs = split_join(refs, other, ["ref"]).where(f"{later} and citer <> focal").select("focal", "citer").distinct()
     marked = citers.withColumn("_f", F.lit(1)).join(of_refs.withColumn("_r", F.lit(1)), ["focal", "citer"], "full")
     both = F.col("_f").isNotNull() & F.col("_r").isNotNull()
     counted = marked.groupBy("focal").agg(F.count_if(F.col("_r").isNull()).alias("ni"), F.count_if(both).alias("nj"), F.count_if(F.col("_f").isNull()).alias("nk"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions import clean
 from quillmill.operators.entity import presence
 
 
@@ -79,13 +80,13 @@ def profile(mentions: DataFrame, papers: DataFrame, name: str, others: dict[str,
 
 
 def clean_name(c: Column) -> Column:
-    """Small letters, & as and, apostrophes off, anything else than letters and digits a blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "['’`]", ""), "[^\\p{L}\\p{N}]+", " "))
+    """Small letters without accents, & as and, apostrophes off, anything else than letters and digits a blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(clean.without_accents(F.lower(c)), F.lit("&"), F.lit(" and ")), "['’`]", ""), "[^\\p{L}\\p{N}]+", " "))
 
 
 def exact_clean_names(mentions: DataFrame, item: str = "item") -> DataFrame:
-    """(candidate, normalized): spellings that agree after cleaning, named by the most frequent of them."""
-    counted = mentions.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("candidate")).agg(F.count("*").alias("n")).withColumn("_k", clean_name(F.col("candidate")))
+    """(candidate, normalized): spellings that agree after cleaning, named by the most frequent of them; what cleans to nothing agrees with nothing."""
+    counted = mentions.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("candidate")).agg(F.count("*").alias("n")).withColumn("_k", clean_name(F.col("candidate"))).where("_k <> ''")
     best = counted.groupBy("_k").agg(F.max_by("candidate", F.struct("n", "candidate")).alias("normalized"))
     return counted.join(best, "_k").where("candidate <> normalized").select("candidate", "normalized")
 

@@ -1,23 +1,38 @@
 """Edges from things that stand together: collaboration, coupling, co-citation, neighbours.
 
-Mentions are made distinct within papers and rare items are dropped before a paper's items meet each other, so
-the join on papers sees only what can count. A paper with very many items makes many pairs; they are
-combined on the map side before they are shuffled.
+Mentions are made distinct within papers, and items of too few papers for any pair that counts are dropped before a paper's
+items meet, so the pairs are only those that can count. A paper with very many items makes many pairs: its list is cut into
+slices that meet each other in different tasks, and pairs are combined on the map side before they are shuffled.
+
+Papers that are compared by their references meet through the rarest of them only, as many as the least similarity asks for;
+papers with the same references are one class, whose first paper stands for all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.operators.entity import presence
+from quillmill.plans import broadcast_if_small, split_join, written
+
+#: Items of a paper in one slice.
+SLICE = 500
 
 
 def edges(mentions: DataFrame, item: str = "item", least: int = 1) -> DataFrame:
     """(a, b, w), a < b: papers that name both."""
-    per_paper = presence(mentions, item).groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("_i")).where(F.size("_i") > 1)
+    once = presence(mentions, item)
+    if least > 1:
+        once = once.join(once.groupBy("item").agg(F.count("*").alias("_c")).where(F.col("_c") >= least).select("item"), "item", "left_semi")
+    per_paper = once.groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("_i")).where(F.size("_i") > 1)
+    starts = lambda since: F.sequence(since, F.size("_i"), F.lit(SLICE))
+    short = per_paper.where(F.size("_i") <= SLICE).select(F.col("_i").alias("_x"), F.col("_i").alias("_y"), F.lit(True).alias("_same"))
+    slices = per_paper.where(F.size("_i") > SLICE).select("_i", F.explode(starts(F.lit(1))).alias("_s")).select("_i", "_s", F.explode(starts(F.col("_s"))).alias("_t"))
+    cut = slices.repartition("_s", "_t").select(F.slice("_i", F.col("_s"), SLICE).alias("_x"), F.slice("_i", F.col("_t"), SLICE).alias("_y"), (F.col("_s") == F.col("_t")).alias("_same"))
     # two generators in a row, so that the pairs of a paper never stand in memory together
-    pairs = per_paper.select("_i", F.posexplode("_i").alias("_k", "a")).select("a", F.explode(F.slice("_i", F.col("_k") + 2, F.size("_i"))).alias("b"))
+    first = short.unionAll(cut).select("_y", "_same", F.posexplode("_x").alias("_k", "a"))
+    pairs = first.select("a", F.explode(F.when(F.col("_same"), F.slice("_y", F.col("_k") + 2, SLICE)).otherwise(F.col("_y"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("w")).where(F.col("w") >= least)
 
 
@@ -40,27 +55,63 @@ def ego(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     return both.join(chosen.select("item"), "item", "left_semi")
 
 
-def coupling(references: DataFrame, least: float = 0.3, widest: int | None = None) -> DataFrame:
-    """(a, b, shared, cosine), a < b: papers by the cosine of their reference counts.
+def reference_classes(references: DataFrame, once: bool = False) -> DataFrame:
+    """(doc_id, class_id): papers with the same references as often, or, with ``once``, at all; the smallest id names the class."""
+    return _classes(references, once).select("doc_id", "class_id")
+
+
+def _classes(references: DataFrame, once: bool) -> DataFrame:
+    """(doc_id, class_id, _l): the list of (ref, n) too; classes are joined by two hashes of the lists, with no list shuffled twice."""
+    counts = references.where("ref is not null").groupBy("doc_id", "ref").agg((F.lit(1) if once else F.count("*")).cast("bigint").alias("n"))
+    lists = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ref", "n"))).alias("_l"))
+    marked = written(lists.withColumns({"_h": F.xxhash64("_l"), "_g": F.xxhash64(F.lit("second"), "_l")}), "lists")
+    first = marked.groupBy("_h", "_g").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("_n"))
+    # a list that is alone is its own class, so only copies are looked up
+    return marked.join(first.where("_n > 1").drop("_n"), ["_h", "_g"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "_l")
 
-    ``widest``: references cited by more papers are left out of the meeting, though not of the norms; None keeps all.
+
+def _compared(references: DataFrame, once: bool, prefix: Column) -> DataFrame:
+    """(a, b, _a, _b), a < b: the lists of class representatives that share a reference in the first ``prefix`` of their rarest.
+
+    ``prefix`` is a column of ``_r``, the list (papers that have it, ref, n), rarest first.
     """
-    counts = references.groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
-    norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    met = counts
-    if widest is not None:
-        met = counts.join(counts.groupBy("ref").agg(F.count("*").alias("_c")).where(F.col("_c") <= widest), "ref", "left_semi")
-    x, y = met.toDF("a", "ref", "na"), met.toDF("b", "ref", "nb")
-    dots = x.join(y, "ref").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    scored = dots.join(norms.toDF("a", "_na"), "a").join(norms.toDF("b", "_nb"), "b").withColumn("cosine", F.col("dot") / (F.col("_na") * F.col("_nb")))
+    reps = written(_classes(references, once).where("doc_id = class_id").select("doc_id", "_l"), "representatives")
+    listed = reps.select("doc_id", F.explode("_l").alias("_x")).select("doc_id", "_x.ref", "_x.n")
+    rare = listed.groupBy("ref").agg(F.count("*").alias("_c"))
+    ranked = listed.join(rare, "ref").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_c", "ref", "n"))).alias("_r"))
+    probes = written(ranked.select("doc_id", F.explode(F.slice("_r", F.lit(1), prefix)).alias("_x")).where("_x._c > 1").select("doc_id", "_x.ref"), "probes")
+    met = split_join(probes.toDF("a", "ref"), probes.toDF("b", "ref"), ["ref"]).where("a < b").select("a", "b").distinct()
+    return met.join(reps.toDF("a", "_a"), "a").join(reps.toDF("b", "_b"), "b")
+
+
+def _shared(weight) -> Column:
+    """The sum of ``weight`` of the counts on both sides over the common references of two lists."""
+    other = F.map_from_entries("_b")
+    return F.aggregate("_a", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(weight(x["n"], F.try_element_at(other, x["ref"])), F.lit(0)))
+
+
+def coupling(references: DataFrame, least: float = 0.3) -> DataFrame:
+    """(a, b, shared, cosine), a < b: papers by the cosine of their reference counts, each the first of its class.
+
+    A class holds the papers with equal counts, whose cosine is 1 (see :func:`reference_classes`). Two lists with that cosine share
+    one of the references that are left when the most common ones go as long as those alone stay below it; so nothing is lost.
+    """
+    square = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x["n"] * x["n"])
+    n = F.size("_r")
+    # the squares of the references from each place on, against the whole
+    below = F.filter(F.sequence(F.lit(1), n), lambda k: square(F.slice("_r", k, n)) < least * least * square(F.col("_r")) * (1 - 1e-9))
+    pairs = _compared(references, False, F.coalesce(F.array_min(below) - 1, n))
+    scored = pairs.select("a", "b", _shared(lambda n, m: F.when(m.isNotNull(), 1).cast("bigint")).alias("shared"), (_shared(lambda n, m: n * m) / (F.sqrt(square(F.col("_a")).cast("double")) * F.sqrt(square(F.col("_b")).cast("double")))).alias("cosine"))
     return scored.where(F.col("cosine") >= least).select("a", "b", "shared", F.round("cosine", 6).alias("cosine"))
 
 
 def shared_references(references: DataFrame, least: int) -> DataFrame:
-    """(a, b, shared), a < b: papers with at least ``least`` references in common."""
-    once = references.select("doc_id", "ref").distinct()
-    x, y = once.toDF("a", "ref"), once.toDF("b", "ref")
-    return x.join(y, "ref").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    """(a, b, shared), a < b: papers with at least ``least`` references in common, each the first of those with the same set.
+
+    Two papers that share so many share one of all but the ``least`` - 1 most common references of either.
+    """
+    pairs = _compared(references, True, F.greatest(F.lit(0), F.size("_r") - (least - 1)))
+    return pairs.select("a", "b", _shared(lambda n, m: F.when(m.isNotNull(), 1).cast("bigint")).alias("shared")).where(F.col("shared") >= least)
 
 
 def cocited_with(references: DataFrame, target: str) -> DataFrame:
@@ -77,6 +128,6 @@ def incidence(references: DataFrame, least: int = 1) -> DataFrame:
 
 
 def map_edges(pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """Edges with the coordinates of both ends; ``places`` is a small table (item, lat, lon)."""
-    p = F.broadcast(places)
+    """Edges with the coordinates of both ends; ``places`` is a table (item, lat, lon)."""
+    p = broadcast_if_small(places)
     return pairs.join(p.toDF("a", "lat_a", "lon_a"), "a").join(p.toDF("b", "lat_b", "lon_b"), "b")

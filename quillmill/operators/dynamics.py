@@ -68,9 +68,12 @@ def two_state_bursts(r: np.ndarray, d: np.ndarray, s: float = 2.0, gamma: float
 def bursts(terms: DataFrame, papers: DataFrame, least: int = 5, s: float = 2.0, gamma: float = 1.0) -> DataFrame:
     """(item, first_year, last_year, strength): bursts of every term with at least ``least`` mentions.
 
-    Papers of each year are counted on the JVM side; Python gets one short series for each term.
+    Papers of each year are counted on the JVM side; Python gets one short series for each term. Papers without a year count nowhere.
     """
-    per_year = papers.where("year is not null").groupBy("year").agg(F.count("*").alias("d")).orderBy("year").collect()  # as many rows as years
+    if s <= 1 or gamma <= 0:
+        raise ValueError("s is greater than 1 and gamma greater than 0")
+    papers = papers.where("year is not null")
+    per_year = papers.groupBy("year").agg(F.count("*").alias("d")).orderBy("year").collect()  # as many rows as years
     years = list(range(per_year[0]["year"], per_year[-1]["year"] + 1)) if per_year else []
     d = np.zeros(len(years))
     for row in per_year:

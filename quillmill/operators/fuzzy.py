@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators.composite import clean_name
 from quillmill.operators.graph import components
+from quillmill.plans import checkpointed, split_join
 
 
 def block_ratio(a: str, b: str) -> float:
@@ -62,7 +63,8 @@ def similar_pairs(texts: DataFrame, text: str, least: float, method: str = "rati
     keep = F.col("_n") - F.ceil(F.col("_n") * (floor / (2 - floor)) - 1e-6).cast("int") + 1
     prefix = listed.join(F.broadcast(counted), "x").groupBy("t", "_s", "_n").agg(F.array_sort(F.collect_list(F.struct("_c", "x"))).alias("_l"))  # as many rows as letters times occurrences
     probes = prefix.select("t", "_s", "_n", F.explode(F.slice("_l", F.lit(1), keep)).alias("_x")).select("t", "_s", "_n", F.col("_x.x").alias("x"))
-    met = probes.toDF("a", "_s", "_na", "x").join(probes.toDF("b", "_s", "_nb", "x"), ["_s", "x"]).where("a < b").where(F.least("_na", "_nb") * (2 - floor) + 1e-6 >= F.greatest("_na", "_nb") * floor).select("a", "b").distinct()
+    probes = checkpointed(probes)
+    met = split_join(probes.toDF("a", "_s", "_na", "x"), probes.toDF("b", "_s", "_nb", "x"), ["_s", "x"]).where("a < b").where(F.least("_na", "_nb") * (2 - floor) + 1e-6 >= F.greatest("_na", "_nb") * floor).select("a", "b").distinct()
     return met.withColumn("score", F.round(_score(method)(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least)
 
 

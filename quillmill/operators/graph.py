@@ -7,8 +7,9 @@ sources over the tasks.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.plans import checkpointed
+from quillmill.plans import checkpointed, dropped
 
 #: Edges of a graph that every task may hold.
 LOCAL_EDGES = 2_000_000
 
+#: Arcs of the longest chain that is followed; beyond it there is an error, never a part of a result.
+LONGEST_CHAIN = 10_000
+
 #: Iterations between two cuts of the lineage.
 CUT_EVERY = 5
 
@@ -39,22 +43,25 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(item, rank) after a fixed number of rounds; ``links`` is (src, dst), sinks spread their rank evenly."""
-    links = checkpointed(links.select("src", "dst").distinct())
-    nodes = checkpointed(links.select(F.col("src").alias("item")).union(links.select("dst")).distinct())
+    """(item, rank) after a fixed number of rounds; ``links`` is (src, dst), sinks spread their rank evenly.
+
+    Links lie by their source with its degree, nodes by their name, so a round moves only ranks; each is cut, for the next reads it twice.
+    """
+    pairs = checkpointed(links.select("src", "dst").distinct())
+    degrees = pairs.groupBy("src").agg(F.count("*").alias("_d"))
+    out = checkpointed(pairs.join(degrees, "src").repartition("src"))
+    dropped(pairs)
+    nodes = checkpointed(out.select(F.col("src").alias("item"), F.lit(False).alias("_sink")).unionAll(out.select("dst", F.lit(True))).groupBy("item").agg(F.min("_sink").alias("_sink")))
     n = nodes.count()
-    if n == 0:
-        return nodes.withColumn("rank", F.lit(0.0))
-    out = links.join(links.groupBy("src").agg(F.count("*").alias("_d")), "src")
-    sinks = nodes.join(links.select(F.col("src").alias("item")).distinct(), "item", "left_anti").withColumn("_sink", F.lit(True))
-    base = checkpointed(nodes.join(sinks, "item", "left"))
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for k in range(rounds if n else 0):
         loose = ranks.where("_sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_l"))
         sent = out.join(ranks.select(F.col("item").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("item")).agg(F.sum(F.col("rank") / F.col("_d")).alias("_s"))
-        ranks = base.join(sent, "item", "left").crossJoin(F.broadcast(loose)).select("item", "_sink", ((1 - damping) / n + damping * (F.coalesce("_s", F.lit(0.0)) + F.col("_l") / n)).alias("rank"))  # one row
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            ranks = checkpointed(ranks)
+        new = nodes.join(sent, "item", "left").crossJoin(F.broadcast(loose)).select("item", "_sink", ((1 - damping) / n + damping * (F.coalesce("_s", F.lit(0.0)) + F.col("_l") / n)).alias("rank"))  # one row
+        new, old = checkpointed(new), ranks
+        if k:
+            dropped(old)
+        ranks = new
     return ranks.select("item", "rank")
 
 
@@ -88,10 +95,14 @@ def salsa(links: DataFrame, rounds: int = 150, tolerance: float = 1e-6) -> DataF
     nodes = checkpointed(both.select(F.col("src").alias("item")).union(both.select("dst")).distinct())
     n = max(nodes.count(), 1)
     scores = nodes.select("item", F.lit(1.0 / n).alias("hub"), F.lit(1.0 / n).alias("authority"))
+    last = None
     for _ in range(rounds):
         auth = both.join(scores.select(F.col("item").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("item")).agg(F.sum(F.col("hub") / F.col("_o")).alias("_a"))
         hubs = both.join(auth.select(F.col("item").alias("dst"), "_a"), "dst").groupBy(F.col("src").alias("item")).agg(F.sum(F.col("_a") / F.col("_i")).alias("_h"))
         raw = checkpointed(scores.join(hubs, "item", "left").join(auth, "item", "left").fillna(0.0, ["_h", "_a"]))
+        if last is not None:
+            dropped(last)
+        last = raw
         h, a = raw.agg(F.sum("_h"), F.sum("_a")).first()
         new = raw.withColumns({"_h": F.col("_h") / (h or 1.0), "_a": F.col("_a") / (a or 1.0)})
         change = new.agg(F.sum(F.abs(F.col("_h") - F.col("hub"))), F.sum(F.abs(F.col("_a") - F.col("authority")))).first()
@@ -109,25 +120,30 @@ def decade_tops(scores: DataFrame, years: DataFrame, top: int = 5) -> DataFrame:
     return long.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("decade", "kind", "place", "item", "score")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(item, component): the smallest item reachable over undirected (a, b).
 
     Large and small stars: every round hangs neighbours on the smallest, so chains shrink by half and more; the rounds end
-    when nothing changes.
+    when the links stay as they are, which their number and two sums of hashes tell.
     """
+
+    def mark(links: DataFrame) -> tuple:
+        h = lambda *salt: F.sum(F.xxhash64("u", "v", *salt).cast("decimal(38,0)"))
+        return tuple(links.agg(F.count("*"), h(), h(F.lit("second"))).first())
+
     links = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(most_rounds):
+    before = mark(links)
+    while before[0]:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = checkpointed(small)
-        # a graph of stars stays as it is
-        if new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty():
-            links = new
+        dropped(links)
+        links, last, before = new, before, mark(new)
+        if last == before:
             break
-        links = new
     items = edges.select(F.col("a").alias("item")).union(edges.select("b")).distinct()
     return items.join(links.groupBy(F.col("u").alias("item")).agg(F.min("v").alias("_c")), "item", "left").select("item", F.coalesce("_c", "item").alias("component"))
 
@@ -208,8 +224,27 @@ def _dependencies(starts: np.ndarray, ends: np.ndarray, s: int) -> np.ndarray:
     return delta
 
 
-def betweenness(edges: DataFrame, limit: int = LOCAL_EDGES, digits: int | None = 6) -> DataFrame:
-    """(item, betweenness) of an undirected graph, scaled to the number of pairs of other nodes; ``digits`` None: not rounded."""
+def _loads(starts: np.ndarray, ends: np.ndarray, s: int) -> np.ndarray:
+    """The load of every other node if every node sends one unit to ``s`` and each hands it on evenly to the nodes that are nearer."""
+    n = len(starts) - 1
+    seen, load = np.zeros(n, bool), np.zeros(n)
+    seen[s] = True
+    front, levels = np.array([s]), []
+    while len(front):
+        many, at = _arcs_of(starts, front)
+        new = ~seen[ends[at]]
+        v, w = np.repeat(front, many)[new], ends[at][new]
+        seen[w] = True
+        front = np.unique(w)
+        levels.append((v, w))
+    for v, w in reversed(levels):
+        np.add.at(load, v, (1 + load[w]) / np.bincount(w, minlength=n)[w])
+    load[s] = 0.0
+    return load
+
+
+def _summed_over_sources(edges: DataFrame, limit: int, search, name: str, digits: int | None) -> DataFrame:
+    """(item, name): the sum over all sources of what ``search`` gives each node, scaled to the number of pairs of other nodes."""
     spark = edges.sparkSession
     names, *arrays = _arrays(edges, limit)
     n, kind = len(names), edges.schema["a"].dataType.simpleString()
@@ -220,12 +255,22 @@ def betweenness(edges: DataFrame, limit: int = LOCAL_EDGES, digits: int | None =
         total = np.zeros(len(names))
         for d in it:
             for s in d["id"]:
-                total += _dependencies(starts, ends, s)
+                total += search(starts, ends, s)
         yield pd.DataFrame({"item": names, "part": total})
 
     parts = spark.range(0, n, 1, spark.sparkContext.defaultParallelism).mapInPandas(run, f"item {kind}, part double").groupBy("item").agg(F.sum("part").alias("_s"))
     value = F.col("_s") / max((n - 1) * (n - 2), 1)
-    return parts.select("item", (value if digits is None else F.round(value, digits)).alias("betweenness"))
+    return parts.select("item", (value if digits is None else F.round(value, digits)).alias(name))
+
+
+def betweenness(edges: DataFrame, limit: int = LOCAL_EDGES, digits: int | None = 6) -> DataFrame:
+    """(item, betweenness) of an undirected graph, scaled to the number of pairs of other nodes; ``digits`` None: not rounded."""
+    return _summed_over_sources(edges, limit, _dependencies, "betweenness", digits)
+
+
+def load(edges: DataFrame, limit: int = LOCAL_EDGES, digits: int | None = 6) -> DataFrame:
+    """(item, load): as :func:`betweenness`, but each node hands what it got on evenly, whatever the number of paths beyond."""
+    return _summed_over_sources(edges, limit, _loads, "load", digits)
 
 
 def directed_betweenness(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -314,51 +359,72 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     labels = links.select(F.col("src").alias("item")).distinct().withColumn("community", F.col("item"))
     for k in range(rounds):
         votes = links.join(labels.select(F.col("item").alias("src"), "community"), "src").groupBy("dst", "community").agg(F.sum("w").alias("_v"))
-        least = votes.groupBy("dst").agg(F.max("_v").alias("_m"))
-        labels = votes.join(least, "dst").where("_v = _m").groupBy(F.col("dst").alias("item")).agg(F.min("community").alias("community"))
+        labels = votes.groupBy(F.col("dst").alias("item")).agg(F.min(F.struct((-F.col("_v")).alias("_v"), "community")).alias("_b")).select("item", F.col("_b.community").alias("community"))
         if k % CUT_EVERY == CUT_EVERY - 1:
             labels = checkpointed(labels)
     return labels
 
 
-def depths(cites: DataFrame, most: int = 30) -> DataFrame:
-    """(item, depth): the longest chain of citations below each paper of an acyclic graph (src cites dst)."""
-    links = checkpointed(cites.select("src", "dst").distinct())
-    items = links.select(F.col("src").alias("item")).union(links.select("dst")).distinct()
-    depth = checkpointed(items.withColumn("depth", F.lit(0)))
-    for k in range(most):
-        up = links.join(depth.select(F.col("item").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("item")).agg((F.max("depth") + 1).alias("depth"))
-        new = checkpointed(items.join(up, "item", "left").select("item", F.coalesce("depth", F.lit(0)).alias("depth")))
-        changed = not new.exceptAll(depth).isEmpty()
-        depth = new
-        if not changed:
-            break
-    return depth
+def _levels(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """``start`` and all that ``step`` makes of it round by round until nothing is left; an error after ``most`` rounds.
+
+    Walks of an acyclic graph end; one with a cycle never does, and a walk of as many arcs as there are nodes has met one.
+    """
+    level, found = start, [start]
+    for k in range(most + 1):
+        level = checkpointed(step(level))
+        if level.isEmpty():
+            return _united(found)
+        found.append(level)
+        if len(found) == 4 * CUT_EVERY:
+            found = [checkpointed(_united(found))]
+    raise ValueError(f"a cycle, or chains of more than {most} arcs")
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
+def _nodes(arcs: DataFrame, a: str, b: str) -> DataFrame:
+    return checkpointed(arcs.select(F.col(a).alias("x")).union(arcs.select(b)).distinct())
 
-def path_weights(cites: DataFrame, kind: str = "spc", most: int = 30) -> DataFrame:
+
+def depths(cites: DataFrame, most: int = LONGEST_CHAIN) -> DataFrame:
+    """(item, depth): the longest chain of citations below each paper of an acyclic graph (src cites dst).
+
+    A paper stands in level k if a chain of k citations ends there. A cycle, or a chain longer than ``most``, is an error.
+    """
+    links = checkpointed(cites.select("src", "dst").distinct().repartition("dst"))
+    items = _nodes(links, "src", "dst")
+    up = lambda level: links.join(level.select(F.col("x").alias("dst"), "k"), "dst").groupBy(F.col("src").alias("x")).agg((F.max("k") + 1).alias("k"))
+    found = _levels(items.withColumn("k", F.lit(0)), up, min(most, items.count()))
+    return found.groupBy(F.col("x").alias("item")).agg(F.max("k").alias("depth"))
+
+
+def path_weights(cites: DataFrame, kind: str = "spc", most: int = LONGEST_CHAIN) -> DataFrame:
     """(u, v, weight): knowledge flows u -> v of an acyclic citation graph (v cites u), weighted by path counts.
 
     spc: source-to-sink paths through the arc; splc: paths that start at any ancestor; spnp: ancestors times descendants, each
-    counting itself. The counts are filled level by level, one join each.
+    counting itself. The counts are filled level by level, one join each. A cycle, or a chain longer than ``most``, is an error.
     """
     flow = checkpointed(cites.select(F.col("dst").alias("u"), F.col("src").alias("v")).distinct())
+    nodes = _nodes(flow, "u", "v")
+    most = min(most, nodes.count())
     if kind == "spnp":
         return _reach_weights(flow, most)
 
     def counts(edges: DataFrame, start: str) -> DataFrame:
         """Paths into each node: 1 at the sources ("source"), or 1 at every node ("any"), plus those of its predecessors."""
-        nodes = edges.select(F.col("u").alias("x")).union(edges.select("v")).distinct()
-        into = edges.groupBy(F.col("v").alias("x")).agg(F.count("*").alias("_k"))
-        marked = checkpointed(nodes.join(into, "x", "left").select("x", F.lit(1.0).alias("c") if start == "any" else F.when(F.col("_k").isNull(), 1.0).otherwise(0.0).alias("c")))
-        level, total = marked, marked
-        for _ in range(most):
-            moved = edges.join(level.select(F.col("x").alias("u"), "c"), "u").groupBy(F.col("v").alias("x")).agg(F.sum("c").alias("c")).where("c > 0")
-            level = checkpointed(moved)
-            if level.isEmpty():
-                break
-            total = checkpointed(total.unionByName(level).groupBy("x").agg(F.sum("c").alias("c")))
-        return total
+        first = nodes if start == "any" else nodes.join(edges.select(F.col("v").alias("x")).distinct(), "x", "left_anti")
+        own = checkpointed(edges.repartition("u"))
+        moved = lambda level: own.join(level.select(F.col("x").alias("u"), "c"), "u").groupBy(F.col("v").alias("x")).agg(F.sum("c").alias("c"))
+        # a graph of cycles alone has no sources; its arcs would be lost without a word
+        if start == "source" and not edges.isEmpty() and first.isEmpty():
+            raise ValueError("a cycle: no node is without predecessors")
+        return _levels(first.withColumn("c", F.lit(1.0)), moved, most).groupBy("x").agg(F.sum("c").alias("c"))
 
     down = counts(flow, "any" if kind == "splc" else "source")
     up = counts(flow.select(F.col("v").alias("u"), F.col("u").alias("v")), "source")
@@ -366,38 +432,78 @@ def path_weights(cites: DataFrame, kind: str = "spc", most: int = 30) -> DataFra
 
 
 def _reach_weights(flow: DataFrame, most: int) -> DataFrame:
-    reach = flow.select(F.col("u").alias("x"), F.col("v").alias("y"))
-    total = checkpointed(reach)
-    step = total
-    for _ in range(most):
-        step = step.join(flow.select(F.col("u").alias("y"), "v"), "y").select("x", F.col("v").alias("y")).distinct().join(total, ["x", "y"], "left_anti")
-        step = checkpointed(step)
+    by_start = checkpointed(flow.select(F.col("u").alias("y"), "v").repartition("y"))
+    step, total = flow.select(F.col("u").alias("x"), F.col("v").alias("y")), None
+    for k in range(most + 1):
+        total = step if total is None else checkpointed(total.unionByName(step)) if k % CUT_EVERY == 0 else total.unionByName(step)
+        step = checkpointed(step.join(by_start, "y").select("x", F.col("v").alias("y")).distinct().join(total, ["x", "y"], "left_anti"))
         if step.isEmpty():
             break
-        total = checkpointed(total.unionByName(step))
     anc = total.groupBy(F.col("y").alias("u")).agg((F.count("*") + 1.0).alias("_a"))
     desc = total.groupBy(F.col("x").alias("v")).agg((F.count("*") + 1.0).alias("_b"))
     return flow.join(anc, "u", "left").join(desc, "v", "left").select("u", "v", (F.coalesce("_a", F.lit(1.0)) * F.coalesce("_b", F.lit(1.0))).alias("weight"))
 
 
-def main_path(weights: DataFrame, most: int = 60) -> list[tuple]:
-    """The arcs of the chain of the greatest sum of weights, from its source to its best sink; ties to smaller ids."""
-    arcs = checkpointed(weights.select("u", "v", "weight"))
-    nodes = arcs.select(F.col("u").alias("x")).union(arcs.select("v")).distinct()
-    best = checkpointed(nodes.select("x", F.lit(0.0).alias("s"), F.lit(None).cast(weights.schema["u"].dataType).alias("p")))
-    for _ in range(most):
-        step = arcs.join(best.select(F.col("x").alias("u"), "s"), "u").groupBy(F.col("v").alias("x")).agg(F.max(F.struct((F.col("s") + F.col("weight")).alias("s"), (-F.col("u")).alias("n"))).alias("_b"))
-        new = checkpointed(nodes.join(step, "x", "left").select("x", F.coalesce("_b.s", F.lit(0.0)).alias("s"), (-F.col("_b.n")).alias("p")))
-        same = new.exceptAll(best).isEmpty()
-        best = new
-        if same:
+def main_path(weights: DataFrame, most: int = LONGEST_CHAIN) -> DataFrame:
+    """(step, u, v): the arcs of the chain of the greatest sum of weights, from its source to its best sink; ties to smaller ids.
+
+    Every node points to the best node before it; the chain is read off by doubling the pointers, a few joins for any length.
+    """
+    arcs = checkpointed(weights.select("u", "v", "weight").repartition("u"))
+    nodes = _nodes(arcs, "u", "v")
+    start = nodes.select("x", F.lit(0.0).alias("s"), F.lit(None).cast(weights.schema["u"].dataType).alias("p"))
+
+    def further(level: DataFrame) -> DataFrame:
+        better = F.min(F.struct((-(F.col("s") + F.col("weight"))).alias("s"), F.col("u").alias("p"))).alias("_b")
+        return arcs.join(level.select(F.col("x").alias("u"), "s"), "u").groupBy(F.col("v").alias("x")).agg(better).select("x", (-F.col("_b.s")).alias("s"), "_b.p")
+
+    reached = _levels(start, further, min(most, nodes.count()))
+    best = checkpointed(reached.groupBy("x").agg(F.min(F.struct((-F.col("s")).alias("s"), "p")).alias("_b")).select("x", (-F.col("_b.s")).alias("s"), "_b.p"))
+    hop, on = best.where("p is not null").select("x", "p"), checkpointed(best.orderBy(F.col("s").desc(), "x").limit(1).select("x"))
+    while not hop.isEmpty():
+        on = checkpointed(on.unionAll(on.join(hop, "x").select(F.col("p").alias("x"))).distinct())
+        hop = checkpointed(hop.join(hop.toDF("p", "_q"), "p").select("x", F.col("_q").alias("p")))
+    place = F.row_number().over(Window.orderBy("s", "x")) - 1  # one row for each arc of the path
+    return best.where("p is not null").join(on, "x", "left_semi").select(place.alias("step"), F.col("p").alias("u"), F.col("x").alias("v"))
+
+
+def greedy_modularity(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:
+    """(item, community): the two communities whose joining adds most to modularity are joined until none adds any.
+
+    For collapsed graphs, read as arrays and refused beyond ``limit`` edges: every step depends on all before it. Communities are
+    numbered from 1, the largest first, then the one with the smallest item; ties of joins go to the smaller items.
+    """
+    names, starts, ends, w = _arrays(edges, limit)
+    order = {k: r for r, k in enumerate(sorted(range(len(names)), key=lambda k: names[k]))}
+    links: dict[int, dict[int, float]] = {order[k]: defaultdict(float) for k in range(len(names))}
+    for v, many in enumerate(np.diff(starts)):
+        for at in range(starts[v], starts[v] + many):
+            links[order[v]][order[int(ends[at])]] += float(w[at])
+    total = sum(sum(x.values()) for x in links.values()) or 1.0
+    share = {v: sum(x.values()) / total for v, x in links.items()}
+    gain = lambda a, b: 2 * (links[a][b] / total - share[a] * share[b])
+    heap = [(-gain(a, b), a, b) for a in links for b in links[a] if a < b]
+    heapq.heapify(heap)
+    parts = {v: [v] for v in links}
+    while heap:
+        negative, a, b = heapq.heappop(heap)
+        if a not in parts or b not in parts or -negative != gain(a, b):
+            continue
+        if negative >= 0:
             break
-    top = best.orderBy(F.col("s").desc(), "x").first()
-    out: list[tuple] = []
-    while top is not None and top["p"] is not None:  # one step for each arc of the path
-        out.append((top["p"], top["x"]))
-        top = best.where(F.col("x") == top["p"]).first()
-    return out[::-1]
+        parts[a] += parts.pop(b)
+        share[a] += share.pop(b)
+        for x, weight in links.pop(b).items():
+            del links[x][b]
+            if x != a:
+                links[a][x] += weight
+                links[x][a] += weight
+        for x in links[a]:
+            heapq.heappush(heap, (-gain(a, x), *sorted((a, x))))
+    sorted_names = sorted(names)
+    groups = sorted((sorted(p) for p in parts.values()), key=lambda p: (-len(p), p[0]))
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(sorted_names[v], k) for k, p in enumerate(groups, 1) for v in p], f"item {kind}, community int")
 
 
 def _edge_betweenness(adj: dict) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import clean
+from quillmill.plans import broadcast_if_small
 
 # Document types of other databases, by the type they are harmonised to.
 _TYPES = {
@@ -64,8 +65,8 @@ def filled_forward(rows: DataFrame, value: str, group: str = "doc_id", pos: str
 
 
 def resolved_countries(mentions: DataFrame, item: str, names: DataFrame) -> DataFrame:
-    """``mentions`` with codes replaced by names; ``names`` is a small table (code, country). Unknown codes stay."""
-    table = F.broadcast(names.select(F.upper("code").alias("_code"), F.col("country").alias("_country")))
+    """``mentions`` with codes replaced by names; ``names`` is a table (code, country). Unknown codes stay."""
+    table = broadcast_if_small(names.select(F.upper("code").alias("_code"), F.col("country").alias("_country")))
     return mentions.join(table, F.upper(F.trim(F.col(item))) == F.col("_code"), "left").withColumn(item, F.coalesce("_country", item)).drop("_code", "_country")
 
 
@@ -75,7 +76,7 @@ def detected_countries(affiliations: DataFrame, countries: DataFrame, key: str =
     Parts are compared as whole, so a country whose name lies in another's is not found by mistake.
     """
     last = clean.letters_and_digits(F.element_at(F.split(F.col(text), ","), -1))
-    table = F.broadcast(countries.select("country", clean.letters_and_digits(F.col("country")).alias("_k")))
+    table = broadcast_if_small(countries.select("country", clean.letters_and_digits(F.col("country")).alias("_k")))
     return affiliations.withColumn("_k", last).join(table, "_k").select(key, "pos", "country")
 
 

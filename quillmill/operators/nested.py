@@ -40,15 +40,16 @@ def work_id(c: Column) -> Column:
     return F.when(found != "", found)
 
 
-def works_of(payloads: DataFrame, payload: str = "payload", fields: tuple[str, ...] = PLAIN) -> DataFrame:
-    """One row for each work in a payload: a work, a list of works, or an object with ``results``.
+def works_of(payloads: DataFrame, payload: str = "payload", fields: tuple[str, ...] = PLAIN, keep: Column | None = None) -> DataFrame:
+    """One row for each work in a payload: a work, a list of works, or an object with ``results``; ``keep``, of the payload, stays as ``_kept``.
 
     A byte order mark and blanks around the payload are ignored. Payloads that are null or not valid JSON, and parts that
     are no work, give no row. The columns are texts, for deliveries differ in their types.
     """
     text = F.regexp_replace(F.col(payload), f"^{clean.BLANK}+|{clean.BLANK}+$", "")
     # within brackets, so that anything after the end of the value makes it invalid
-    wrapped = payloads.select(F.concat(F.lit("["), text, F.lit("]")).alias("_json"))
+    kept = [] if keep is None else [keep.alias("_kept")]
+    wrapped = payloads.select(F.concat(F.lit("["), text, F.lit("]")).alias("_json"), *kept)
     listed = F.col("_json").startswith("[[")
     kind, objects = _schema(fields)
     one = F.from_json("_json", objects, OPTIONS)
@@ -56,7 +57,7 @@ def works_of(payloads: DataFrame, payload: str = "payload", fields: tuple[str, .
     tops = F.when(listed, F.when(F.size(many) == 1, many[0])).otherwise(F.when(F.size(one) == 1, one))
     inner = lambda t: F.when(t["results"].isNotNull(), t["results"]).otherwise(F.array(F.struct(*(t[f].alias(f) for f in fields))))
     works = F.coalesce(F.flatten(F.transform(F.filter(tops, lambda t: t.isNotNull()), inner)), _piecewise(listed, kind))
-    return wrapped.select(F.explode(works).alias("_work")).where("_work is not null").select("_work.*")
+    return wrapped.select(F.explode(works).alias("_work"), *(["_kept"] if kept else [])).where("_work is not null").select("_work.*", *(["_kept"] if kept else []))
 
 
 def _piecewise(listed: Column, kind: str) -> Column:
@@ -133,7 +134,16 @@ def flattened(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def works_table(payloads: DataFrame, payload: str = "payload", loaded: str = "loaded_at") -> DataFrame:
-    """One row for each work_id with its plain fields, of each the greatest text delivered; the parent of :func:`flattened`."""
-    fields = ["doi", "display_name", "publication_year", "type", "language", "cited_by_count"]
-    works = works_of(payloads, payload).withColumn("work_id", work_id(F.col("id"))).where("work_id is not null")
-    return works.groupBy("work_id").agg(*(F.max(f).alias(f) for f in fields))
+    """One row for each work_id with its plain fields as last delivered; the parent of :func:`flattened`.
+
+    (work_id, doi, display_name, publication_year, type, language, cited_by_count): all of one delivery, the one with the latest
+    ``loaded``, null or no such column before any; ties go to the delivery that is greatest field by field. Numbers that are not whole are null.
+    """
+    at = F.col(f"`{loaded}`") if loaded in payloads.columns else F.lit(None).cast("timestamp")
+    number = lambda c, kind: F.col(c).try_cast("double").try_cast(kind).alias(c)
+    works = works_of(payloads, payload, keep=at).select(
+        work_id(F.col("id")).alias("work_id"), "_kept",
+        F.struct("doi", "display_name", number("publication_year", "int"), "type", "language", number("cited_by_count", "bigint")).alias("_w"),
+    )
+    last = works.where("work_id is not null").groupBy("work_id").agg(F.max(F.struct("_kept", "_w")).alias("_l"))
+    return last.select("work_id", "_l._w.*")

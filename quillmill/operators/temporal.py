@@ -52,8 +52,8 @@ def internal_references(papers: DataFrame, references: DataFrame, least: float =
 
     found = step(references, ["doi"])
     left = references.join(found, key, "left_anti")
-    mine = left.where("title is not null").select(F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit("|"), "ref").alias("k"), "title", *key)
-    theirs = papers.where("title is not null").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("k"), "title", F.col("doc_id").alias("target"))
+    mine = left.where("title is not null").select(F.concat_ws("|", F.col("doc_id").cast("string"), "ref").alias("k"), "title", *key)
+    theirs = papers.where("title is not null").select(F.col("doc_id").cast("string").alias("k"), "title", F.col("doc_id").alias("target"))
     near = trigram_pairs(theirs.select("k", "title"), mine.select("k", "title"), "k", "title", least)
     titled = near.join(theirs.select(F.col("k").alias("a"), "target"), "a").join(mine.select(F.col("k").alias("b"), *key), "b").where("doc_id <> target").groupBy(*key).agg(F.max_by("target", F.struct("jaccard", (-F.col("target")).alias("_n"))).alias("target"))
     found = found.unionByName(titled)

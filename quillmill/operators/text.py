@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmill.plans import checkpointed, split_join
+
 # Frequent English words left out of counts.
 STOP_WORDS = tuple("a about after all also an and any are as at be because been before between both but by can could did do does during each few for from had has have he her here his how however i if in into is it its just may more most no nor not of off on only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split())
 
@@ -97,66 +99,80 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-#: Queries that are multiplied with the vectors at once.
-QUERY_BLOCK = 10_000
+#: Queries, and vectors, that are multiplied at once.
+QUERY_BLOCK, VECTOR_BLOCK = 10_000, 100_000
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query, neighbour, score, place): the k most similar vectors of each query vector, itself aside; ties to smaller keys.
 
-    Exact search in blocks: at most ``block`` queries at a time reach the tasks, as one matrix, and each batch of vectors
-    sends on its k best for each query only. Vectors that are null or of length 0 have no neighbours and are none.
+    Exact search in blocks. Up to ``block`` queries reach the tasks as one matrix; more are cut into blocks, and each meets
+    each block of vectors in a task of its own, all in one job. A task sends on its k best for each query only. Vectors
+    that are null or of length 0 have no neighbours and are none.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    parts = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).where(F.col(vector).isNotNull()).select(key, vector).toPandas()
-        found = _best_of_block(own, vectors, k, key, vector)
-        parts = found if parts is None else parts.unionByName(found)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "neighbour"))
-    return parts.withColumn("place", place).where(F.col("place") <= k)
-
-
-def _best_of_block(queries: pd.DataFrame, vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     kind = vectors.schema[key].dataType.simpleString()
-
-    def scaled(x: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        m = np.stack([np.asarray(v, float) for v in x]) if len(x) else np.zeros((0, 1))
-        length = np.sqrt((m * m).sum(axis=1))
-        return m / np.where(length > 0, length, 1)[:, None], length > 0
-
-    ids, (matrix, good) = queries[key].to_numpy(), scaled(queries[vector])
-    sent = vectors.sparkSession.sparkContext.broadcast((ids[good], matrix[good]))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = sent.value
-        for d in it:
-            d = d[d[vector].notna()]
-            if not len(d) or not len(ids):
-                continue
-            rows, there = scaled(d[vector])
-            names = d[key].to_numpy()
-            score = np.round(matrix @ rows.T, 6)
-            score[:, ~there] = -np.inf
-            score[ids[:, None] == names[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, :k]
-            q = np.repeat(ids, order.shape[1])
-            s = np.take_along_axis(score, order, axis=1).ravel()
-            out = pd.DataFrame({"query": q, "neighbour": names[order.ravel()], "score": s})
-            yield out[np.isfinite(out["score"])]
-
-    return vectors.select(key, vector).mapInPandas(run, f"query {kind}, neighbour {kind}, score double")
-
-
-def trigram_pairs(a: DataFrame, b: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
+    found = f"query {kind}, neighbour {kind}, score double"
+    rows = vectors.where(F.col(vector).isNotNull()).select(key, vector)
+    asked = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    own = asked.limit(block + 1).toPandas()
+    if len(own) <= block:
+        sent = vectors.sparkSession.sparkContext.broadcast(_scaled(own, key, vector))
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in it:
+                yield _best(sent.value, _scaled(d, key, vector), k)
+
+        parts = rows.mapInPandas(run, found)
+    else:
+        nq, nv = -(-asked.count() // block), -(-rows.count() // vector_block)
+        place = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        left = asked.withColumn("_q", place(nq)).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+        right = rows.withColumn("_v", place(nv)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+        def met(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+            return _best(_scaled(q, key, vector), _scaled(d, key, vector), k)
+
+        parts = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(met, found)
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "neighbour"))
+    return parts.withColumn("place", order).where(F.col("place") <= k)
+
+
+def _scaled(d: pd.DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of length 1, those of length 0 left out."""
+    m = np.stack([np.asarray(v, float) for v in d[vector]]) if len(d) else np.zeros((0, 1))
+    length = np.sqrt((m * m).sum(axis=1))
+    return d[key].to_numpy()[length > 0], m[length > 0] / length[length > 0, None]
+
+
+def _best(queries: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np.ndarray], k: int) -> pd.DataFrame:
+    ids, names = queries[0], vectors[0]
+    if not len(ids) or not len(names):
+        return pd.DataFrame({"query": ids[:0], "neighbour": names[:0], "score": np.zeros(0)})
+    out = []
+    for at in range(0, len(ids), 512):  # so that the scores of a block stay within some hundred MB
+        q = ids[at : at + 512]
+        score = np.round(queries[1][at : at + 512] @ vectors[1].T, 6)
+        score[q[:, None] == names[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, :k]
+        out.append(pd.DataFrame({"query": np.repeat(q, order.shape[1]), "neighbour": names[order.ravel()], "score": np.take_along_axis(score, order, axis=1).ravel()}))
+    d = pd.concat(out)
+    return d[np.isfinite(d["score"])]
+
+
+def trigram_text(c: Column) -> Column:
+    """The text of which trigrams are taken: small ASCII letters and digits, anything else one blank."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+
+
+def trigram_pairs(a: DataFrame, b: DataFrame, key: str, text: str, least: float = 0.7, across: bool = True) -> DataFrame:
     """(a, b, jaccard): texts of two tables by the Jaccard measure of their distinct character trigrams.
 
+    ``across`` false: the tables are one and the same, and each pair comes out once, a < b.
     Rows meet through shared trigrams, rare ones first: a text is looked up by the rarest trigrams that any text as similar
     must share with it, so common trigrams pair nothing.
     """
     grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - 2)), lambda i: F.substring(t, i, F.lit(3))))
-    norm = lambda df, k: df.where(F.col(text).isNotNull()).select(F.col(key).alias(k), grams(F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "))).alias(f"_{k}"))
+    norm = lambda df, k: df.where(F.col(text).isNotNull()).select(F.col(key).alias(k), grams(trigram_text(F.col(text))).alias(f"_{k}"))
     left, right = norm(a, "a"), norm(b, "b")
     df = left.select(F.explode("_a").alias("g")).unionAll(right.select(F.explode("_b").alias("g"))).groupBy("g").agg(F.count("*").alias("_n"))
 
@@ -165,7 +181,7 @@ def trigram_pairs(a: DataFrame, b: DataFrame, key: str, text: str, least: float
         keep = F.col("_m") - F.ceil(F.col("_m") * least).cast("int") + 1
         return listed.select(k, F.explode(F.slice("_s", F.lit(1), keep)).alias("_x")).select(k, F.col("_x.g").alias("g"))
 
-    met = prefixed(left, "a").join(prefixed(right, "b"), "g").select("a", "b").where("a < b").distinct()
+    met = split_join(checkpointed(prefixed(left, "a")), checkpointed(prefixed(right, "b")), ["g"]).select("a", "b").where(F.lit(True) if across else F.col("a") < F.col("b")).distinct()
     both = met.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("_a", "_b"))
     score = common / (F.size("_a") + F.size("_b") - common)

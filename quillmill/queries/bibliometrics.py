@@ -239,19 +239,36 @@ def collab_ego(v: Views) -> DataFrame:
     return cooccur.ego(cooccur.edges(m), entity.top(entity.mention_counts(m), "n", 3))
 
 
-@query("bibliographic_coupling", """--views, c AS (SELECT doc_id, ref, count(*) AS n FROM b_references GROUP BY ALL), m AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM c GROUP BY doc_id),
-d AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, sum(x.n * y.n) AS dot FROM c x JOIN c y ON x.ref = y.ref AND x.doc_id < y.doc_id GROUP BY ALL)
+#: Papers by their references: _ONE names each class with equal counts (or, _SET, the same references) by its smallest id.
+_ONE = ", c AS (SELECT doc_id, ref, count(*) AS n FROM b_references GROUP BY ALL), k AS (SELECT doc_id, list_sort(list(ref || '#' || n)) AS l FROM c GROUP BY doc_id), o AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS class_id FROM k)"
+_SET = _ONE.replace("ref || '#' || n", "ref")
+
+
+@query("bibliographic_coupling", f"""--views {_ONE}, u AS (SELECT * FROM c WHERE doc_id IN (SELECT class_id FROM o)), m AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM u GROUP BY doc_id),
+d AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, sum(x.n * y.n) AS dot FROM u x JOIN u y ON x.ref = y.ref AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a, b, shared, round(dot / (x.l * y.l), 6) AS cosine FROM d JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b WHERE dot / (x.l * y.l) >= 0.3""")
 def bibliographic_coupling(v: Views) -> DataFrame:
     return cooccur.coupling(v.references, 0.3)
 
 
-@query("shared_references", """--views, c AS (SELECT DISTINCT doc_id, ref FROM b_references)
-SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM c x JOIN c y ON x.ref = y.ref AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2""")
+@query("coupling_classes", f"--views {_ONE} SELECT doc_id, class_id FROM o")
+def coupling_classes(v: Views) -> DataFrame:
+    """Which paper stands for each paper in ``bibliographic_coupling``."""
+    return cooccur.reference_classes(v.references)
+
+
+@query("shared_references", f"""--views {_SET}, u AS (SELECT * FROM c WHERE doc_id IN (SELECT class_id FROM o))
+SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM u x JOIN u y ON x.ref = y.ref AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2""")
 def shared_references(v: Views) -> DataFrame:
     return cooccur.shared_references(v.references, 2)
 
 
+@query("shared_reference_classes", f"--views {_SET} SELECT doc_id, class_id FROM o")
+def shared_reference_classes(v: Views) -> DataFrame:
+    """Which paper stands for each paper in ``shared_references``."""
+    return cooccur.reference_classes(v.references, once=True)
+
+
 @query("co_cited_pairs", """--views, c AS (SELECT DISTINCT doc_id, ref FROM b_references)
 SELECT x.ref AS a, y.ref AS b, count(*) AS w FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.ref < y.ref GROUP BY ALL HAVING count(*) >= 2""")
 def co_cited_pairs(v: Views) -> DataFrame:

@@ -70,10 +70,37 @@ def nearest_vectors(v: Views) -> DataFrame:
     return text.nearest(vectors.where("vec_id % 50 = 0"), vectors, 5)
 
 
-@query("near_titles")
+_TITLES = """WITH p AS (SELECT record_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM papers WHERE title IS NOT NULL AND lower(trim(regexp_replace(title, '[\\s\\x{00a0}\\x{200b}\\x{feff}]+', ' ', 'g'))) NOT IN ('', 'unknown', 'unkn', 'n/a', 'none', '-')),
+m AS (SELECT record_id, min(record_id) OVER (PARTITION BY t) AS class_id, t FROM p), c AS (SELECT DISTINCT class_id AS id, t FROM m),
+g AS (SELECT id, list_distinct(list_transform(range(1, greatest(1, length(t) - 2) + 1), lambda i: substr(t, i, 3))) AS g FROM c), u AS (SELECT id, len(g) AS n, unnest(g) AS g FROM g),
+x AS (SELECT a.id AS a, b.id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+s AS (SELECT a, b, k * 1.0 / (na + nb - k) AS jaccard FROM x WHERE k * 1.0 / (na + nb - k) >= 0.7)"""
+
+
+def _title_classes(v: Views) -> DataFrame:
+    """(record_id, class_id, t): titles that are the same but for what trigrams do not see."""
+    known = v.table("papers").where(~select.clean.is_missing(F.col("title"))).select("record_id", text.trigram_text(F.col("title")).alias("t"))
+    return known.join(known.groupBy("t").agg(F.min("record_id").alias("class_id")), "t")
+
+
+def _title_pairs(classes: DataFrame) -> DataFrame:
+    firsts = checkpointed(classes.where("record_id = class_id").select("record_id", "t"))
+    return text.trigram_pairs(firsts, firsts, "record_id", "t", 0.7, across=False)
+
+
+@query("near_title_pairs", f"{_TITLES} SELECT a, b, round(jaccard, 6) AS jaccard FROM s")
+def near_title_pairs(v: Views) -> DataFrame:
+    """Pairs of the first records of two classes of titles."""
+    return _title_pairs(_title_classes(v)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("near_titles", f"{_TITLES}, l AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM s UNION ALL SELECT b FROM s) GROUP BY id) SELECT m.record_id, m.class_id, coalesce(l.n, 0) AS n_links FROM m LEFT JOIN l ON l.id = m.class_id")
 def near_titles(v: Views) -> DataFrame:
-    titles = v.table("papers").where(~select.clean.is_missing(F.col("title"))).select(F.lower(F.trim("title")).alias("title"), "record_id").groupBy("title").agg(F.min("record_id").alias("record_id"))
-    return text.trigram_pairs(titles, titles, "record_id", "title", 0.7).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Every record with a title, the first record with the same one, and to how many other titles it is near."""
+    classes = _title_classes(v)
+    pairs = _title_pairs(classes)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("_n"))
+    return classes.join(links, "class_id", "left").select("record_id", "class_id", F.coalesce("_n", F.lit(0)).alias("n_links"))
 
 
 @query("degree_centrality", """--views, d AS (SELECT DISTINCT doc_id, country FROM b_authorships), e AS (SELECT x.country AS a, y.country AS b, count(*) AS w FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.country < y.country GROUP BY ALL),
@@ -100,15 +127,16 @@ def structural_constraint(v: Views) -> DataFrame:
     return graph.constraint(_country_edges(v))
 
 
-@query("components", """--views, d AS (SELECT DISTINCT src, dst FROM b_cites), n AS (SELECT src AS x, dst AS y FROM d UNION SELECT dst, src FROM d),
-r AS (SELECT x AS item, x AS component FROM n UNION SELECT y, y FROM n) SELECT count(*) AS items FROM r""")
-def components_size(v: Views) -> DataFrame:
-    found = graph.components(v.cites.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return found.agg(F.count("*").alias("items"))
+def _unrolled_components(rounds: int) -> str:
+    """Each item takes the smallest label around it, then the label of that label; nothing changes any more after a few rounds."""
+    steps = [f"{SQL}, n AS MATERIALIZED (SELECT src AS x, dst AS y FROM b_cites UNION SELECT dst, src FROM b_cites), l0 AS MATERIALIZED (SELECT DISTINCT x AS item, x AS c FROM n)"]
+    for k in range(rounds):
+        steps.append(f"m{k} AS MATERIALIZED (SELECT n.x AS item, least(min(a.c), min(b.c)) AS c FROM n JOIN l{k} a ON a.item = n.x JOIN l{k} b ON b.item = n.y GROUP BY n.x), l{k + 1} AS MATERIALIZED (SELECT m.item, least(m.c, j.c) AS c FROM m{k} m JOIN m{k} j ON j.item = m.c)")
+    return ", ".join(steps) + f" SELECT item, c AS component FROM l{rounds}"
 
 
-@query("component_members")
-def component_members(v: Views) -> DataFrame:
+@query("components", _unrolled_components(12))
+def components(v: Views) -> DataFrame:
     return graph.components(v.cites.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
@@ -119,9 +147,9 @@ def _unrolled_pagerank(rounds: int) -> str:
     return ", ".join(steps) + f" SELECT item, round(rank * 1000, 6) AS rank FROM r{rounds}"
 
 
-@query("pagerank", _unrolled_pagerank(10))
+@query("pagerank", _unrolled_pagerank(20))
 def pagerank(v: Views) -> DataFrame:
-    return graph.pagerank(v.cites, rounds=10).select("item", F.round(F.col("rank") * 1000, 6).alias("rank"))
+    return graph.pagerank(v.cites).select("item", F.round(F.col("rank") * 1000, 6).alias("rank"))
 
 
 @query("salsa")
@@ -178,8 +206,7 @@ def citation_depth(v: Views) -> DataFrame:
 
 @query("main_path_spc")
 def main_path(v: Views) -> DataFrame:
-    path = graph.main_path(graph.path_weights(v.cites, "spc"))
-    return v.spark.createDataFrame([(k, *arc) for k, arc in enumerate(path)], "step int, u bigint, v bigint")
+    return graph.main_path(graph.path_weights(v.cites, "spc"))
 
 
 @query("path_weights_spc")
@@ -213,8 +240,8 @@ def union_corpora(v: Views) -> DataFrame:
     return select.union_corpora(papers.where(vendor), papers.where(~vendor), "record_id")
 
 
-@query("exact_clean_journals", """WITH c AS (SELECT journal AS candidate, count(*) AS n, trim(regexp_replace(regexp_replace(replace(lower(journal), '&', ' and '), '[''’`]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k FROM papers WHERE journal IS NOT NULL GROUP BY journal),
-b AS (SELECT *, first_value(candidate) OVER (PARTITION BY k ORDER BY n DESC, candidate DESC) AS normalized FROM c) SELECT candidate, normalized FROM b WHERE candidate <> normalized""")
+@query("exact_clean_journals", """WITH c AS (SELECT journal AS candidate, count(*) AS n, trim(regexp_replace(regexp_replace(replace(strip_accents(lower(journal)), '&', ' and '), '[''’`]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k FROM papers WHERE journal IS NOT NULL GROUP BY journal),
+b AS (SELECT *, first_value(candidate) OVER (PARTITION BY k ORDER BY n DESC, candidate DESC) AS normalized FROM c WHERE k <> '') SELECT candidate, normalized FROM b WHERE candidate <> normalized""")
 def exact_clean_journals(v: Views) -> DataFrame:
     return composite.exact_clean_names(v.table("papers"), "journal")
 

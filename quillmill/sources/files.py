@@ -92,7 +92,9 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
 
     Repeated tags are joined by ``; ``, authors by `` and ``; the year is the first four characters of the date; note is 0.
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path).select(F.regexp_replace(F.regexp_replace("value", "^[\\ufeff\\s]*", ""), "\r", "").alias("r")).where(F.col("r").contains("PMID"))
+    # a record begins with its PMID line, whatever the line ends are; continuation lines are indented
+    start = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^[\\ufeff\\s]*(?:PMID *-)? *", "PMID- ")
+    raw = spark.read.option("lineSep", "\nPMID").text(path).select(F.regexp_replace(start, "^PMID- -", "PMID- ").alias("r")).where(F.col("r").rlike("^PMID- *[0-9]"))
     lines = F.split(F.regexp_replace("r", "\\n {6}", " "), "\\n")
     pairs = F.transform(F.filter(lines, lambda x: x.rlike("^[A-Z]+ *- ")), lambda x: F.struct(F.trim(F.substring(x, 1, 4)).alias("k"), clean.squeezed(F.substring(x, 7, 1_000_000)).alias("v")))
     rows = raw.select(pairs.alias("p"))

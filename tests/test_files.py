@@ -96,3 +96,11 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in files.mapping_csv(spark, str(tmp_path / "m")).collect()] == [(None, "n, m", "c")]
     files.write_papers(df, str(tmp_path / "p"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "p")).first()["normalized"] == "n, m"
+
+
+def test_pubmed_line_ends(spark, tmp_path):
+    (tmp_path / "p.txt").write_bytes(("\ufeff" + PUBMED.replace("\n", "\r\n")).encode())
+    (tmp_path / "q.txt").write_text(PUBMED.strip())
+    for name in ("p.txt", "q.txt"):
+        got = {r["pubmed_id"]: r for r in files.pubmed(spark, str(tmp_path / name)).collect()}
+        assert set(got) == {"1", "2"} and got["1"]["title"] == "A title that goes on" and got["2"]["title"] == "Second"

@@ -82,7 +82,7 @@ def test_path_weights(spark):
     assert got["spc"] == {"AB": 1, "AC": 1, "BD": 1, "CD": 1, "DE": 2}
     assert got["splc"] == {"AB": 1, "AC": 1, "BD": 2, "CD": 2, "DE": 5}
     assert got["spnp"] == {"AB": 3, "AC": 3, "BD": 4, "CD": 4, "DE": 4}
-    assert [names[v] for _, v in graph.main_path(graph.path_weights(cites, "spc"))] == ["B", "D", "E"]
+    assert [names[r["v"]] for r in graph.main_path(graph.path_weights(cites, "spc")).orderBy("step").collect()] == ["B", "D", "E"]
 
 
 def test_duplicates(spark):
@@ -211,3 +211,49 @@ def test_salsa_iterates_to_the_tolerance(spark):
     assert sum(abs(r["hub"] - {0: 1, 3: 1}.get(r["item"], 2) / 6 * (r["item"] < 100)) for r in got) < 1e-4
     tops = graph.decade_tops(graph.salsa(links, 2), spark.createDataFrame([(k, 1999) for k in range(4)] + [(100, 2003), (200, -1)], "item long, year int"), 5).collect()
     assert {(r["decade"], r["kind"]) for r in tops} == {(1990, "hub"), (1990, "authority"), (2000, "hub"), (2000, "authority")} and len(tops) == 10
+
+
+def test_long_chains(spark):
+    n = 33
+    chain = spark.createDataFrame([(k + 1, k) for k in range(n)], "src long, dst long")
+    assert {r["item"]: r["depth"] for r in graph.depths(chain).collect()} == {k: k for k in range(n + 1)}
+    spc = graph.path_weights(chain, "spc")
+    assert {r["weight"] for r in spc.collect()} == {1.0}
+    assert sorted(tuple(r) for r in graph.main_path(spc).collect()) == [(k, k, k + 1) for k in range(n)]
+    assert {(r["u"], r["weight"]) for r in graph.path_weights(chain, "splc").collect()} == {(k, k + 1.0) for k in range(n)}
+    assert {(r["u"], r["weight"]) for r in graph.path_weights(chain, "spnp").collect()} == {(k, (k + 1.0) * (n - k)) for k in range(n)}
+    with pytest.raises(ValueError, match="more than 20"):
+        graph.depths(chain, most=20)
+
+
+def test_cycles_are_errors(spark):
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "src long, dst long")
+    for f in (graph.depths, graph.path_weights):
+        with pytest.raises(ValueError, match="cycle"):
+            f(ring)
+
+
+def test_load_and_communities(spark):
+    # two ways from a to d, one of them by two nodes: load is split evenly, betweenness by paths
+    e = spark.createDataFrame([("a", "b", 1), ("a", "c", 1), ("b", "d", 1), ("c", "d", 1), ("d", "e", 1)], "a string, b string, w long")
+    got = {r["item"]: round(r["load"] * 12, 6) for r in graph.load(e).collect()}
+    assert got == {"a": 1.0, "b": 2.0, "c": 2.0, "d": 7.0, "e": 0.0}
+    two = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "x"), ("x", "y"), ("x", "z"), ("y", "z")]
+    parts = {r["item"]: r["community"] for r in graph.greedy_modularity(spark.createDataFrame([(*t, 1) for t in two], "a string, b string, w long")).collect()}
+    assert parts == {"a": 1, "b": 1, "c": 1, "x": 2, "y": 2, "z": 2}
+    assert graph.greedy_modularity(e.limit(0)).count() == 0
+
+
+def test_no_shared_folder_is_an_error(spark, monkeypatch):
+    from quillmill.plans import lineage
+
+    class Away:
+        class sparkContext:
+            master = "spark://far:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Away)
