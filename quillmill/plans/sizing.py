@@ -29,3 +29,20 @@ def split_hot(counted: DataFrame, n: str, total: int, least: int = 10_000) -> Co
     rows may be broadcast and the rest joined by shuffle without a task above total / HOT_SHARE.
     """
     return F.col(n) >= F.lit(max(least, total // HOT_SHARE))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, keep: str | None = None) -> DataFrame:
+    """``rows`` with the columns of their key's one row in ``table``, null where it has none; ``n`` counts the key's rows.
+
+    Keys that hold a thousandth of all rows are broadcast, at most a thousand of them, so no task gets a hot key; all others
+    are joined by shuffle. The column ``n`` is dropped unless it is ``keep``.
+    """
+    if row_count_at_most(table, BROADCAST_ROWS // 10):
+        out = rows.join(F.broadcast(table), keys, "left")
+    else:
+        hot = split_hot(table, n, rows.count())
+        mark = table.where(hot).withColumn("_hot", F.lit(True))
+        probed = rows.join(F.broadcast(mark), keys, "left")
+        cold = probed.where("_hot is null").select(rows.columns).join(table.where(~hot), keys, "left")
+        out = probed.where("_hot").drop("_hot").unionByName(cold)
+    return out if keep == n else out.drop(n)
