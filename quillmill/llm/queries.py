@@ -12,6 +12,9 @@ from quillmill.llm import co_items, format_twins, languages, names, packing, sur
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
 
+#: Fields whose values may stand in each other's columns.
+TWIN_FIELDS = ("title", "doi", "year")
+
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
@@ -20,7 +23,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The record whose value survives, for each group and field."""
+    """The record whose value survives, for each group and field: the highest sum of votes in which the best record leads."""
     return survivors.best_records(_table(spark, sf, "dup_groups"), _table(spark, sf, "papers"), _table(spark, sf, "sources"))
 
 
@@ -52,12 +55,12 @@ def p4_lift(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Records that are the same but for the typing of title, DOI and year."""
-    return format_twins.copies(_table(spark, sf, "papers"), "record_id", ["title", "doi", "year"])
+    return format_twins.copies(_table(spark, sf, "papers"), "record_id", list(TWIN_FIELDS), (TWIN_FIELDS,))
 
 
 def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each distinct record with its number of copies."""
-    return format_twins.collapsed(_table(spark, sf, "papers"), "record_id", ["title", "doi", "year"])
+    return format_twins.collapsed(_table(spark, sf, "papers"), "record_id", list(TWIN_FIELDS), (TWIN_FIELDS,))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:

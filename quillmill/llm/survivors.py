@@ -1,16 +1,16 @@
 """The best representative of each group of duplicates (problem 1): votes over unpivoted fields.
 
 Records of a group are unpivoted to long rows (group, field, value). A value that is part of another member's value is
-not sound and cannot win. Each sound value gets votes of its source's trust times the recency decay of
-its record, winners are chosen by ``max_by``, and survivors are pivoted back to one row for each group.
+not sound and cannot win. Each record with a sound value votes for it with its source's trust times the recency decay of the
+record; votes are summed per normalised value, winners are chosen by ``max_by``, and the records are pivoted back to one row for each group.
 
-Trust is ``2 ** -rank`` and decay lies in (0.5, 1], so a vote orders records by rank first and time second. Votes of equal
-normalised values are combined by their sum (agreement counts), or by their maximum where a rule asks for the single
-best record (``combine="best"``).
+Trust is ``2 ** -rank`` and decay lies in [0.75, 1], so a vote orders records by rank first and time second. Where agreement
+counts, votes are summed as they are. Where a rule asks for the single best record, the best vote of a group's field counts
+whole and every other one is divided by twice their number, so that all others together never outweigh it: the sum then gives the rule.
 
-A group may hold a third of all rows. Everything is aggregated with map-side combining, equal values are merged first, and
-the search for beginnings of other values, which needs the distinct values of a group in order, cuts large groups at
-values taken from the group itself, each cut repeated in the piece before it, so that no task sorts a whole large group.
+A group may hold a third of all rows. Everything is aggregated with map-side combining and equal values are merged first. The
+search for beginnings of other values sorts all values by ranges, not by groups; only the ends of ranges, two rows each,
+meet in one task. What a large group shares is sent to its rows by broadcast, of a thousand groups at most.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from quillmill.functions import clean
 from quillmill.operators.packed import PACKINGS, values_of
-from quillmill.plans import broadcast_if_small, written
+from quillmill.plans import broadcast_if_small, looked_up, written
 
 # Remarks that there is no abstract, letters only.
 NO_ABSTRACT = ("noabstract", "abstractnotavailable", "noabstractavailable", "abstractunavailable", "noabstractprovided", "abstractnotprovided", "noabstractsupplied", "withoutabstract", "nosummary", "nosummaryavailable")
@@ -32,11 +32,10 @@ LAST_RANK = 60
 #: Half-life of a vote in days.
 HALF_LIFE_DAYS = 365.0
 
-#: Distinct values of one group and field above which the group is cut into pieces of about that many.
-PIECE = 20_000
-
 GROUP_FIELDS = ["group_id", "field_name"]
 
+FIELDS = ("abstract", "references", "doi")
+
 
 def newest_time(records: DataFrame):
     """The latest time of ``records``, from which votes decay; one narrow scan, one value."""
@@ -46,8 +45,8 @@ def newest_time(records: DataFrame):
 def vote(rank: Column, updated: Column, newest: Column) -> Column:
     """Trust times recency decay; the decay of a record without a time is the least."""
     age = F.greatest(F.lit(0), F.datediff(newest.cast("date"), updated.cast("date"))).cast("double")
-    decay = F.when(updated.isNotNull(), 0.5 + 0.5 * F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS)).otherwise(F.lit(0.5))
-    return F.pow(F.lit(2.0), -F.coalesce(rank, F.lit(LAST_RANK)).cast("double")) * decay
+    decay = F.when(updated.isNotNull() & newest.isNotNull(), 0.75 + 0.25 * F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS)).otherwise(F.lit(0.75))
+    return F.pow(F.lit(2.0), -rank.cast("double")) * decay
 
 
 def cut_marks_off(c: Column) -> Column:
@@ -63,124 +62,126 @@ def members(groups: DataFrame, records: DataFrame, sources: DataFrame, extra: li
     pairs = groups.select("group_id", "record_id").where("group_id is not null and record_id is not null").distinct()
     ranks = sources.select(F.lower(clean.squeezed(F.col("label"))).alias("_label"), "trust_rank").groupBy("_label").agg(F.min("trust_rank").alias("_rank"))
     rows = records.select("record_id", F.lower(clean.squeezed(F.col("source"))).alias("_label"), F.col("updated_at"), *(F.col(f"`{f}`") for f in extra))
-    return rows.join(broadcast_if_small(pairs), "record_id").join(broadcast_if_small(ranks), "_label", "left")
+    return rows.join(broadcast_if_small(pairs), "record_id").join(broadcast_if_small(ranks), "_label", "left").withColumn("_rank", F.coalesce("_rank", F.lit(LAST_RANK)))
 
 
-def long_rows(found: DataFrame, newest) -> DataFrame:
-    """(group_id, field_name, record_id, value, norm, parts, _vote, updated_at) of the values that can be sound.
+def long_rows(found: DataFrame) -> DataFrame:
+    """(group_id, field_name, record_id, norm, _h, _g, _rank, updated_at) of the values that can be sound.
 
-    norm is what makes values equal: a DOI in small letters, an abstract without marks of a cut, references as a sorted set.
+    norm is what makes values equal: a DOI in small letters, an abstract without marks of a cut, references as a sorted set, one in
+    a line; _h and _g are two hashes of it.
     """
     abstract = F.col("abstract")
     letters = F.regexp_replace(F.lower(abstract), "[^a-z]+", "")
     sound_abstract = F.when(~clean.is_missing(abstract) & ~((F.length(abstract) < 60) & letters.isin(*NO_ABSTRACT)), cut_marks_off(abstract))
-    refs = F.array_sort(F.array_distinct(values_of(F.col("references"), PACKINGS["references"])))
-    none = F.lit(None).cast("array<string>")
-    fields = F.array(
-        F.struct(F.lit("abstract").alias("field_name"), abstract.alias("value"), sound_abstract.alias("norm"), none.alias("parts")),
-        F.struct(F.lit("doi").alias("field_name"), F.col("doi").alias("value"), F.when(~clean.is_missing(F.col("doi")), clean.bare_doi(F.col("doi"))).alias("norm"), none.alias("parts")),
-        F.struct(F.lit("references").alias("field_name"), F.col("`references`").alias("value"), F.lit(None).cast("string").alias("norm"), refs.alias("parts")),
-    )
-    rows = found.select("group_id", "record_id", "updated_at", vote(F.col("_rank"), F.col("updated_at"), F.lit(newest)).alias("_vote"), F.inline(fields))
-    rows = rows.withColumn("norm", F.when(F.col("field_name") == "references", F.when(F.size("parts") > 0, F.array_join("parts", "\n"))).otherwise(F.when(F.col("norm") != "", F.col("norm"))))
-    return rows.where("norm is not null")
+    refs = F.array_join(F.array_sort(F.array_distinct(values_of(F.col("references"), PACKINGS["references"]))), "\n")
+    doi = F.when(~clean.is_missing(F.col("doi")), clean.bare_doi(F.col("doi")))
+    fields = F.array(*(F.struct(F.lit(f).alias("field_name"), c.alias("norm")) for f, c in zip(FIELDS, (sound_abstract, refs, doi), strict=True)))
+    rows = found.select("group_id", "record_id", "updated_at", "_rank", F.inline(fields)).where("norm <> ''")
+    return rows.withColumns({"_h": F.xxhash64("norm"), "_g": F.xxhash64(F.lit("second"), "norm")})
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """One row for each distinct value of a group's field: its best record and the sum and the maximum of its votes."""
-    # a null time is less than any other; votes of one day are equal, and the time within the day decides
-    best = F.struct(F.col("_vote"), F.col("updated_at").alias("_at"), (-F.col("record_id")).alias("_neg"))
-    return rows.groupBy(*GROUP_FIELDS, "norm").agg(
-        F.max(best).alias("_best"), F.sum("_vote").alias("_votes"), F.count("*").alias("_n"), F.max_by("value", best).alias("value"), F.first("parts").alias("parts")
-    )
+    """One row for each distinct value of a group's field: the key of its best record, and its number of votes as _n.
+
+    Keys are greater for better records: by rank, then the latest time (null is less than any), then the smallest record_id.
+    """
+    key = F.struct((-F.col("_rank")).alias("_trust"), F.col("updated_at").alias("_at"), (-F.col("record_id")).alias("_neg"))
+    return rows.groupBy(*GROUP_FIELDS, "norm", "_h", "_g").agg(F.max(key).alias("_key"), F.count("*").alias("_n"))
 
 
 def begins_another(values: DataFrame) -> DataFrame:
-    """``values`` with ``_part``: whether the norm is a proper beginning of another norm of the same group and field.
+    """``values`` without norm, with ``_part``: whether the norm is a proper beginning of another norm of the same group and field.
 
-    In order, whatever begins with a text follows it at once, so the next distinct value decides.
+    In order, whatever begins with a text follows it at once, so the next distinct value decides. Values are sorted by ranges;
+    the next value of the last one of a range is the first one of the next range that is not empty.
     """
-    counted = values.groupBy(*GROUP_FIELDS).agg(F.count("*").alias("_m")).where(F.col("_m") > PIECE)
-    cuts = (
-        values.join(counted, GROUP_FIELDS).where(F.pmod(F.xxhash64("norm"), F.greatest(F.lit(1), F.lit(PIECE))) == 0)
-        .groupBy(*GROUP_FIELDS).agg(F.array_sort(F.collect_set("norm")).alias("_cuts"))
-    )  # one value in PIECE of the large groups only
-    placed = values.join(cuts, GROUP_FIELDS, "left").withColumn("_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("norm"))), F.lit(0)))
-    # a cut is the first value of its piece; its copy closes the piece before it
-    last = placed.where(F.coalesce(F.array_contains("_cuts", F.col("norm")), F.lit(False))).withColumn("_piece", F.col("_piece") - 1).withColumn("_copy", F.lit(True))
-    both = placed.withColumn("_copy", F.lit(False)).unionByName(last).drop("_cuts")
-    following = F.lead("norm").over(Window.partitionBy(*GROUP_FIELDS, "_piece").orderBy("norm"))
-    return both.withColumn("_part", F.coalesce(following.startswith(F.col("norm")), F.lit(False))).where("not _copy").drop("_copy", "_piece")
+    order = [*GROUP_FIELDS, "norm"]
+    w = Window.partitionBy("_range").orderBy(*order)
+    at = F.struct(*order)
+    begun = lambda n: (n["group_id"] == F.col("group_id")) & (n["field_name"] == F.col("field_name")) & n["norm"].startswith(F.col("norm"))
+    ranges = values.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    marked = ranges.withColumns({"_next": F.lead(at).over(w), "_first": F.row_number().over(w) == 1})
+    edge = F.col("_first") | F.col("_next").isNull()
+    kept = [c for c in values.columns if c != "norm"]
+    found = written(marked.select(*kept, F.coalesce(begun(F.col("_next")), F.lit(False)).alias("_part"), F.when(edge, F.col("norm")).alias("norm")), "beginnings")
+    ends = found.where("norm is not null").withColumn("_next", F.lead(at).over(Window.orderBy(*order)))  # two rows for each range
+    across = ends.where(begun(F.col("_next"))).select(*GROUP_FIELDS, "norm", F.lit(True).alias("_more"))
+    return found.join(broadcast_if_small(across), order, "left").withColumn("_part", F.col("_part") | F.coalesce("_more", F.lit(False))).drop("_more", "norm")
 
 
 def within_another(values: DataFrame) -> DataFrame:
-    """``values`` with ``_part``: whether the set ``parts`` is a proper subset of another set of the same group.
+    """``values`` without norm, with ``_part``: whether its set, the lines of norm, is a proper subset of another set of the same group.
 
     The largest set of a group decides most cases. The sets that are left are looked up by their rarest part only, so
     members that share common parts are not paired.
     """
-    sets = values.withColumn("_size", F.size("parts"))
-    largest = sets.groupBy("group_id").agg(F.max_by("parts", F.struct("_size", "norm")).alias("_top"))
-    tried = sets.join(largest, "group_id").withColumn("_in", (F.size("_top") > F.col("_size")) & (F.size(F.array_except("parts", "_top")) == 0)).withColumn("_is_top", F.col("parts") == F.col("_top")).drop("_top")
-    rest = tried.where("not _in and not _is_top").select("group_id", "norm", "_size", "parts")
-    listed = rest.select("group_id", "norm", "_size", F.explode("parts").alias("_p"))
-    rare = listed.groupBy("group_id", "_p").agg(F.count("*").alias("_c"))
+    kept = [c for c in values.columns if c != "norm"]
+    sets = values.withColumn("parts", F.split("norm", "\n")).withColumn("_size", F.size("parts"))
+    largest = sets.groupBy("group_id").agg(F.max_by("parts", F.struct("_size", "norm")).alias("_top"), F.count("*").alias("_rows"))
+    tried = looked_up(sets, largest, ["group_id"], "_rows").withColumn("_in", (F.size("_top") > F.col("_size")) & (F.size(F.array_except("parts", "_top")) == 0)).withColumn("_is_top", F.col("parts") == F.col("_top"))
+    tried = written(tried.select(*kept, "_size", "_in", F.when(~F.col("_in") & ~F.col("_is_top"), F.col("parts")).alias("parts")), "sets")
+    id_ = ["group_id", "_h", "_g"]
+    rest = tried.where("parts is not null").select(*id_, "_size", "parts")
+    listed = rest.select(*id_, "_size", F.explode("parts").alias("_p"))
+    rare = listed.groupBy("group_id", "_p").agg(F.count("*").alias("_c")).where("_c > 1")
+    # parts that stand in one set only show that it is no subset
     probe = (
-        listed.join(rare, ["group_id", "_p"]).groupBy("group_id", "norm")
-        .agg(F.min(F.struct("_c", "_p")).alias("_r"), F.first("_size").alias("_size")).where("_r._c > 1").select("group_id", F.col("norm").alias("_small"), F.col("_size").alias("_s"), F.col("_r._p").alias("_p"))
-    )
-    met = probe.join(listed, ["group_id", "_p"]).where("_size > _s").select("group_id", "_small", "norm")
-    inside = (
-        met.join(rest.select("group_id", "norm", F.col("parts").alias("_big")), ["group_id", "norm"])
-        .join(rest.select("group_id", F.col("norm").alias("_small"), "parts"), ["group_id", "_small"])
-        .where(F.size(F.array_except("parts", "_big")) == 0).select("group_id", F.col("_small").alias("norm")).distinct().withColumn("_more", F.lit(True))
+        looked_up(listed, rare, ["group_id", "_p"], "_c", keep="_c").groupBy(*id_)
+        .agg(F.min(F.struct(F.coalesce("_c", F.lit(1)).alias("_c"), "_p")).alias("_r"), F.first("_size").alias("_s")).where("_r._c > 1").select("group_id", F.col("_h").alias("_hs"), F.col("_g").alias("_gs"), "_s", F.col("_r._p").alias("_p"))
     )
-    return tried.join(inside, ["group_id", "norm"], "left").withColumn("_part", F.col("_in") | F.coalesce("_more", F.lit(False))).drop("_in", "_more", "_is_top", "_size")
+    met = probe.join(listed, ["group_id", "_p"]).where("_size > _s").select("group_id", "_hs", "_gs", "_h", "_g")
+    small = rest.select("group_id", F.col("_h").alias("_hs"), F.col("_g").alias("_gs"), F.col("parts").alias("_small"))
+    inside = met.join(rest.select(*id_, "parts"), id_).join(small, ["group_id", "_hs", "_gs"]).where(F.size(F.array_except("_small", "parts")) == 0)
+    inside = inside.select("group_id", F.col("_hs").alias("_h"), F.col("_gs").alias("_g")).distinct().withColumn("_more", F.lit(True))
+    return tried.join(inside, id_, "left").withColumn("_part", F.col("_in") | F.coalesce("_more", F.lit(False))).select(*kept, "_part")
 
 
-def sound_values(groups: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
-    """The merged values of :func:`merged` that are no part of another member's value.
+def winners(groups: DataFrame, records: DataFrame, sources: DataFrame, agreement: bool) -> DataFrame:
+    """(group_id, abstract, references, doi): the best record of the winning value of each field, null where none is sound.
 
-    The merged values are written once: the two searches and their joins read them instead of the records.
+    Rows and merged values are written once: searches and votes read them instead of the records.
     """
-    values = written(merged(long_rows(members(groups, records, sources, ["abstract", "references", "doi"]), newest_time(records))), "values")
-    texts = begins_another(values.where("field_name <> 'references'"))
-    sets = within_another(values.where("field_name = 'references'"))
-    return texts.unionByName(sets.select(texts.columns)).where("not _part").drop("_part", "parts")
-
-
-def winners(sound: DataFrame, combine: str = "best") -> DataFrame:
-    """(group_id, field_name, record_id, value): the winning value of each field and the best record that holds it.
-
-    ``combine`` "best": the value of the highest single vote, so trust, then time, then the smallest record_id decide.
-    "sum": the value with the highest sum of votes, ties by the same order.
-    """
-    if combine not in ("best", "sum"):
-        raise ValueError("combine is 'best' or 'sum'")
-    order = F.col("_best") if combine == "best" else F.struct(F.col("_votes"), F.col("_best"))
-    won = sound.groupBy(*GROUP_FIELDS).agg(F.max_by(F.struct("_best", "value"), order).alias("_w"))
-    return won.select(*GROUP_FIELDS, (-F.col("_w._best._neg")).alias("record_id"), F.col("_w.value").alias("value"))
-
-
-def best_records(groups: DataFrame, records: DataFrame, sources: DataFrame, combine: str = "best") -> DataFrame:
+    rows = written(long_rows(members(groups, records, sources, list(FIELDS))), "rows")
+    values = written(merged(rows), "values")
+    sound = begins_another(values.where("field_name <> 'references'")).unionByName(within_another(values.where("field_name = 'references'"))).where("not _part").drop("_part")
+    sound = written(sound, "sound")
+    best = sound.groupBy(*GROUP_FIELDS).agg(F.max("_key").alias("_top"), F.sum("_n").alias("_all"))
+    ballots = rows.select(*GROUP_FIELDS, "_h", "_g", "record_id", vote(F.col("_rank"), F.col("updated_at"), F.lit(newest_time(records))).alias("_v"))
+    if not agreement:
+        known = looked_up(ballots, best, GROUP_FIELDS, "_all", keep="_all")
+        # ballots of values that are not sound are counted too, but no such value is left to win
+        ballots = known.withColumn("_v", F.when(F.col("record_id") == -F.col("_top._neg"), F.col("_v")).otherwise(F.col("_v") / (2.0 * (F.col("_all") + 1))))
+    # the last digits of a sum depend on its order and decide nothing
+    summed = ballots.groupBy(*GROUP_FIELDS, "_h", "_g").agg(F.sum("_v").alias("_votes")).withColumn("_votes", F.round(F.log2("_votes"), 9))
+    won = sound.join(summed, [*GROUP_FIELDS, "_h", "_g"]).groupBy(*GROUP_FIELDS).agg(F.max_by("_key", F.struct("_votes", "_key")).alias("_w"))
+    return won.groupBy("group_id").pivot("field_name", list(FIELDS)).agg(F.max(-F.col("_w._neg")))
+
+
+def best_records(groups: DataFrame, records: DataFrame, sources: DataFrame, agreement: bool = False) -> DataFrame:
     """(group_id, field_name, record_id): the record whose value of the field survives.
 
-    Defined results: a value is sound if it is not missing, not a remark that there is none, not malformed, and no
-    part of another member's value; a field without a sound value gives no row. Null times rank last, null and unlisted sources
-    too; ties go to the smallest record_id. Repeated rows of ``groups`` count once; members that are not in
+    Without ``agreement`` trust decides, then time, then the smallest record_id. Defined results: a value is sound if it is not
+    missing, not a remark that there is none, not malformed, and no part of another member's value; a field without a sound value
+    gives no row. Null times rank last, null and unlisted sources too. Repeated rows of ``groups`` count once; members that are not in
     ``records`` are ignored; empty tables give an empty table; other columns are not read.
     """
-    return winners(sound_values(groups, records, sources), combine).select("group_id", "field_name", "record_id")
+    wide = winners(groups, records, sources, agreement)
+    fields = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").alias("record_id")) for f in FIELDS))
+    return wide.select("group_id", F.inline(fields)).where("record_id is not null")
 
 
-def survivors(groups: DataFrame, records: DataFrame, sources: DataFrame, combine: str = "sum") -> DataFrame:
+def survivors(groups: DataFrame, records: DataFrame, sources: DataFrame, agreement: bool = True) -> DataFrame:
     """(group_id, abstract, references, doi, source): one built record for each group; null where no value is sound.
 
-    source is the label of the most voted source of the group's members, in small letters.
+    With ``agreement`` every vote counts whole, so several records may outvote one of a better source. source is the label of the most
+    voted source of the group's members, in small letters. Defined results otherwise as in :func:`best_records`.
     """
-    fields = winners(sound_values(groups, records, sources), combine)
-    wide = fields.groupBy("group_id").agg(*(F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in ("abstract", "references", "doi")))
+    won = best_records(groups, records, sources, agreement)
+    held = records.select("record_id", *(F.col(f"`{f}`") for f in FIELDS)).join(won, "record_id")
+    value = F.coalesce(*(F.when(F.col("field_name") == f, F.col(f"`{f}`")) for f in FIELDS))
+    wide = held.groupBy("group_id").agg(*(F.max(F.when(F.col("field_name") == f, value)).alias(f) for f in FIELDS))
     found = members(groups, records, sources, [])
-    votes = found.where("_label <> ''").groupBy("group_id", "_label").agg(F.sum(F.pow(F.lit(2.0), -F.coalesce("_rank", F.lit(LAST_RANK)).cast("double"))).alias("_v"))
+    votes = found.where("_label <> ''").groupBy("group_id", "_label").agg(F.sum(F.pow(F.lit(2.0), -F.col("_rank").cast("double"))).alias("_v"))
     source = votes.groupBy("group_id").agg(F.max_by("_label", F.struct("_v", "_label")).alias("source"))
     return found.select("group_id").distinct().join(wide, "group_id", "left").join(source, "group_id", "left")

@@ -44,26 +44,61 @@ def test_survivors(spark):
     assert survivors.best_records(groups.limit(0), records, sources).count() == 0
 
 
-def test_pieces_of_large_groups(spark, monkeypatch):
+def test_trust_comes_before_time_and_numbers(spark):
+    t = lambda d: dt.datetime(2020, 1, d)
+    old = dt.datetime(1950, 1, 1)
+    records = _corpus(spark, [
+        (1, "first", None, "from the best source", None, "10.1/a"), (2, "second", t(9), "from the newest record", None, "10.1/b"), (3, "second", t(9), "from the newest record", None, "10.1/b"),
+        (4, "first", old, None, None, "10.1/c"), *((k, "third", t(9), "from the newest record", None, "10.1/b") for k in range(10, 60)),
+        (5, "first", t(3).replace(hour=1), "x y", "R1", None), (6, "first", t(3).replace(hour=2), "z", "R2", None), (7, "first", t(3).replace(hour=1), "x y", "R1", None),
+    ])
+    groups = spark.createDataFrame([(1, k) for k in (1, 2, 3, 4, *range(10, 60))] + [(2, k) for k in (5, 6, 7)], "group_id long, record_id long")
+    sources = spark.createDataFrame([("a", "first", 1), ("b", "second", 2), ("c", "third", 3)], "source string, label string, trust_rank int")
+    assert rows(survivors.best_records(groups, records, sources)) == [(1, "abstract", 1), (1, "doi", 4), (2, "abstract", 6), (2, "references", 6)]
+    # with agreement many votes win, though each is less
+    assert rows(survivors.best_records(groups, records, sources, agreement=True)) == [(1, "abstract", 2), (1, "doi", 2), (2, "abstract", 5), (2, "references", 5)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_sum_gives_the_rule(spark, seed):
+    rng = np.random.default_rng(seed)
+    labels = ["s1", "s2", "s3", None, "odd"]
+    data = [(k, labels[int(rng.integers(5))], None if rng.random() < 0.2 else dt.datetime(2020, 1, int(rng.integers(1, 4)), int(rng.integers(0, 3))), None, None, f"10.1/{'abc'[int(rng.integers(3))]}x") for k in range(80)]
+    groups = spark.createDataFrame([(k % 7, k) for k in range(80)], "group_id long, record_id long")
+    sources = spark.createDataFrame([("x", f"s{r}", r) for r in (1, 2, 3)], "source string, label string, trust_rank int")
+    rank = lambda s: int(s[1]) if s and s[0] == "s" else 99
+    best = lambda g: min((r for r in data if r[0] % 7 == g), key=lambda r: (rank(r[1]), -(r[2].timestamp() if r[2] else 0), r[0]))
+    assert rows(survivors.best_records(groups, _corpus(spark, data), sources)) == [(g, "doi", best(g)[0]) for g in range(7)]
+
+
+def test_beginnings_against_brute_force(spark):
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("ab"), int(rng.integers(1, 9)))) for _ in range(300)]
-    values = spark.createDataFrame([(k % 2, "abstract", t) for k, t in enumerate(texts)], "group_id long, field_name string, norm string").distinct()
-    monkeypatch.setattr(survivors, "PIECE", 5)
-    got = {(r["group_id"], r["norm"]): r["_part"] for r in survivors.begins_another(values).collect()}
+    values = spark.createDataFrame([(k % 2, "abstract", t, t) for k, t in enumerate(texts)], "group_id long, field_name string, norm string, t string").distinct()
     groups = collections.defaultdict(set)
     for k, t in enumerate(texts):
         groups[k % 2].add(t)
-    assert got == {(g, t): any(o != t and o.startswith(t) for o in ts) for g, ts in groups.items() for t in ts}
+    for parts in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {(r["group_id"], r["t"]): r["_part"] for r in survivors.begins_another(values).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == {(g, t): any(o != t and o.startswith(t) for o in ts) for g, ts in groups.items() for t in ts}
 
 
-def test_subsets_against_brute_force(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_subsets_against_brute_force(spark, monkeypatch, few):
+    from quillmill.plans import sizing
+
+    if not few:
+        monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
     rng = np.random.default_rng(2)
     sets = sorted({tuple(sorted(set(rng.choice(list("abcdefg"), int(rng.integers(1, 6))).tolist()))) for _ in range(40)})
-    df = spark.createDataFrame([(k % 3, "references", "\n".join(s), list(s)) for k, s in enumerate(sets)], "group_id long, field_name string, norm string, parts array<string>")
-    got = {(r["group_id"], r["norm"]): r["_part"] for r in survivors.within_another(df).collect()}
+    df = spark.createDataFrame([(k % 3, "references", "\n".join(s), k, k) for k, s in enumerate(sets)], "group_id long, field_name string, norm string, _h long, _g long")
+    got = {r["_h"]: r["_part"] for r in survivors.within_another(df).collect()}
     for k, s in enumerate(sets):
-        others = [set(o) for j, o in enumerate(sets) if j % 3 == k % 3]
-        assert got[(k % 3, "\n".join(s))] == any(set(s) < o for o in others)
+        assert got[k] == any(set(s) < set(o) for j, o in enumerate(sets) if j % 3 == k % 3)
 
 
 # 3 names -----------------------------------------------------------------------------------------
@@ -123,21 +158,28 @@ def test_pairs_against_brute_force(spark, heavy):
 # 5 twins -----------------------------------------------------------------------------------------
 
 
+TWINS = ["title", "doi", "year"]
+
+
 def test_twins(spark):
     data = [(1, "A b-C!", "10.1/X", "2001"), (2, "abc", "https://doi.org/10.1/x", " 2001. "), (3, "2001", "ABC", "doi:10.1/x"), (4, "abc", "10.1/x", None), (5, "n/a", "", None), (6, None, "-", "UNKNOWN"), (7, "abc", "10.1/x", "2002"), (None, "abc", "10.1/x", "2001"), (2, "abc", "10.1/x", "2001")]
     df = spark.createDataFrame([(*r, "z") for r in data], "record_id long, title string, doi string, year string, first_id string")
-    assert rows(format_twins.copies(df, "record_id", ["title", "doi", "year"])) == [(1, 2), (1, 3), (5, 6)]
-    assert (1, 2) in rows(format_twins.copies(df, "record_id", ["title", "doi", "year"], columns_matter=True))
-    assert dict(rows(format_twins.collapsed(df.where("record_id <> 2"), "record_id", ["title", "doi", "year"]))) == {1: 2, 4: 1, 5: 2, 7: 1}
-    assert format_twins.copies(df.limit(0), "record_id", ["title", "doi", "year"]).count() == 0
+    assert rows(format_twins.copies(df, "record_id", TWINS, (TWINS,))) == [(1, 2), (1, 3), (5, 6)]
+    # a value counts in the field it stands in, or in fields of the same normalised name only
+    assert rows(format_twins.copies(df, "record_id", TWINS)) == [(1, 2), (5, 6)]
+    assert rows(format_twins.copies(df, "record_id", TWINS, (("title", "year"),))) == [(1, 2), (5, 6)]
+    assert dict(rows(format_twins.collapsed(df.where("record_id <> 2"), "record_id", TWINS, (TWINS,)))) == {1: 2, 4: 1, 5: 2, 7: 1}
+    assert format_twins.copies(df.limit(0), "record_id", TWINS, (TWINS,)).count() == 0
+    assert format_twins.normal_names(["DO-I", "Title", "year"], (("title", "year"),)) == ["doi", "title", "title"]
 
 
 def test_collisions_are_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(format_twins, "_part", lambda c, salt: F.length(c).cast("long"))
-    df = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "AB"), (4, "c d"), (5, "xy")], "record_id long, title string")
-    assert rows(format_twins.copies(df, "record_id", ["title"])) == [(1, 3), (2, 4)]
+    monkeypatch.setattr(format_twins, "_part", lambda name, c, salt: F.length(c).cast("long"))
+    df = spark.createDataFrame([(1, "ab", "x"), (2, "cd", "x"), (3, "AB", "x"), (4, "c d", "x"), (5, "xy", "x"), (6, "x", "ab"), (7, "x", "xy")], "record_id long, title string, doi string")
+    assert rows(format_twins.copies(df, "record_id", ["title", "doi"])) == [(1, 3), (2, 4)]
+    assert rows(format_twins.copies(df, "record_id", ["title", "doi"], (("title", "doi"),))) == [(1, 3), (1, 6), (2, 4), (5, 7)]
 
 
 # 7 tokens ----------------------------------------------------------------------------------------
