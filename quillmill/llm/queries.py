@@ -15,7 +15,7 @@ TOKENIZERS = "/opt/tokenizers"
 #: Fields whose values may stand in each other's columns.
 TWIN_FIELDS = ("title", "doi", "year")
 
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+VOCABULARY, WORD_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(_table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY).select("doc_id", "ids")
 
 
+def p7_word_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document by the vocabulary that marks the ends of words."""
+    return tokens.encode_corpus(_table(spark, sf, "documents").select("doc_id", "text"), WORD_VOCABULARY).select("doc_id", "ids")
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, or piece of a document longer than a container, with its container."""
     return packing.pack_texts(_table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
@@ -84,7 +89,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_survivors, p3_found, p3_entities, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p8_containers, p9_found, p9_segments)
+    named = (p1_found, p1_survivors, p3_found, p3_entities, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p7_word_ids, p8_containers, p9_found, p9_segments)
     return {f.__name__: f for f in named}
 
 

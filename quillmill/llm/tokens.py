@@ -7,7 +7,6 @@ and the data cannot change. There is no shuffle: one scan, one pass.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.merge_automaton import MergeAutomaton, automaton, emitted, read_merges
+from quillmill.llm.merge_automaton import MergeAutomaton, automaton, emitted, read_vocabulary
 
 
 def compiled(spark: SparkSession, vocabulary: str) -> Callable[[], MergeAutomaton]:
@@ -23,10 +22,8 @@ def compiled(spark: SparkSession, vocabulary: str) -> Callable[[], MergeAutomato
 
     The file is read on the driver only; workers get its merges by broadcast.
     """
-    parts = read_merges(vocabulary)
-    key = hashlib.md5(repr(parts[0][:2000]).encode() + str(len(parts[0])).encode()).hexdigest()
-    sent = spark.sparkContext.broadcast(parts)
-    return lambda: automaton(key, sent.value)
+    sent = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    return lambda: automaton(sent.value)
 
 
 def _texts(batch: pa.Array) -> Iterator[str | None]:
@@ -81,7 +78,8 @@ def encode_corpus(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
 
     Defined results: null and empty texts get an empty array; blanks and odd characters are bytes like any
     other; the spelling of a special token is ordinary text; a text of any length is encoded whole. Repeated
-    rows are encoded each, an empty table stays empty, and a column already named ``ids`` is replaced.
+    rows are encoded each, an empty table stays empty, and a column already named ``ids`` is replaced. Vocabularies that normalise
+    texts, such as those without capitals, do so first; texts of blanks only may then have no ids.
     """
     return df.withColumn(ids, token_ids(df.sparkSession, F.col(text), vocabulary))
 

@@ -9,7 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quillmill.llm import co_items, format_twins, languages, names, packing, queries, survivors, tokens
-from quillmill.llm.merge_automaton import SPLIT_PATTERN, MergeAutomaton, emitted, read_merges
+from quillmill.llm import merge_automaton
+from quillmill.llm.merge_automaton import MergeAutomaton, Vocabulary, emitted, read_vocabulary
 from tests.conftest import rows
 from tests.parity import connect, same
 
@@ -185,27 +186,63 @@ def test_collisions_are_told_apart(spark, monkeypatch):
 # 7 tokens ----------------------------------------------------------------------------------------
 
 
+# characters that every release of the Unicode tables knows
+texts = st.text(st.characters(exclude_categories=("Cs", "Cn", "Co")), max_size=60) | st.text(alphabet="aeinrst 1-'", max_size=60) | st.text(alphabet="aEÉe\u0301ΣσİßǅA'SlL\u00a0\x1c\u0085 \n7²٣", max_size=30)
+
+
 @needs_vocabulary
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="aeinrst 1-'", max_size=60))
+@given(texts)
 def test_ids_equal_the_public_library(text):
-    tokenizer, automaton = _both()
+    tokenizer, automaton = _both(queries.VOCABULARY)
     ids = automaton.encode(text)
     assert ids == tokenizer.encode(text, add_special_tokens=False).ids
     assert emitted(ids, automaton.decoder()) == text
 
 
-_CACHE = []
+@needs_vocabulary
+@settings(max_examples=300, deadline=None)
+@given(texts)
+def test_ids_of_words_equal_the_public_library(text):
+    tokenizer, automaton = _both(queries.WORD_VOCABULARY)
+    assert automaton.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def _both():
-    if not _CACHE:
+_CACHE = {}
+
+
+def _both(path):
+    if path not in _CACHE:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(queries.VOCABULARY)
+        t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _CACHE.extend((t, MergeAutomaton(*read_merges(queries.VOCABULARY), SPLIT_PATTERN)))
-    return _CACHE
+        _CACHE[path] = (t, MergeAutomaton(read_vocabulary(path)))
+    return _CACHE[path]
+
+
+@needs_vocabulary
+def test_words_of_all_documents(spark, small):
+    tokenizer, automaton = _both(queries.WORD_VOCABULARY)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet".replace("sf0.001", "sf0.01")).select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["ids"] for r in queries.p7_word_ids(spark, small.replace("sf0.001", "sf0.01")).collect()}
+    assert got == {k: tokenizer.encode(t or "", add_special_tokens=False).ids for k, t in texts.items()}
+    assert emitted(automaton.encode("Two  Words, said."), automaton.decoder()) == "two words , said . "
+
+
+@needs_vocabulary
+def test_vocabularies_do_not_meet(tmp_path):
+    import json
+
+    with open(queries.VOCABULARY, encoding="utf-8") as f:
+        whole = json.load(f)
+    whole["model"]["merges"] = whole["model"]["merges"][:49_990] + whole["model"]["merges"][:10]
+    (tmp_path / "other.json").write_text(json.dumps(whole))
+    assert read_vocabulary(str(tmp_path / "other.json")).key != read_vocabulary(queries.VOCABULARY).key
+    whole["normalizer"] = {"type": "BertNormalizer"}
+    (tmp_path / "odd.json").write_text(json.dumps(whole))
+    with pytest.raises(ValueError, match="BertNormalizer"):
+        merge_automaton.read_vocabulary(str(tmp_path / "odd.json"))
 
 
 @needs_vocabulary
@@ -213,7 +250,7 @@ def test_token_columns(spark):
     long = "word " * 20_000 + "a" * 3000
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "<|endoftext|> naïve\r\n", 0), (4, long, 0), (3, "again", 0)], "doc_id long, text string, ids int")
     got = tokens.encode_corpus(df, queries.VOCABULARY)
-    t = _both()[0]
+    t = _both(queries.VOCABULARY)[0]
     for r in got.collect():
         assert r["ids"] == t.encode(r["text"] or "", add_special_tokens=False).ids
     back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(got.select("doc_id", "ids").where("doc_id = 4"), queries.VOCABULARY).collect()}
@@ -223,7 +260,7 @@ def test_token_columns(spark):
 
 def test_repeated_letters_and_gadgets():
     merges = [(97, 97), (256, 97), (97, 98), (256, 258)]  # aa, aaa, ab, aaab
-    m = MergeAutomaton(merges, list(range(260)), r"\S+|\s+")
+    m = MergeAutomaton(Vocabulary(merges, list(range(260)), r"\S+|\s+"))
 
     def by_merging(word):
         parts = list(word)
@@ -241,7 +278,7 @@ def test_repeated_letters_and_gadgets():
 
     for n in range(1, 9):
         for w in itertools.product(b"ab", repeat=n):
-            assert m.labels(bytes(w)) == by_merging(w)
+            assert m.labels(m.symbols(bytes(w).decode())) == by_merging(w)
 
 
 # 8 packing ---------------------------------------------------------------------------------------
