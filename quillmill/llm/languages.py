@@ -8,7 +8,12 @@ stretches by the best path, on which a change of language has a price too.
 
 The models are interpolated character n-grams, trained here on a bounded sample of labelled documents; labels may be
 wrong, so the sample is read twice: the second time each sentence counts for the language that the first models
-give it. Their tables, some MB whatever the corpus, are broadcast. Documents are then read once, without a shuffle.
+give it. Its words are counted by the executors, and only counts reach the driver. The models' tables, some MB whatever
+the corpus, are broadcast. Documents are then read once, without a shuffle.
+
+Every sentence counts, however short; the prices decide. Only what stands inside a sentence in quotes or brackets does not
+count for its language; a quotation of sentences is sentences. A heading, and a word that stands as a sentence by itself, are
+part of the sentence that follows.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmill.plans import broadcast_if_small, written
+
 #: Labelled documents of each language that the models are fitted on; the bound of the sample.
 SAMPLE_DOCUMENTS = 1500
 
@@ -33,24 +40,27 @@ SAMPLE_DOCUMENTS = 1500
 ORDER = 4
 
 #: Price of a language in a document, and of a change of language between sentences, in nats.
-LANGUAGE_PRICE, CHANGE_PRICE = 9.0, 4.0
+LANGUAGE_PRICE, CHANGE_PRICE = 6.0, 3.0
 
 #: Part of a word's likelihood that counts: the letters of a word are not independent of each other and of its neighbours.
 TEMPER = 0.6
 
+#: Share of words, such as names, that may stand in a text of any language; it bounds what one word can say.
+FOREIGN = 0.05
+
 #: Words remembered by each Python worker.
 WORD_MEMORY = 300_000
 
-WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
+#: Words; where none are set apart, every letter is one.
+WORD = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}--[\p{Han}\p{Hiragana}\p{Katakana}]]+(?:['’][\p{L}--[\p{Han}\p{Hiragana}\p{Katakana}]]+)*")
 #: Ends of sentences: punctuation before white space, or line ends.
-END = regex.compile(r"(?<=[.!?…][\"”»’')\]]{0,2})\s+(?=[^\s\p{Ll}])|[\r\n]+")
-#: Titles and words of other languages inside a sentence, remarks in brackets, mark-up and addresses.
-ASIDE = regex.compile(
-    r"«[^«»\r\n]{1,300}»|“[^“”\r\n]{1,300}”|„[^„“”\r\n]{1,300}[“”]|\"[^\"\r\n]{1,300}\"|\([^()\r\n]{1,300}\)|\[[^\[\]\r\n]{1,300}\]|<[^<>]{1,80}>|https?://\S+|\S+@\S+"
-)
-
-#: Marks that end a sentence, as commas: those of a title or remark do not end the sentence around it.
-NO_END = str.maketrans(".!?…", ",,,,")
+END = regex.compile(r"(?<=[.!?…][\"”»’')\]]{0,2})\s+(?=[^\s\p{Ll}])|(?<=[。！？][”」』）]{0,2})\s*|[\r\n]+")
+#: What may stand inside a sentence: titles and words in quotes, remarks in brackets, mark-up and addresses.
+ASIDE = regex.compile(r"«[^«»\r\n]*»|“[^“”\r\n]*”|„[^„“”\r\n]*[“”]|\"[^\"\r\n]*\"|\([^()\r\n]*\)|\[[^\[\]\r\n]*\]|<[^<>\r\n]*>|https?://\S+|\S+@\S+")
+#: The end of a sentence within an aside, and marks that end a part of a text.
+INNER_END = regex.compile(r"[.!?…]\s+(?=\p{Lu})|[。！？](?=\p{L})")
+ADDRESS = regex.compile(r"<[^<>\r\n]*>|https?://\S+|\S+@\S+")
+STOPPED = regex.compile(r"[.!?…。！？](?:\s?[\"”»’')\]」』）])*\s*$")
 
 
 def folded(word: str) -> str:
@@ -82,7 +92,8 @@ class Models:
                     total += self.unseen
             if len(self.known) >= WORD_MEMORY:
                 self.known.clear()
-            found = self.known[w] = total * TEMPER
+            like = np.exp((total - total.max()) * TEMPER)
+            found = self.known[w] = np.log((1 - FOREIGN) * like + FOREIGN * like.mean())
         return found
 
     def likelihood(self, words: list[str]) -> np.ndarray:
@@ -114,26 +125,48 @@ def fitted(counts: dict[str, Counter]) -> Models:
     return Models(languages, {g: np.log(np.maximum(p, 1e-12)) for g, p in out.items()}, np.full(len(languages), -math.log(10.0 * alphabet)))
 
 
+def without_asides(text: str) -> str:
+    """``text`` with blanks in place of what stands inside its sentences in quotes or brackets.
+
+    What begins where a sentence begins and holds its end, and what holds the ends of two sentences or more, is no aside.
+    """
+    out, at, shown = [], 0, 0
+    while (m := ASIDE.search(text, at)) is not None:
+        a, b = m.span()
+        before = text[shown:a].rstrip(" \t") if a - shown < 200 else text[a - 200 : a].rstrip(" \t")
+        opens = (not before and a == shown == 0) or not text[:a].strip() or before.endswith(("\n", "\r")) or STOPPED.search(before[-4:]) is not None
+        ends = m.group()[0] in "«“„\"([" and (STOPPED.search(m.group()) is not None or text[b : b + 1] in (".", "!", "?", "…", "。"))
+        if (opens and ends) or len(INNER_END.findall(m.group())) > 1:
+            at = a + 1
+        else:
+            out += [text[shown:a], " " * (b - a)]
+            at = shown = b
+    return "".join([*out, text[shown:]])
+
+
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence; a part without the end of a sentence, such as a heading, belongs to what follows it."""
-    text = ASIDE.sub(lambda m: m.group().translate(NO_END), text)
+    """The words of each sentence, with those of the headings before it.
+
+    A line without the end of a sentence, and a single word, belong to what follows. A sentence that is an aside as a whole counts
+    by its own words.
+    """
+    bare = without_asides(text)
     cuts, start = [], 0
-    for m in END.finditer(text):
-        cuts.append(text[start : m.start()])
+    for m in END.finditer(bare):
+        cuts.append((start, m.start()))
         start = m.end()
-    cuts.append(text[start:])
+    cuts.append((start, len(text)))
     out: list[list[str]] = []
-    heading: list[str] = []
-    for part in cuts:
-        words = WORD.findall(ASIDE.sub(" ", part)) or WORD.findall(part)
+    held: list[str] = []
+    for a, b in cuts:
+        words = WORD.findall(bare[a:b]) or WORD.findall(ADDRESS.sub(" ", text[a:b]))
         if not words:
             continue
-        if len(words) <= 4 and not part.rstrip().endswith(("!", "?", "…")):
-            heading = heading or words
-        else:
-            out.append(words)
-    # a heading says nothing about the language of what follows; it counts only where nothing else does
-    return out or ([heading] if heading else [])
+        held += words
+        if len(words) > 1 and STOPPED.search(bare[a:b]):
+            out.append(held)
+            held = []
+    return [*out, held] if held else out
 
 
 def proportions(lik: np.ndarray, allowed: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -217,85 +250,102 @@ def stretches(models: Models, text: str | None) -> list[tuple[int, str, float]]:
     return out
 
 
-def sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
+def sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """(language, text) of at most ``size`` labelled documents of each language, chosen by the hash of their ids."""
-    named = F.broadcast(labels.select(F.col("label").alias("lang"), F.col("lang").alias("_l")).distinct())
-    known = documents.where("text is not null").join(named, "lang")
+    known = documents.where("text is not null").join(_named(labels), "lang")
     counts = {r["_l"]: r["n"] for r in known.groupBy("_l").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
-    # about twice the sample passes the hash, so that no more than that is sent, however large the corpus is
+    # about twice the sample passes the hash, so that no more than that is sorted, however large the corpus is
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * size / n)))) if counts else F.create_map(F.lit(""), F.lit(0.0))
     near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("_l")) * 1_000_003)
     order = Window.partitionBy("_l").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = near.select("_l", "doc_id", "text").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
-    return [(r["_l"], r["text"]) for r in rows.select("_l", "text").collect()]
+    return near.select("_l", "doc_id", "text").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size).select(F.col("_l").alias("language"), "text")
 
 
-def trained(texts: list[tuple[str, str]], rounds: int = 2) -> Models:
-    """Models of a sample of labelled texts; after the first round sentences count for the language they are found in."""
-    split = [(lang, sentences(t)) for lang, t in texts]
+def _named(labels: DataFrame) -> DataFrame:
+    """(lang, _l): how documents write a language, and its code."""
+    return broadcast_if_small(labels.select(F.col("label").alias("lang"), F.col("lang").alias("_l")).where("_l is not null").distinct())
+
+
+def counted(parts: Iterable[tuple[str, list[str]]], models: Models | None = None) -> dict[str, Counter]:
+    """Counts of folded words by language, of (label, sentence); with models, by the language in which a sentence is surely found."""
     counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, parts in split:
-        for p in parts:
-            counts[lang].update(map(folded, p))
-    models = fitted(counts)
-    for _ in range(rounds - 1):
-        counts = {x: Counter() for x in models.languages}
-        for _, parts in split:
-            for p in parts:
-                lik = models.likelihood(p)
-                order = np.argsort(lik)
-                if len(order) == 1 or lik[order[-1]] - lik[order[-2]] > 3:
-                    counts[models.languages[int(order[-1])]].update(map(folded, p))
-        models = fitted(counts)
+    for lang, p in parts:
+        if models is not None:
+            lik = models.likelihood(p)
+            order = np.argsort(lik)
+            if len(order) > 1 and lik[order[-1]] - lik[order[-2]] <= 3:
+                continue
+            lang = models.languages[int(order[-1])]
+        counts[lang].update(map(folded, p))
+    return counts
+
+
+def trained(texts: list[tuple[str, str]], rounds: int = 2) -> Models:
+    """Models of labelled texts in memory; after the first round sentences count for the language they are found in."""
+    parts = [(lang, p) for lang, t in texts for p in sentences(t)]
+    models = None
+    for _ in range(rounds):
+        models = fitted(counted(parts, models))
     return models
 
 
-def segmented(documents: DataFrame, labels: DataFrame, sample_size: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(doc_id, seg_no, lang, confidence): the stretches of every document with words.
+def trained_on(texts: DataFrame, rounds: int = 2) -> Models | None:
+    """:func:`trained` of a table (language, text), counted by the executors; None for an empty table."""
+    spark, models = texts.sparkSession, None
+    texts = written(texts, "sample")
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(models and (models.languages, models.probabilities, models.unseen))
+
+        def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = sent.value and Models(*sent.value)
+            for batch in it:
+                parts = ((lang, p) for lang, t in zip(batch.column("language").to_pylist(), batch.column("text").to_pylist(), strict=True) for p in sentences(t))
+                rows = [(lang, w, n) for lang, c in counted(parts, own).items() for w, n in c.items()]
+                lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["language", "word", "n"])
+
+        found = texts.mapInArrow(run, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n")).toArrow()  # the words of the sample
+        counts: dict[str, Counter] = {x: Counter() for x in (models.languages if models else ())}
+        for lang, word, n in zip(*(found[c].to_pylist() for c in ("language", "word", "n")), strict=True):
+            counts.setdefault(lang, Counter())[word] = n
+        if not any(counts.values()):
+            return None
+        models = fitted(counts)
+    return models
 
-    Defined results: null, empty and wordless texts give no row; repeated rows are treated each; without any labelled
-    document there is no model and no row; texts of any length are read whole; other columns are not read.
-    """
+
+def _found(documents: DataFrame, labels: DataFrame, sample_size: int) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence, _l, _n): the stretches, the language of the document's label, and how many there are."""
     spark = documents.sparkSession
-    texts = sample(documents, labels, sample_size)
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, seg_no int, lang string, confidence double"
-    if not texts:
+    models = trained_on(sample(documents, labels, sample_size))
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, seg_no int, lang string, confidence double, _l string, _n int"
+    if models is None:
         return spark.createDataFrame([], schema)
-    models = trained(texts)
     sent = spark.sparkContext.broadcast((models.languages, models.probabilities, models.unseen))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Models(*sent.value)
         for batch in it:
-            ids, rows = batch.column("doc_id"), []
-            for k, text in enumerate(batch.column("text")):
-                rows += [(k, *s) for s in stretches(own, text.as_py())]
-            at, no, lang, conf = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(no, pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64())], ["doc_id", "seg_no", "lang", "confidence"])
+            found = [stretches(own, t.as_py()) for t in batch.column("text")]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            no, lang, conf, many = zip(*((*s, len(f)) for f in found for s in f), strict=True) if len(at) else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), pa.array(no, pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64()), batch.column("_l").take(at), pa.array(many, pa.int32())],
+                ["doc_id", "seg_no", "lang", "confidence", "_l", "_n"],
+            )
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text", "lang").join(_named(labels), "lang", "left").select("doc_id", "text", "_l").mapInArrow(run, schema)
 
 
-def corrected(documents: DataFrame, labels: DataFrame, sample_size: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(doc_id, seg_no, lang, confidence) of documents whose label is missing, unknown or wrong, and of all mixed ones."""
-    spark = documents.sparkSession
-    texts = sample(documents, labels, sample_size)
-    named = F.broadcast(labels.select(F.col("label").alias("lang"), F.col("lang").alias("_l")).distinct())
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, seg_no int, lang string, confidence double"
-    if not texts:
-        return spark.createDataFrame([], schema)
-    models = trained(texts)
-    sent = spark.sparkContext.broadcast((models.languages, models.probabilities, models.unseen))
+def segmented(documents: DataFrame, labels: DataFrame, sample_size: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence): the stretches of every document with words.
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Models(*sent.value)
-        for batch in it:
-            ids, rows = batch.column("doc_id"), []
-            for k, (text, label) in enumerate(zip(batch.column("text"), batch.column("_l"), strict=True)):
-                found = stretches(own, text.as_py())
-                if len(found) > 1 or (found and found[0][1] != label.as_py()):
-                    rows += [(k, *s) for s in found]
-            at, no, lang, conf = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(no, pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64())], ["doc_id", "seg_no", "lang", "confidence"])
-
-    return documents.select("doc_id", "text", "lang").join(named, "lang", "left").select("doc_id", "text", "_l").mapInArrow(run, schema)
+    Defined results: null, empty and wordless texts give no row; repeated rows are treated each; without any labelled
+    document there is no model and no row; texts of any length are read whole; other columns are not read.
+    """
+    return _found(documents, labels, sample_size).drop("_l", "_n")
+
+
+def corrected(documents: DataFrame, labels: DataFrame, sample_size: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """The rows of :func:`segmented` of documents whose label is missing, unknown or wrong, and of all mixed ones."""
+    return _found(documents, labels, sample_size).where("_n > 1 or _l is null or _l <> lang").drop("_l", "_n")

@@ -350,6 +350,34 @@ def test_mixed_and_odd_texts(spark, small):
     assert lang("1175; 1083 / 2318") == [] == lang("") == lang(None) == lang(" \n ")
 
 
+def test_every_sentence_counts(small):
+    docs = _accuracy_data(small)
+    models = languages.trained(list(zip(docs.own, docs.text, strict=True)))
+    lang = lambda t: [s[1] for s in languages.stretches(models, t)]
+    assert [len(s) for s in languages.sentences("Das ist gut. It is good. Wir gehen heim. Merci beaucoup.")] == [3, 3, 3, 2]
+    assert lang("Das ist gut. It is good. Wir gehen heim. Merci beaucoup.")[:3] == ["de", "en", "de"]
+    es = "Los datos muestran que los efectos son fuertes para los autores."
+    found = lang(f"{es} Thank you very much. {es}")
+    assert len(found) == 3 and found[0] == found[2] == "es"
+    # a quotation of sentences is sentences, a title in quotes is part of its sentence
+    assert lang('"It is good. We go home." Wir gehen heim und lesen die Daten der Autoren.') == ["en", "de"]
+    assert lang("« Les effets sont forts pour les auteurs. » The authors used a sample of theses.") == ["fr", "en"]
+    assert languages.sentences('One work is entitled "Che cosa ci dicono i dati? Il caso". Next it is.')[0] == ["One", "work", "is", "entitled"]
+    assert languages.sentences("Abstract. Two\nlines here. Ja. Gut so. Ende") == [["Abstract", "Two", "lines", "here"], ["Ja", "Gut", "so"], ["Ende"]]
+    assert [len(s) for s in languages.sentences("他们去了。我们也去！这是好的？")] == [4, 4, 4]
+    long = '"' + "word and word " * 5000 + '" End of it.'
+    assert languages.sentences(long) and languages.sentences("(" * 3000 + "a b.")
+
+
+def test_models_counted_by_executors(spark, small):
+    docs = _accuracy_data(small).head(300)
+    texts = list(zip(docs.own, docs.text, strict=True))
+    here, there = languages.trained(texts), languages.trained_on(spark.createDataFrame(texts, "language string, text string"))
+    assert here.languages == there.languages and here.probabilities.keys() == there.probabilities.keys()
+    assert all(np.allclose(p, there.probabilities[g]) for g, p in here.probabilities.items())
+    assert languages.trained_on(spark.createDataFrame([], "language string, text string")) is None
+
+
 def test_corrected(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/language_labels.parquet")
