@@ -135,11 +135,13 @@ def test_initials_that_fit_two(spark):
 # 4 items -----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("heavy", [0, 2, 50])
-def test_pairs_against_brute_force(spark, heavy):
+@pytest.mark.parametrize(("heavy", "wide", "memory"), [(0, 2000, 10), (2, 2000, 4_000_000), (50, 2000, 100), (2, 7, 4_000_000)])
+def test_pairs_against_brute_force(spark, monkeypatch, heavy, wide, memory):
+    monkeypatch.setattr(co_items, "WIDE", wide)
+    monkeypatch.setattr(co_items, "PAIR_MEMORY", memory)
     rng = np.random.default_rng(3)
     data = [(int(w), f, None if x == 0 else f"i{x}", "y") for w in range(120) for f in ("a", "b") for x in np.minimum(rng.geometric(0.3, 5), 12) - 1]
-    data += data[:50]
+    data += data[:50] + [(500, f"f{k}", f"i{k}", "y") for k in range(200)]
     df = spark.createDataFrame(data, "work_id long, field_name string, item string, number string")
     seen = collections.defaultdict(set)
     for w, f, x, _ in data:
@@ -149,10 +151,12 @@ def test_pairs_against_brute_force(spark, heavy):
     for (f, x), (g, y) in itertools.product(seen, seen):
         if f == g and x < y and len(seen[f, x] & seen[f, y]) >= 3:
             want.add((f, x, y, len(seen[f, x] & seen[f, y])))
+    single = {(f, x): len(w) for (f, x), w in seen.items() if len(w) >= 3}
     pairs, items = co_items.pair_counts(df, least=3, heavy=heavy, block_rows=60)
     name = {r["number"]: (r["field_name"], r["item"]) for r in items.collect()}
     got = {(name[r["_a"]][0], *sorted((name[r["_a"]][1], name[r["_b"]][1])), r["n"]) for r in pairs.where("_a <> _b").collect()}
     assert got == want
+    assert {name[r["_a"]]: r["n"] for r in pairs.where("_a = _b").collect()} == single
     assert co_items.associated(df.limit(0)).count() == 0
 
 
