@@ -132,6 +132,47 @@ def test_initials_that_fit_two(spark):
     assert rows(names.linked(df)) == [(2, 4)]
 
 
+def _entity_sets(spark, forms):
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(forms)], "name_id long, field_name string, name string, country string")
+    found = collections.defaultdict(set)
+    for r in names.entities(df).collect():
+        assert 0 < r["score"] <= 1
+        found[r["entity"]].add(r["name_id"])
+    return sorted(sorted(x) for x in found.values())
+
+
+def test_nicknames_of_the_table(spark):
+    forms = [("author", n, "France") for n in ("Brandt, Andrew", "Andy Brandt", "Holm, Charles", "Holm, Charlie", "Roe, Steven", "Roe, Steve", "Poe, William", "Poe, Bill", "Lund, Pat", "Lund, Patricia", "Ek, Pat", "Ek, Patricia", "Ek, Patrick")]
+    assert _entity_sets(spark, forms) == [[0, 1], [2, 3], [4, 5], [6, 7], [8, 9], [10], [11], [12]]
+    own = names.Tables(nicknames={"zebedee": "zeb"})
+    df = spark.createDataFrame([(1, "author", "Roe, Zeb", None), (2, "author", "Roe, Zebedee", None), (3, "author", "Poe, Bill", None), (4, "author", "Poe, William", None)], "name_id long, field_name string, name string, country string")
+    assert rows(names.linked(df, own)) == [(1, 2)] and rows(names.linked(df)) == [(3, 4)]
+
+
+def test_people_of_one_name(spark):
+    forms = [("author", n, c) for n, c in (
+        ("Wang, Wei M.", "China"), ("Wang, Wei J.", "China"), ("Wei M. Wang", None), ("Wang, Wei", "China"), ("Wang, W. J.", "China"),
+        ("Meier, Anna", "Germany"), ("Meier, Anna", "Austria"), ("Meier, A.", "Austria"), ("Meier, A.", "Spain"), ("Anna Meier", None), ("Sole, Rosa B.", "Spain"), ("Sole, Rosa", "Spain"), ("Sole, R. B.", None),
+    )]
+    # a name that nothing decides stays alone
+    assert _entity_sets(spark, forms) == [[0, 2], [1, 4], [3], [5], [6, 7], [8], [9], [10, 11, 12]]
+
+
+def test_words_of_titles_and_places(spark):
+    forms = [("journal", n, "France") for n in ("Advances in Marine Optics", "Advncs in Marine Optics", "Procs. of Alpine Botany", "Proceedings of Alpine Botany", "Advances in Marine oof Optics")]
+    forms += [("institution", n, c) for n, c in (("University of Tarmo", "Noland"), ("University of Tarmo, Noland", None), ("University of Tarmo, Elsewhere", "Noland"))]
+    forms += [("journal", f"Annals of Field {'ABCDEFGH'[k]}{'xyzuvwst'[k] * 4}", None) for k in range(8)]
+    assert _entity_sets(spark, forms)[:4] == [[0, 1, 4], [2, 3], [5, 6], [7]]
+
+
+def test_an_entity_of_many_names(spark, monkeypatch):
+    from quillmill.plans import split_join
+
+    monkeypatch.setattr(split_join, "__defaults__", (10,))
+    df = spark.createDataFrame([(k, "author", "Roe, Anna", "France") for k in range(40)] + [(99, "author", "Poe, Anna", "France")], "name_id long, field_name string, name string, country string")
+    assert rows(names.linked(df)) == sorted([(a, b) for a in range(40) for b in range(a + 1, 40)], key=repr)
+
+
 # 4 items -----------------------------------------------------------------------------------------
 
 
