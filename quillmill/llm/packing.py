@@ -32,8 +32,8 @@ from quillmill.plans import checkpointed
 #: Cells of the grid of lengths on which patterns are enumerated.
 GRID = 64
 
-#: Buckets in which the documents of one length are ranked apart.
-RANK_BUCKETS = 256
+#: Documents of one length that one task ranks, about; the most frequent length decides the number of buckets.
+RANK_ROWS = 100_000
 
 
 def patterns_of(grid: int) -> list[tuple[int, ...]]:
@@ -180,13 +180,14 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int, grid: int = GRID)
     plan = plan_containers(counted, capacity, grid)
     where = spark.sparkContext.broadcast(located(plan))
 
-    bucket = F.pmod(F.xxhash64("_key", "_piece"), F.lit(RANK_BUCKETS)).cast("int")
+    buckets = 8 + max(counted.values(), default=0) // RANK_ROWS
+    bucket = F.pmod(F.xxhash64("_key", "_piece"), F.lit(buckets)).cast("int")
     sorted_pieces = pieces.where("_size > 0").withColumn("_bucket", bucket)
     offsets = (
         sorted_pieces.groupBy("_size", "_bucket").agg(F.count("*").alias("_m"))
         .withColumn("_before", F.sum("_m").over(Window.partitionBy("_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("_size", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    )  # at most capacity x RANK_BUCKETS rows
+    )  # at most capacity x buckets rows
     ranked = sorted_pieces.withColumn("_in", F.row_number().over(Window.partitionBy("_size", "_bucket").orderBy("_key", "_piece")) - 1)
     ranked = ranked.join(offsets, ["_size", "_bucket"]).select("_key", "_piece", "_start", "_size", (F.col("_in") + F.col("_before")).alias("_rank"))
 
