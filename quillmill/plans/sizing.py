@@ -31,13 +31,14 @@ def split_hot(counted: DataFrame, n: str, total: int, least: int = 10_000) -> Co
     return F.col(n) >= F.lit(max(least, total // HOT_SHARE))
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, keep: str | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, keep: str | None = None, few: int = BROADCAST_ROWS // 10) -> DataFrame:
     """``rows`` with the columns of their key's one row in ``table``, null where it has none; ``n`` counts the key's rows.
 
     Keys that hold a thousandth of all rows are broadcast, at most a thousand of them, so no task gets a hot key; all others
-    are joined by shuffle. The column ``n`` is dropped unless it is ``keep``.
+    are joined by shuffle. A table of at most ``few`` rows, fewer where they are wide, is broadcast whole. The column ``n`` is dropped
+    unless it is ``keep``.
     """
-    if row_count_at_most(table, BROADCAST_ROWS // 10):
+    if row_count_at_most(table, few):
         out = rows.join(F.broadcast(table), keys, "left")
     else:
         hot = split_hot(table, n, rows.count())
