@@ -119,7 +119,7 @@ def within_another(values: DataFrame) -> DataFrame:
     kept = [c for c in values.columns if c != "norm"]
     sets = values.withColumn("parts", F.split("norm", "\n")).withColumn("_size", F.size("parts"))
     largest = sets.groupBy("group_id").agg(F.max_by("parts", F.struct("_size", "norm")).alias("_top"), F.count("*").alias("_rows"))
-    tried = looked_up(sets, largest, ["group_id"], "_rows").withColumn("_in", (F.size("_top") > F.col("_size")) & (F.size(F.array_except("parts", "_top")) == 0)).withColumn("_is_top", F.col("parts") == F.col("_top"))
+    tried = looked_up(sets, largest, ["group_id"], "_rows", few=2_000).withColumn("_in", (F.size("_top") > F.col("_size")) & (F.size(F.array_except("parts", "_top")) == 0)).withColumn("_is_top", F.col("parts") == F.col("_top"))
     tried = written(tried.select(*kept, "_size", "_in", F.when(~F.col("_in") & ~F.col("_is_top"), F.col("parts")).alias("parts")), "sets")
     id_ = ["group_id", "_h", "_g"]
     rest = tried.where("parts is not null").select(*id_, "_size", "parts")
