@@ -104,3 +104,15 @@ def test_last_delivery_of_a_work(spark):
     r = nested.works_table(df).first()
     assert (r["work_id"], r["display_name"], r["cited_by_count"], r["publication_year"]) == ("W1", "late", 9, 2001)
     assert nested.works_table(df.drop("loaded_at")).count() == 1
+
+
+def test_look_ups_without_hot_keys(spark, monkeypatch):
+    from quillmill.plans import looked_up, sizing
+
+    rows_ = spark.createDataFrame([(k, "hot" if k % 3 else f"g{k % 10}") for k in range(60)], "x long, g string")
+    table = rows_.where("g <> 'g3'").groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("low"))
+    want = rows(rows_.join(table.drop("n"), ["g"], "left").select("x", "g", "low"))
+    assert rows(looked_up(rows_, table, ["g"], "n").select("x", "g", "low")) == want
+    monkeypatch.setattr(sizing, "split_hot", lambda counted, n, total: F.col(n) > 10)
+    got = looked_up(rows_, table, ["g"], "n", keep="n", few=1)
+    assert rows(got.select("x", "g", "low")) == want and "n" in got.columns
