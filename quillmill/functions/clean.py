@@ -57,6 +57,21 @@ def letters_and_digits(c: Column) -> Column:
     return folded(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", ""))
 
 
+# What the bytes 80 to 9F mean in texts of Western Windows systems; blanks where they mean nothing.
+_WINDOWS = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
+
+
+def decoded(c: Column) -> Column:
+    """A text whose bytes were read as they are: UTF-8 where they are valid, else Western single bytes; a byte order mark goes."""
+    western = F.translate(F.decode(c.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(128, 160))), _WINDOWS)
+    return F.regexp_replace(F.when(F.is_valid_utf8(c), c).otherwise(western), "^\\ufeff", "")
+
+
+def doi_characters(c: Column) -> Column:
+    """The beginning of a DOI that consists of characters a DOI may have."""
+    return F.regexp_extract(c, "^[0-9a-zA-Z./\\-_:]*", 0)
+
+
 def bare_doi(c: Column) -> Column:
     """A DOI without resolver, blanks, brackets and full stops around it, in small letters; null if malformed."""
     inner = F.regexp_replace(c, f"^(?:{BLANK}|[\\[\\](){{}}<>])+|(?:{BLANK}|[\\[\\](){{}}<>.])+$", "")

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from quillmill.plans import checkpointed, split_join
 
+#: Arcs of the longest chain of citations that is followed; beyond it there is an error.
+LONGEST_CHAIN = 10_000
+
 
 def top_references(references: DataFrame, n: int) -> DataFrame:
     """(ref, n): the most cited references."""
@@ -137,3 +140,105 @@ def own_name_citations(authors: DataFrame, references: DataFrame) -> DataFrame:
     """(item, n_self): references of an entity's own papers whose text holds its name. Tables (doc_id, item), (doc_id, ref)."""
     rows = authors.select("doc_id", "item").distinct().join(references.select("doc_id", "ref"), "doc_id")
     return rows.where(F.lower("ref").contains(F.lower("item"))).groupBy("item").agg(F.count("*").alias("n_self"))
+
+
+def citing_papers(references: DataFrame, papers: DataFrame, years: tuple[int | None, int | None] = (None, None), refs: list[str] | None = None) -> DataFrame:
+    """(ref, doc_id, year): which papers cite each reference, each once, in a span of years and for chosen references."""
+    kept = papers.where("year is not null").select("doc_id", "year")
+    for limit, at_least in zip(years, (True, False), strict=True):
+        if limit is not None:
+            kept = kept.where(F.col("year") >= limit if at_least else F.col("year") <= limit)
+    rows = references.where("ref is not null and lower(ref) <> 'unknown'")
+    rows = rows.where(F.col("ref").isin(refs)) if refs else rows
+    return rows.select("doc_id", "ref").distinct().join(kept, "doc_id").select("ref", "doc_id", "year")
+
+
+def co_cited_groups(references: DataFrame, size: int, top: int, least: int = 1) -> DataFrame:
+    """(refs, n): the sets of ``size`` references that most papers cite together, as sorted texts between bars.
+
+    A set stands in no more papers than its rarest member, so references of fewer than ``least`` papers are dropped first. Sets are
+    made member by member with generators, so those of one paper never stand in memory together.
+    """
+    once = references.where("ref is not null").select("doc_id", "ref").distinct()
+    if least > 1:
+        once = once.join(once.groupBy("ref").agg(F.count("*").alias("_c")).where(F.col("_c") >= least).select("ref"), "ref", "left_semi")
+    lists = once.groupBy("doc_id").agg(F.array_sort(F.collect_list("ref")).alias("_r")).where(F.size("_r") >= size)
+    sets = lists.select(F.array().cast("array<string>").alias("_s"), "_r")
+    for k in range(size):
+        step = sets.select("_s", "_r", F.posexplode("_r").alias("_k", "_x"))
+        rest = F.slice("_r", F.col("_k") + 2, F.size("_r"))
+        sets = step.select(F.concat("_s", F.array("_x")).alias("_s"), rest.alias("_r")).where(F.size("_r") >= size - k - 1)
+    counted = sets.select(F.array_join("_s", "|").alias("refs")).groupBy("refs").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counted.orderBy(F.col("n").desc(), "refs").limit(top)
+
+
+def named_titles(references: DataFrame, papers: DataFrame) -> DataFrame:
+    """(doc_id, ref, target): references whose text holds the title of a paper, both in small letters.
+
+    ``papers`` is (doc_id, title). A title is looked up by the rarest of its inner words, which stand in the reference as whole words;
+    titles of one or two words are compared with the pieces of references that are as long as they.
+    """
+    texts = references.where("ref is not null").select("doc_id", "ref", F.lower("ref").alias("_t"))
+    titles = papers.where("title is not null and trim(title) <> '' and lower(trim(title)) <> 'unknown'").select(F.col("doc_id").alias("target"), F.lower("title").alias("_title"))
+    words = lambda c: F.regexp_extract_all(c, F.lit("[\\p{L}\\p{N}]+"), 0)
+    split = titles.withColumn("_w", words(F.col("_title")))
+    inner = F.slice("_w", F.lit(2), F.size("_w") - 2)
+    held = texts.select(*texts.columns, F.explode(F.array_distinct(words(F.col("_t")))).alias("_k"))
+    rare = held.groupBy("_k").agg(F.count("*").alias("_c"))
+    keys = split.where(F.size("_w") > 2).select("target", "_title", F.explode(inner).alias("_k")).join(rare, "_k").groupBy("target", "_title").agg(F.min(F.struct("_c", "_k")).alias("_m"), F.count("*").alias("_n"))
+    probes = keys.select("target", "_title", F.col("_m._k").alias("_k"))
+    long = split_join(checkpointed(held), checkpointed(probes), ["_k"]).where(F.col("_t").contains(F.col("_title"))).select("doc_id", "ref", "target")
+    short = split.where(F.size("_w") <= 2).select("target", F.col("_title").alias("_p"), F.length("_title").alias("_l"))
+    lengths = [r[0] for r in short.select("_l").distinct().collect()]  # lengths of titles of one or two words
+    if not lengths:
+        return long.distinct()
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t") - n + 1)), lambda i: F.substring("_t", i, F.lit(n)))
+    cut = texts.select("doc_id", "ref", F.explode(F.array_distinct(F.concat(*(pieces(n) for n in lengths)))).alias("_p"))
+    return long.unionByName(cut.join(short, "_p").select("doc_id", "ref", "target")).distinct()
+
+
+def past_citations(named: DataFrame, papers: DataFrame) -> DataFrame:
+    """(year, n): how often papers of a year cite papers of the corpus, out of :func:`named_titles`; years without any have 0."""
+    years = papers.where("year is not null").select("doc_id", "year")
+    counted = named.join(years, "doc_id").groupBy("year").agg(F.count("*").alias("_n"))
+    return years.select("year").distinct().join(counted, "year", "left").select("year", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+def self_citation_rates(cites: DataFrame, authors: DataFrame) -> DataFrame:
+    """(doc_id, n_refs, rate): the share of a paper's references within the corpus that share an author with it. ``authors``: (doc_id, item)."""
+    once = authors.where("item is not null and upper(trim(item)) <> 'UNKNOWN'").select("doc_id", F.lower(F.trim("item")).alias("item")).distinct()
+    links = cites.select("src", "dst").distinct()
+    shared = links.join(once.toDF("src", "item"), "src").join(once.toDF("dst", "item"), ["dst", "item"], "left_semi").select("src", "dst").distinct().withColumn("_s", F.lit(1))
+    return links.join(shared, ["src", "dst"], "left").groupBy(F.col("src").alias("doc_id")).agg(F.count("*").alias("n_refs"), F.round(F.avg(F.coalesce("_s", F.lit(0))), 6).alias("rate"))
+
+
+def history_paths(cites: DataFrame, least: int = 2, most: int = LONGEST_CHAIN) -> DataFrame:
+    """(source, target, n, path): a shortest chain of citations between each two papers that has one, those within another left out.
+
+    n counts the papers of a chain, ``path`` names them between bars; of chains of the same length the smallest by ids counts. A chain is
+    left out if all its papers stand in a longer one, or in an earlier one of the same length: both its ends do then, so chains meet
+    through the pairs of their papers. Made for graphs in which few papers can be reached from one.
+    """
+    links = checkpointed(cites.select("src", "dst").distinct().repartition("src"))
+    level = checkpointed(links.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.array("src", "dst").alias("p")))
+    found = level
+    for _ in range(most):
+        longer = level.join(links.toDF("t", "_n"), "t").select("s", F.col("_n").alias("t"), F.concat("p", F.array("_n")).alias("p")).where("s <> t")
+        new = longer.groupBy("s", "t").agg(F.min("p").alias("p")).join(found.select("s", "t"), ["s", "t"], "left_anti")
+        level = checkpointed(new.select("s", "t", "p"))
+        if level.isEmpty():
+            break
+        found = checkpointed(found.unionByName(level))
+    else:
+        raise ValueError(f"chains of more than {most} arcs")
+    kept = found.where(F.size("p") >= least)
+    ends = kept.where(F.size("p") > 2).select(F.col("p").alias("_q"), F.posexplode("p").alias("_i", "s")).select("_q", "s", F.explode(F.slice("_q", F.col("_i") + 2, F.size("_q"))).alias("t"))
+    before = (F.size("_q") > F.size("p")) | ((F.size("_q") == F.size("p")) & (F.col("_q") < F.col("p")))
+    within = kept.join(ends, ["s", "t"]).where(before & (F.size(F.array_except("p", "_q")) == 0)).select("s", "t").distinct()
+    return kept.join(within, ["s", "t"], "left_anti").select(F.col("s").alias("source"), F.col("t").alias("target"), F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: x.cast("string")), "|").alias("path"))
+
+
+def history_ends(cites: DataFrame) -> DataFrame:
+    """(kind, doc_id, n): the most cited and the most citing papers of the corpus, ties all."""
+    both = historiograph(cites).select("doc_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("n")) for k, c in (("cited", "n_cited"), ("citing", "n_citing"))))))
+    return both.join(F.broadcast(both.groupBy("kind").agg(F.max("n").alias("n")).where("n > 0")), ["kind", "n"]).select("kind", "doc_id", "n")  # two rows

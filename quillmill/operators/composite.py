@@ -6,12 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import clean
-from quillmill.operators.entity import presence
-
-
-def portfolio(stats: DataFrame, production: str = "n_docs", impact: str = "impact") -> DataFrame:
-    """``stats`` with ``quadrant`` by the medians of production and impact; on the line counts as above."""
-    cuts = stats.agg(F.percentile(production, F.lit(0.5)).alias("_p"), F.percentile(impact, F.lit(0.5)).alias("_i"))
+from quillmill.operators.cooccur import edges
+from quillmill.operators.entity import impact_indices, presence
+from quillmill.operators.graph import betweenness, degree
+from quillmill.plans import broadcast_if_small, checkpointed
+
+
+def leading(stats: DataFrame, top: int, production: str = "n_docs", impact: str = "impact", key: str = "item") -> DataFrame:
+    """The ``top`` rows by the sum of the standard scores of production and impact; ties by ``key``."""
+    means = stats.agg(*(f(c).alias(f"_{k}{c}") for c in (production, impact) for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    score = sum(((F.col(c) - F.col(f"_m{c}")) / (F.col(f"_s{c}") + 1e-12) for c in (production, impact)), F.lit(0.0))
+    return stats.crossJoin(F.broadcast(means)).withColumn("_z", F.round(score, 9)).orderBy(F.col("_z").desc(), key).limit(top).select(stats.columns)  # one row
+
+
+def portfolio(stats: DataFrame, production: str = "n_docs", impact: str = "impact", cuts: str | tuple[float, float] = "median") -> DataFrame:
+    """``stats`` with ``quadrant`` by production and impact; on the line counts as above. ``cuts``: median, mean, or two numbers."""
+    one = (lambda c: F.avg(c)) if cuts == "mean" else (lambda c: F.percentile(c, F.lit(0.5)))
+    if isinstance(cuts, str):
+        if cuts not in ("median", "mean"):
+            raise ValueError("cuts are median, mean or two numbers")
+        cuts = stats.agg(one(production).alias("_p"), one(impact).alias("_i"))
+    else:
+        cuts = stats.agg(F.lit(float(cuts[0])).alias("_p"), F.lit(float(cuts[1])).alias("_i"))
     both = stats.crossJoin(F.broadcast(cuts))  # one row
     high, strong = F.col(production) >= F.col("_p"), F.col(impact) >= F.col("_i")
     kind = F.when(high & strong, "Stars").when(~high & strong, "Emerging").when(high & ~strong, "Mature/Core").otherwise("Marginal")
@@ -67,6 +83,20 @@ def brokerage(parts: DataFrame) -> DataFrame:
     return both.select("item", F.round(score, 6).alias("score"))
 
 
+def collaboration_network(entities: DataFrame, papers: DataFrame, digits: int = 6) -> DataFrame:
+    """:func:`collaboration_impact` with the degree, strength and betweenness of each entity in the graph of those that share papers; 0 for those alone."""
+    pairs = checkpointed(edges(entities))
+    out = collaboration_impact(entities, papers).join(degree(pairs).select("item", "degree", "strength"), "item", "left").join(betweenness(pairs, digits=digits), "item", "left")
+    return out.fillna(0, ["degree", "strength", "betweenness"])
+
+
+def profile_indices(mentions: DataFrame, papers: DataFrame, name: str, current_year: int) -> DataFrame:
+    """(kind, value, n) with the h, g, e and j index of one entity, e and j to two places; only its own papers are read."""
+    own = mentions.where(F.col("item") == name)
+    rows = impact_indices(own, papers, current_year).select(*(F.round(F.col(k).cast("double"), 2).alias(k) for k in ("h", "g", "e", "j")))
+    return rows.select(F.inline(F.array(*(F.struct(F.lit(f"{k}_index").alias("kind"), F.lit("").alias("value"), F.col(k).alias("n")) for k in ("h", "g", "e", "j")))))
+
+
 def profile(mentions: DataFrame, papers: DataFrame, name: str, others: dict[str, DataFrame]) -> DataFrame:
     """(kind, value, n) of one entity: its papers, citations, first and last year, and its partners in other mentions."""
     own = presence(mentions).where(F.col("item") == name).select("doc_id")
@@ -92,6 +122,9 @@ def exact_clean_names(mentions: DataFrame, item: str = "item") -> DataFrame:
 
 
 def apply_names(mentions: DataFrame, mapping: DataFrame, item: str = "item") -> DataFrame:
-    """``mentions`` with mapped items replaced; the mapping is a table (candidate, normalized), one row for a candidate."""
-    m = mapping.select(F.col("candidate").alias("_c"), F.col("normalized").alias("_n"))
+    """``mentions`` with mapped items replaced; the mapping is a table (candidate, normalized). A candidate with two names is an error."""
+    m = mapping.select(F.col("candidate").alias("_c"), F.col("normalized").alias("_n")).distinct()
+    if (twice := m.groupBy("_c").agg(F.count("*").alias("_k")).where("_k > 1").first()) is not None:
+        raise ValueError(f"the mapping has two names for {twice['_c']!r}")
+    m = broadcast_if_small(m)
     return mentions.join(m, F.col(item) == F.col("_c"), "left").withColumn(item, F.coalesce("_n", item)).drop("_c", "_n")

@@ -114,3 +114,23 @@ def concept_flows(cites: DataFrame, entities: DataFrame, concepts: DataFrame) ->
     moved = shared.join(counted.toDF("dst", "source", "_ms"), "dst").join(counted.toDF("src", "target", "_mt"), "src").where("source <> target")
     weight = F.col("_c") * F.col("_ms") * F.col("_mt")
     return moved.groupBy("source", "target").agg(F.sum(weight).alias("n"), F.round(F.sum(weight * F.col("_d")) / F.sum(weight), 2).alias("mean_delay"))
+
+
+def union_terms(parts: list[DataFrame]) -> DataFrame:
+    """(doc_id, item): the terms of several sources, such as keywords and words of titles, each once in a paper."""
+    rows = [p.where("item is not null").select("doc_id", F.lower(F.trim("item")).alias("item")) for p in parts]
+    out = rows[0]
+    for p in rows[1:]:
+        out = out.unionByName(p)
+    return out.where("item <> '' and item <> 'unknown'").distinct()
+
+
+def parsed_evolution(text: DataFrame, column: str = "text", top: int = 10) -> DataFrame:
+    """(year, item, n) of texts such as ``1999: maps (3), networks (2) 2000: ...``, for the terms with the greatest sums; zeros where a year has none."""
+    years = F.regexp_extract_all(F.col(column), F.lit("(\\d{4}):((?:(?!\\d{4}:)[^\\n])*)"), 0)
+    entries = text.select(F.explode(years).alias("e")).select(F.substring("e", 1, 4).cast("int").alias("year"), F.explode(F.regexp_extract_all(F.expr("substring(e, 6)"), F.lit("([^,]+?)\\s\\((\\d+)\\)"), 0)).alias("x"))
+    rows = entries.select("year", F.trim(F.regexp_replace("x", "\\s\\(\\d+\\)$", "")).alias("item"), F.regexp_extract("x", "\\((\\d+)\\)$", 1).cast("int").alias("n"))
+    once = rows.groupBy("year", "item").agg(F.max("n").alias("n"))
+    best = once.groupBy("item").agg(F.sum("n").alias("_t")).orderBy(F.col("_t").desc(), "item").limit(top).select("item")
+    grid = once.select("year").distinct().crossJoin(F.broadcast(best))  # top x years
+    return grid.join(once, ["year", "item"], "left").select("year", "item", F.coalesce("n", F.lit(0)).alias("n"))

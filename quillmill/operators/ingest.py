@@ -97,3 +97,71 @@ def _rank(p: Column, ranks: list[tuple[int, str]]) -> Column:
 def label(author: Column, year: Column, title: Column, journal: Column, doi: Column) -> Column:
     """``author (year). title. journal. doi:…``"""
     return F.concat(author, F.lit(" ("), year, F.lit("). "), title, F.lit(". "), journal, F.lit(". doi:"), doi, F.lit("."))
+
+
+def keyword_list(c: Column) -> Column:
+    """Commas between keywords as semicolons."""
+    return F.translate(c, ",", ";")
+
+
+def _parts(c: Column, pattern: str) -> Column:
+    return F.transform(F.split(F.coalesce(c, F.lit("")), pattern), clean.squeezed)
+
+
+_PEOPLE = "\\s+and\\s+|;"
+
+
+def _paired(authors: Column, affiliations: Column) -> Column:
+    return F.transform(F.arrays_zip(authors.alias("a"), affiliations.alias("b")), lambda z: F.concat_ws(" ", z["a"], z["b"]))
+
+
+def author_affiliations(author: Column, affiliation: Column) -> Column:
+    """``author affiliation; ...``: place by place, affiliations without an author as they are, authors without one left out."""
+    people, places = _parts(author, " and "), _parts(affiliation, ";")
+    return F.array_join(F.slice(_paired(people, places), F.lit(1), F.size(places)), "; ")
+
+
+def scopus_affiliations(author: Column, affiliation: Column, correspondence: Column) -> Column:
+    """``author affiliation; ...``: the corresponding author with their own address first, then the others place by place.
+
+    ``correspondence`` is ``authors; address; ...``. Affiliations that hold the address are taken for the corresponding author's; pairs
+    end with the shorter of the two lists.
+    """
+    people, places = _parts(author, _PEOPLE), _parts(affiliation, ";")
+    pieces = F.split(F.coalesce(correspondence, F.lit("")), ";")
+    address = F.trim(F.try_element_at(pieces, F.lit(2)))
+    known = F.coalesce((F.size(pieces) > 1) & (address != "") & (F.trim(pieces[0]) != "") & (F.upper(F.trim(pieces[0])) != "UNKNOWN"), F.lit(False))
+    heads = F.when(known, _parts(pieces[0], "\\s+and\\s+")).otherwise(F.array().cast("array<string>"))
+    first = F.when(known, F.array(F.concat_ws(" ", heads[0], address))).otherwise(F.array().cast("array<string>"))
+    others = F.filter(people, lambda a: ~F.array_contains(heads, a))
+    left = F.filter(places, lambda x: ~known | ~F.lower(x).contains(F.lower(address)))
+    n = F.least(F.size(others), F.size(left))
+    return F.array_join(F.concat(first, F.when(n > 0, _paired(F.slice(others, F.lit(1), n), F.slice(left, F.lit(1), n))).otherwise(F.array().cast("array<string>"))), "; ")
+
+
+def wos_affiliations(address: Column) -> Column:
+    """Addresses that end with full stops as a list between semicolons; full stops after capitals, such as initials, stay."""
+    held = F.translate(F.regexp_replace(address, "(?<=[A-Z])\\.", "#"), ";.", ",;")
+    return F.translate(F.regexp_replace(held, ";+$", ""), "#", ".")
+
+
+def wos_backfilled(affiliation: Column, address: Column) -> Column:
+    """An unknown affiliation out of the addresses: the mark of the corresponding author off, and the names before the first comma of the others."""
+    parts = F.split(address, "\\.")
+    head = F.regexp_replace(parts[0], "^.*?\\(Corresponding Author\\), ", "")
+    rest = F.transform(F.filter(F.slice(parts, 2, 1_000_000), lambda x: x.contains(",")), lambda x: F.trim(F.regexp_replace(x, "^[^,]*,", "")))
+    return F.when(clean.is_missing(affiliation) & ~clean.is_missing(address), F.array_join(F.concat(F.array(head), rest), ". ")).otherwise(affiliation)
+
+
+def harmonised(papers: DataFrame, source: str) -> DataFrame:
+    """Canonical papers of one vendor as the analyses expect them: types, keyword lists, years, and affiliations with their authors."""
+    unknown = lambda c: F.when(~clean.is_missing(c), c).otherwise("UNKNOWN")
+    author, affiliation = F.col("author"), F.col("affiliation")
+    aligned = {
+        "scopus": scopus_affiliations(author, affiliation, F.col("correspondence_address1")), "pubmed": author_affiliations(author, affiliation), "wos": wos_affiliations(wos_backfilled(affiliation, F.col("address"))),
+    }.get(source, affiliation)
+    journal = F.when(clean.is_missing(F.col("abbrev_source_title")), F.col("journal")).otherwise(F.col("abbrev_source_title"))
+    return papers.withColumns({
+        "document_type": document_type(F.col("document_type")), "keywords": keyword_list(F.col("keywords")), "author_keywords": keyword_list(F.col("author_keywords")), "affiliation": unknown(aligned),
+        "abstract": unknown(F.replace(F.col("abstract"), F.lit("[No abstract available]"), F.lit(""))), "abbrev_source_title": journal if source == "scopus" else F.col("abbrev_source_title"),
+    })

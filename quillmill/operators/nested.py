@@ -147,3 +147,17 @@ def works_table(payloads: DataFrame, payload: str = "payload", loaded: str = "lo
     )
     last = works.where("work_id is not null").groupBy("work_id").agg(F.max(F.struct("_kept", "_w")).alias("_l"))
     return last.select("work_id", "_l._w.*")
+
+
+def openalex_references(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """(citing_work_id, citing_title, cited_work_id, cited_title, inside): every reference of every work; titles of works that are not there are null."""
+    titles = works_table(payloads, payload).select("work_id", "display_name")
+    refs = flattened(payloads, payload).where("child = 'referenced_works'").select(F.col("work_id").alias("citing_work_id"), F.col("item").alias("cited_work_id")).distinct()
+    named = refs.join(titles.toDF("citing_work_id", "citing_title"), "citing_work_id").join(titles.toDF("cited_work_id", "cited_title").withColumn("_in", F.lit(True)), "cited_work_id", "left")
+    return named.select("citing_work_id", "citing_title", "cited_work_id", "cited_title", F.coalesce("_in", F.lit(False)).alias("inside"))
+
+
+def openalex_edges(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """(source_id, target_id, source_title, target_title): references between works that are both there; nodes are :func:`works_table`."""
+    inside = openalex_references(payloads, payload).where("inside")
+    return inside.select(F.col("citing_work_id").alias("source_id"), F.col("cited_work_id").alias("target_id"), F.col("citing_title").alias("source_title"), F.col("cited_title").alias("target_title"))

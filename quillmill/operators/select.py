@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import clean
 from quillmill.operators.entity import bradford
+from quillmill.plans.ranking import ranked
 
 #: Zones named by a code of the Bradford filter.
 CORES = {1: (1,), 2: (2,), 3: (3,), 12: (1, 2), 23: (2, 3)}
@@ -82,3 +83,14 @@ def merge_spellings(df: DataFrame, column: str, get: list[str], replace_for: str
     for g in get:
         c = F.when(c.contains(g.lower()), F.replace(c, F.lit(g.lower()), F.lit(replace_for.lower()))).otherwise(c)
     return df.withColumn(column, c)
+
+
+def at_positions(papers: DataFrame, order: str, positions: list[int]) -> DataFrame:
+    """The papers at the given places, from 0, in the order of a column without ties; places beyond the end give nothing."""
+    return ranked(papers, [F.col(order)]).where((F.col("rank") - 1).isin(positions)).drop("rank")
+
+
+def with_keywords(papers: DataFrame, phrases: DataFrame, order: str = "doc_id") -> DataFrame:
+    """``papers`` with ``keywords`` replaced by the phrases, (doc_id, pos, phrase), of each; papers without any have UNKNOWN."""
+    joined = phrases.groupBy(order).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "phrase"))), lambda x: x["phrase"]), "; ").alias("_k"))
+    return papers.drop("keywords").join(joined, order, "left").withColumn("keywords", F.coalesce("_k", F.lit("UNKNOWN"))).drop("_k")

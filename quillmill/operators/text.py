@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,11 +20,30 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-def stop_words(language: str) -> tuple[str, ...]:
-    """Frequent words of a language by its English name, from Spark's own lists."""
+#: Languages of Spark's own lists.
+LISTED = ("danish", "dutch", "finnish", "french", "german", "hungarian", "italian", "norwegian", "portuguese", "russian", "spanish", "swedish", "turkish")
+
+
+def stop_words(language: str, tables: dict[str, Iterable[str]] | None = None) -> tuple[str, ...]:
+    """Frequent words of a language by its English name: from the caller's ``tables``, or from Spark's own lists.
+
+    For a language of neither, such as Polish or Chinese, the caller gives a table, or takes the :func:`frequent_words` of a corpus.
+    """
     from pyspark.ml.feature import StopWordsRemover
 
-    return STOP_WORDS if language.lower() == "english" else tuple(StopWordsRemover.loadDefaultStopWords(language.lower()))
+    name = language.lower()
+    if tables and name in tables:
+        return tuple(tables[name])
+    if name != "english" and name not in LISTED:
+        raise ValueError(f"no list of words for {language}: give one in tables")
+    return STOP_WORDS if name == "english" else tuple(StopWordsRemover.loadDefaultStopWords(name))
+
+
+def frequent_words(docs: DataFrame, text: str, share: float = 0.2) -> DataFrame:
+    """(word, n): the words of any script that stand in at least ``share`` of the texts."""
+    words = docs.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("\\p{L}+"), 0))).alias("word"))
+    total = docs.where(F.col(text).isNotNull()).agg(F.count("*").alias("_t"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") >= share * F.col("_t")).drop("_t")  # one row
 
 
 def clean_text(c: Column, stop_words: tuple[str, ...] = (), lowercase: bool = True, special: bool = True, accents: bool = True, numbers: bool = True, custom: tuple[str, ...] = ()) -> Column:

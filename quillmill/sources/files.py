@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import clean
-from quillmill.operators import nested
+from quillmill.operators import ingest, nested, select
+from quillmill.plans import written
 
 # The canonical columns.
 CANONICAL = tuple(
@@ -69,7 +70,7 @@ def bibtex(spark: SparkSession, path: str, wos: bool = False, literal: bool = Fa
     reference, whose semicolons become commas. ``literal`` cuts a value at a second ``=``, as the line rule does; by
     default the value is kept whole. Braces are taken off everywhere.
     """
-    raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "^[\\ufeff\\s]*@?", "").alias("r")).where(F.col("r").rlike("^[A-Za-z]+\\s*\\{"))
+    raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace(clean.decoded(F.col("value")), "^[\\ufeff\\s]*@?", "").alias("r")).where(F.col("r").rlike("^[A-Za-z]+\\s*\\{"))
     text = F.regexp_replace("r", "\r", "")
     cited = F.regexp_extract(text, "(?is)\\ncited-references\\s*=\\s*\\{(.*?)\\},?[ ]*\\n(?=\\S|$)", 1)
     folded = F.regexp_replace(F.regexp_replace(text, "(?is)\\ncited-references\\s*=\\s*\\{.*?\\},?[ ]*\\n(?=\\S|$)", "\n"), "\\n {2,}(?![A-Za-z_-]+ *= *\\{)", " ")
@@ -93,7 +94,7 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
     Repeated tags are joined by ``; ``, authors by `` and ``; the year is the first four characters of the date; note is 0.
     """
     # a record begins with its PMID line, whatever the line ends are; continuation lines are indented
-    start = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^[\\ufeff\\s]*(?:PMID *-)? *", "PMID- ")
+    start = F.regexp_replace(F.regexp_replace(clean.decoded(F.col("value")), "\r", ""), "^[\\ufeff\\s]*(?:PMID *-)? *", "PMID- ")
     raw = spark.read.option("lineSep", "\nPMID").text(path).select(F.regexp_replace(start, "^PMID- -", "PMID- ").alias("r")).where(F.col("r").rlike("^PMID- *[0-9]"))
     lines = F.split(F.regexp_replace("r", "\\n {6}", " "), "\\n")
     pairs = F.transform(F.filter(lines, lambda x: x.rlike("^[A-Z]+ *- ")), lambda x: F.struct(F.trim(F.substring(x, 1, 4)).alias("k"), clean.squeezed(F.substring(x, 7, 1_000_000)).alias("v")))
@@ -171,6 +172,41 @@ def openalex_json(spark: SparkSession, path: str) -> DataFrame:
     return openalex_works(spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload"))
 
 
+def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A table with a header whose separator and encoding are not known: the most frequent separator of the header, and UTF-8 if it is valid."""
+    lines = spark.read.text(path)
+    head = lines.first()
+    header = head[0] if head else ""
+    separator = max(",;\t|", key=lambda x: header.count(x))
+    encoding = "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "windows-1252"
+    return spark.read.option("header", True).option("multiLine", True).option("sep", separator).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
+
+
+def from_table(df: DataFrame) -> DataFrame:
+    """Canonical papers of any table with canonical column names, whatever their letter case."""
+    return canonical(df.toDF(*(c.strip().lstrip("\ufeff").lower().replace(" ", "_") if c.strip().lower().replace(" ", "_") in CANONICAL else c for c in df.columns)))
+
+
+def corpus(spark: SparkSession, path: str, source: str, kind: str | None = None, distinct: bool = True) -> DataFrame:
+    """One entry for all exports: read, harmonised, duplicates dropped; with ``doc_id``, which rises in reading order.
+
+    source: scopus, wos, pubmed, openalex, or table for files written by :func:`write_papers`; kind: bib, txt, csv, json, by default the ending.
+    """
+    kind = kind or path.rsplit(".", 1)[-1].lower()
+    if source == "table":
+        papers = from_table(sniffed_csv(spark, path) if kind == "csv" else spark.read.parquet(path))
+    elif source == "openalex":
+        papers = openalex_csv(spark, path) if kind == "csv" else openalex_json(spark, path)
+    elif source == "pubmed":
+        papers = pubmed(spark, path)
+    elif source in ("scopus", "wos"):
+        papers = scopus_csv(spark, path) if kind == "csv" else bibtex(spark, path, wos=source == "wos")
+    else:
+        raise ValueError(f"no reader for {source}")
+    numbered = written(ingest.harmonised(papers, source).withColumn("doc_id", F.monotonically_increasing_id()), "corpus")
+    return select.first_of_duplicates(numbered, "doc_id") if distinct else numbered
+
+
 def mapping_csv(spark: SparkSession, path: str) -> DataFrame:
     """(entity, normalized, candidate) of a reviewed mapping without header: two or three columns between semicolons."""
     rows = spark.read.text(path).where(F.trim("value") != "").select(F.transform(F.split("value", ";"), lambda x: F.regexp_replace(F.trim(x), '^"|"$', "")).alias("c"))
