@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package; each has queries() and oracle_sql().
-MODULES = ("bibliometrics", "records", "texts")
+MODULES = ("bibliometrics", "corpus", "networks", "records", "texts")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -114,12 +114,6 @@ def _country_edges(v: Views) -> DataFrame:
     return cooccur.edges(v.authors.select("doc_id", F.col("country").alias("item")))
 
 
-def _strong_authors(v: Views) -> DataFrame:
-    """The co-author graph cut by weight at its mean, as the whole graph is complete at small scale."""
-    edges = cooccur.edges(v.authors.select("doc_id", F.col("author").alias("item")), least=2)
-    return edges.crossJoin(F.broadcast(edges.agg(F.avg("w").alias("_m")))).where("w > _m").drop("_m")  # one row
-
-
 @query("structural_constraint", """--views, d AS (SELECT DISTINCT doc_id, country FROM b_authorships), e AS (SELECT x.country AS i, y.country AS j, count(*) AS w FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.country <> y.country GROUP BY ALL),
 p AS (SELECT i, j, w * 1.0 / sum(w) OVER (PARTITION BY i) AS p FROM e), t AS (SELECT a.i, b.j, sum(a.p * b.p) AS s FROM p a JOIN p b ON b.i = a.j WHERE a.i <> b.j GROUP BY ALL)
 SELECT p.i AS item, round(sum((p.p + coalesce(t.s, 0)) * (p.p + coalesce(t.s, 0))), 6) AS "constraint" FROM p LEFT JOIN t ON t.i = p.i AND t.j = p.j GROUP BY p.i""")
@@ -162,58 +156,12 @@ def salsa_decades(v: Views) -> DataFrame:
     return graph.decade_tops(graph.salsa(v.cites), v.papers.select(F.col("doc_id").alias("item"), "year"))
 
 
-@query("eigenvector_centrality")
-def eigenvector(v: Views) -> DataFrame:
-    return graph.power_iteration(_country_edges(v), rounds=15)
-
-
-@query("katz_centrality")
-def katz(v: Views) -> DataFrame:
-    edges = _country_edges(v).withColumn("w", F.lit(1))
-    return graph.power_iteration(edges, rounds=15, katz=0.01)
-
-
-@query("betweenness")
-def betweenness(v: Views) -> DataFrame:
-    return graph.betweenness(_strong_authors(v))
-
-
-@query("closeness_harmonic")
-def closeness(v: Views) -> DataFrame:
-    return graph.closeness(_strong_authors(v))
-
-
-@query("brokerage")
-def brokerage(v: Views) -> DataFrame:
-    mentions = v.authors.select("doc_id", F.col("author").alias("item"))
-    edges = checkpointed(cooccur.edges(mentions))
-    docs = entity.presence(mentions).groupBy("item").agg(F.count("*").alias("n_docs"))
-    # every author has a row: one without partners has no paths and no strength, and its constraint counts as the greatest
-    parts = docs.join(graph.betweenness(edges, digits=None), "item", "left").join(graph.degree(edges).select("item", "strength"), "item", "left").join(graph.constraint_of_dense(edges), "item", "left")
-    return composite.brokerage(checkpointed(parts.fillna(0, ["betweenness", "strength"])))
-
-
-@query("label_communities")
-def communities(v: Views) -> DataFrame:
-    return graph.label_communities(_country_edges(v), rounds=5)
-
-
 @query("citation_depth", """--views, e AS (SELECT DISTINCT src, dst FROM b_cites), x AS (SELECT src AS item FROM e UNION SELECT dst FROM e),
 c AS (WITH RECURSIVE r(item, depth) AS (SELECT item, 0 FROM x UNION SELECT e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.item) SELECT item, max(depth) AS depth FROM r GROUP BY item) SELECT item, depth FROM c""")
 def citation_depth(v: Views) -> DataFrame:
     return graph.depths(v.cites)
 
 
-@query("main_path_spc")
-def main_path(v: Views) -> DataFrame:
-    return graph.main_path(graph.path_weights(v.cites, "spc"))
-
-
-@query("path_weights_spc")
-def path_weights(v: Views) -> DataFrame:
-    return graph.path_weights(v.cites, "spc").groupBy("u").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
-
-
 @query("paper_citations", """WITH n AS (SELECT record_id, trim(regexp_replace(lower(note), 'cited by:?', '', 'g')) AS b FROM papers)
 SELECT record_id, CAST(coalesce(CASE WHEN regexp_matches(trim(split_part(b, ';', 1)), '^[0-9]{1,9}$') THEN CAST(trim(split_part(b, ';', 1)) AS INT) END, CAST(nullif(regexp_extract(b, '([0-9]{1,9})', 1), '') AS INT), 0) AS INT) AS citations FROM n""")
 def paper_citations(v: Views) -> DataFrame:
@@ -265,12 +213,6 @@ def fuzzy_journals(v: Views) -> DataFrame:
     return fuzzy.normalized_entities(v.table("papers"), "journal")
 
 
-@query("first_split")
-def first_split(v: Views) -> DataFrame:
-    edges = _country_edges(v)
-    return graph.first_split(edges.crossJoin(F.broadcast(edges.agg(F.avg("w").alias("_m")))).where("w > _m"))  # one row
-
-
 @query("typed_edges", """--views, y AS (SELECT a.doc_id, 'author' AS k, a.author AS x FROM b_authorships a UNION ALL SELECT doc_id, 'keyword', kwa FROM b_keywords UNION ALL SELECT doc_id, 'reference', ref FROM b_references UNION ALL SELECT doc_id, 'journal', journal FROM b_papers)
 SELECT 'paper_' || substr(md5(CAST(y.doc_id AS VARCHAR)), 1, 12) AS src, y.k || '_' || substr(md5(lower(trim(y.x))), 1, 12) AS dst, 'paper_' || y.k AS relation, p.year, count(*) AS n FROM y JOIN b_papers p USING (doc_id) GROUP BY ALL""")
 def typed_edges(v: Views) -> DataFrame:
@@ -283,13 +225,6 @@ def typed_nodes(v: Views) -> DataFrame:
     return temporal.typed_nodes(temporal.typed_edges(v.papers, {"journal": (v.papers, "journal")}))
 
 
-@query("bridge_scores")
-def bridge_scores(v: Views) -> DataFrame:
-    papers = v.papers.select(F.col("doc_id").alias("item"), "citation")
-    central = graph.directed_betweenness(v.cites, papers.select("item")).withColumn("betweenness", F.round("betweenness", 6))
-    return temporal.bridge_scores(central, papers)
-
-
 @query("author_institution_pairs")
 def author_institution_pairs(v: Views) -> DataFrame:
     lists = v.table("papers").select("record_id", ingest.split_values(F.col("author"), ";").alias("a"), ingest.split_values(F.col("institution"), ";").alias("i"))
