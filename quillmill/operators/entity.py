@@ -114,6 +114,27 @@ def collaboration_index(mentions: DataFrame, papers: DataFrame, item: str = "ite
     return counted.join(F.broadcast(places), "n_authors").groupBy("year").agg(F.round(F.sum(F.col("_p") * F.col("n_docs")) / F.sum("n_docs"), 2).alias("ci"))
 
 
+#: The fields of the report on a corpus's health.
+HEALTH = ("abbrev_source_title", "abstract", "affiliation", "author", "doi", "author_keywords", "keywords", "references", "year")
+
+
+def averages(authors: DataFrame, institutions: DataFrame, papers: DataFrame, current_year: int) -> DataFrame:
+    """(kpi, value): documents and citations per entity, team sizes and the greatest h-index; mentions are (doc_id, item). To two places."""
+    docs = papers.agg(F.count("*").alias("docs"), F.sum("citation").alias("c"), F.countDistinct("journal").alias("j"), (F.max("year") - F.min("year") + 1).alias("y"))
+    once = presence(authors)
+    a = once.agg(F.count("*").alias("ad"), F.countDistinct("item").alias("a"))
+    i = presence(institutions).agg(F.count("*").alias("id"), F.countDistinct("item").alias("i"))
+    team = once.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("multi"), F.avg("k").alias("team"))
+    h = impact_indices(authors, papers, current_year).agg(F.max("h").alias("h"))
+    one = docs.crossJoin(a).crossJoin(i).crossJoin(team).crossJoin(h)  # one row each
+    per = lambda x, y: F.try_divide(F.col(x), F.col(y))
+    values = {
+        "documents_per_author": per("ad", "a"), "documents_per_institution": per("id", "i"), "documents_per_source": per("docs", "j"), "documents_per_year": per("docs", "y"), "citations_per_author": per("c", "a"),
+        "citations_per_institution": per("c", "i"), "citations_per_document": per("c", "docs"), "citations_per_source": per("c", "j"), "multi_author_documents": F.col("multi"), "authors_per_document": F.col("team"), "max_h_index": F.col("h"),
+    }
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kpi"), F.round(c.cast("double"), 2).alias("value")) for k, c in values.items()))))
+
+
 def known(c: Column) -> Column:
     """Neither null nor a word for unknown."""
     return F.coalesce(~F.lower(F.trim(c)).isin("", "unknown"), F.lit(False))

@@ -297,28 +297,6 @@ def citation_trajectory(v: Views) -> DataFrame:
     return citation.trajectory(v.references, v.papers, ["r_1", "r_2", "r_3"])
 
 
-def _reference_years(v: Views) -> DataFrame:
-    """The year of a reference is that of the paper it names, spread over decades by its key."""
-    refs = v.references.select("ref", "ref_doc").distinct()
-    return refs.select("ref", (F.lit(1950) + F.col("ref_doc") % 60).cast("int").alias("year"))
-
-
-_RPYS = ", c AS (SELECT CAST(1950 + ref_doc % 60 AS INT) AS year, count(DISTINCT ref) AS n FROM b_references GROUP BY 1)"
-
-
-@query("rpys_counts", f"--views {_RPYS} SELECT year, n, n - median(n) OVER (ORDER BY year RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS deviation FROM c")
-def rpys_counts(v: Views) -> DataFrame:
-    return citation.spectroscopy(_reference_years(v))
-
-
-@query("rpys_smooth", f"""--views {_RPYS}, k AS (SELECT year, n, row_number() OVER (ORDER BY year) - 1 AS k, count(*) OVER () AS m FROM c), o AS (SELECT unnest(range(-4, 5)) AS d),
-x AS (SELECT k.year, k.n, o.d, (((k.k + o.d) % (2 * k.m)) + 2 * k.m) % (2 * k.m) AS p, k.m FROM k CROSS JOIN o),
-y AS (SELECT x.year, x.n, CAST(floor(sum(exp(-x.d * x.d / 2.0) * k.n) / sum(exp(-x.d * x.d / 2.0)) + 1e-9) AS BIGINT) AS smooth FROM x JOIN k ON k.k = CASE WHEN x.p < x.m THEN x.p ELSE 2 * x.m - 1 - x.p END GROUP BY x.year, x.n)
-SELECT year, n, smooth, coalesce(smooth > lag(smooth) OVER (ORDER BY year) AND smooth > lead(smooth) OVER (ORDER BY year) AND smooth >= 1, FALSE) AS peak FROM y""")
-def rpys_smooth(v: Views) -> DataFrame:
-    return citation.smoothed(citation.spectroscopy(_reference_years(v)).select("year", "n"))
-
-
 @query("local_citation_edges", "--views SELECT src, dst, src_year, dst_year FROM b_cites WHERE src <> dst")
 def local_citation_edges(v: Views) -> DataFrame:
     return citation.local_citations(v.references, v.papers)
@@ -377,12 +355,6 @@ def term_evolution_top(v: Views) -> DataFrame:
     return dynamics.top_terms_each_year(_items(v, "term"), v.papers, 5)
 
 
-@query("bursts")
-def bursts(v: Views) -> DataFrame:
-    days = v.table("events").select(F.col("event_id").alias("doc_id"), F.dayofyear("ts").alias("year"), F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("item"))
-    return dynamics.bursts(days.select("doc_id", "item"), days.select("doc_id", "year"), least=5)
-
-
 @query("first_adoption", """--views, u AS (SELECT k.kwa AS concept, a.country AS entity, min(p.year) AS first_year FROM b_authorships a JOIN b_keywords k USING (doc_id) JOIN b_papers p USING (doc_id) GROUP BY ALL)
 SELECT concept, entity, first_year, first_year - min(first_year) OVER (PARTITION BY concept) AS delay FROM u""")
 def first_adoption(v: Views) -> DataFrame:

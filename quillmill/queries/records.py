@@ -33,14 +33,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: The works of the payloads: a work, a list of works, or an object with results.
-_WORKS = """WITH t AS (SELECT loaded_at, regexp_replace(payload, '^[\\s\\x{00a0}\\x{200b}\\x{feff}]+|[\\s\\x{00a0}\\x{200b}\\x{feff}]+$', '', 'g') AS p FROM works_raw),
+WORKS = """WITH t AS (SELECT loaded_at, regexp_replace(payload, '^[\\s\\x{00a0}\\x{200b}\\x{feff}]+|[\\s\\x{00a0}\\x{200b}\\x{feff}]+$', '', 'g') AS p FROM works_raw),
 v AS (SELECT loaded_at, CAST(p AS JSON) AS j FROM t WHERE p <> '' AND json_valid(p)),
 o AS (SELECT loaded_at, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN from_json(j, '["JSON"]') ELSE [j] END) AS j FROM v),
 r AS (SELECT loaded_at, unnest(CASE WHEN json_type(j, '$.results') = 'ARRAY' THEN from_json(json_extract(j, '$.results'), '["JSON"]') ELSE [j] END) AS w FROM o WHERE json_type(j) = 'OBJECT'),
 w AS (SELECT loaded_at, w, upper(regexp_extract(w ->> '$.id', '(?i)(?:^|[/:\\s])(w\\d+)/?\\s*$', 1)) AS work_id FROM r WHERE json_type(w) = 'OBJECT' AND regexp_matches(w ->> '$.id', '(?i)(?:^|[/:\\s])w\\d+/?\\s*$'))
 """
 
-_FOUND = _WORKS + """, l AS (SELECT work_id, json_type(w, '$.referenced_works') AS kind, json_extract(w, '$.referenced_works') AS a FROM w),
+_FOUND = WORKS + """, l AS (SELECT work_id, json_type(w, '$.referenced_works') AS kind, json_extract(w, '$.referenced_works') AS a FROM w),
 e AS (SELECT work_id, CASE kind WHEN 'ARRAY' THEN list_transform(from_json(a, '["JSON"]'), lambda x: x ->> '$') WHEN 'VARCHAR' THEN list_filter(regexp_split_to_array(a ->> '$', '[;,|\\s]+'), lambda x: x <> '') END AS items FROM l),
 f AS (SELECT work_id, unnest(range(0, len(items))) AS pos, unnest(items) AS x FROM e),
 i AS (SELECT work_id, unnest(json_keys(w, '$.abstract_inverted_index')) AS item, json_extract(w, '$.abstract_inverted_index') AS m FROM w WHERE json_type(w, '$.abstract_inverted_index') = 'OBJECT'),
@@ -48,7 +48,7 @@ k AS (SELECT i.work_id, i.item, unnest(regexp_split_to_array(regexp_replace(CAST
 SELECT DISTINCT work_id, 'referenced_works' AS child, CAST(pos AS INT) AS pos, upper(regexp_extract(trim(x), '(?i)^(?:.*[/:\\s])?(w\\d+)/?$', 1)) AS item FROM f WHERE regexp_matches(trim(x), '(?i)^(?:.*[/:\\s])?w\\d+/?$')
 UNION ALL SELECT DISTINCT work_id, 'abstract_inverted_index', CAST(p AS INT), item FROM k WHERE regexp_matches(p, '^\\d{1,9}$')"""
 
-_TABLE = _WORKS + """, s AS (SELECT work_id, loaded_at, w ->> '$.doi' AS doi, w ->> '$.display_name' AS display_name, TRY_CAST(TRY_CAST(w ->> '$.publication_year' AS DOUBLE) AS INT) AS publication_year,
+_TABLE = WORKS + """, s AS (SELECT work_id, loaded_at, w ->> '$.doi' AS doi, w ->> '$.display_name' AS display_name, TRY_CAST(TRY_CAST(w ->> '$.publication_year' AS DOUBLE) AS INT) AS publication_year,
 w ->> '$.type' AS type, w ->> '$.language' AS language, TRY_CAST(TRY_CAST(w ->> '$.cited_by_count' AS DOUBLE) AS BIGINT) AS cited_by_count FROM w),
 n AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY loaded_at DESC NULLS LAST, doi DESC NULLS LAST, display_name DESC NULLS LAST, publication_year DESC NULLS LAST, type DESC NULLS LAST, language DESC NULLS LAST, cited_by_count DESC NULLS LAST) AS n FROM s)
 SELECT work_id, doi, display_name, publication_year, type, language, cited_by_count FROM n WHERE n = 1"""

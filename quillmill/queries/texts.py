@@ -180,34 +180,12 @@ def first_of_duplicates(v: Views) -> DataFrame:
     return select.first_of_duplicates(v.table("papers"), "record_id").select("record_id")
 
 
-@query("union_corpora")
-def union_corpora(v: Views) -> DataFrame:
-    """The export of one vendor is the old corpus, all other sources are the new one."""
-    papers = v.table("papers")
-    vendor = F.coalesce(F.lower(F.trim("source")).isin("scopus", "scopus export"), F.lit(False))
-    return select.union_corpora(papers.where(vendor), papers.where(~vendor), "record_id")
-
-
 @query("exact_clean_journals", """WITH c AS (SELECT journal AS candidate, count(*) AS n, trim(regexp_replace(regexp_replace(replace(strip_accents(lower(journal)), '&', ' and '), '[''’`]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k FROM papers WHERE journal IS NOT NULL GROUP BY journal),
 b AS (SELECT *, first_value(candidate) OVER (PARTITION BY k ORDER BY n DESC, candidate DESC) AS normalized FROM c WHERE k <> '') SELECT candidate, normalized FROM b WHERE candidate <> normalized""")
 def exact_clean_journals(v: Views) -> DataFrame:
     return composite.exact_clean_names(v.table("papers"), "journal")
 
 
-@query("reference_years")
-def reference_years(v: Views) -> DataFrame:
-    refs = unpacked(v.table("papers"), "record_id", {"references": PACKINGS["references"]})
-    years = refs.select("item", citation.reference_year(F.col("item"), 2024).alias("year")).distinct()
-    return years.groupBy("year").agg(F.count("*").alias("n"))
-
-
-@query("self_citations")
-def self_citations(v: Views) -> DataFrame:
-    values = unpacked(v.table("papers"), "record_id", {k: PACKINGS[k] for k in ("author", "references")}).withColumnRenamed("record_id", "doc_id")
-    authors = values.where("field_name = 'author'").select("doc_id", F.element_at(F.split("item", ","), 1).alias("item"))
-    return citation.own_name_citations(authors, values.where("field_name = 'references'").select("doc_id", F.col("item").alias("ref")))
-
-
 @query("fuzzy_journals")
 def fuzzy_journals(v: Views) -> DataFrame:
     return fuzzy.normalized_entities(v.table("papers"), "journal")
@@ -225,25 +203,6 @@ def typed_nodes(v: Views) -> DataFrame:
     return temporal.typed_nodes(temporal.typed_edges(v.papers, {"journal": (v.papers, "journal")}))
 
 
-@query("author_institution_pairs")
-def author_institution_pairs(v: Views) -> DataFrame:
-    lists = v.table("papers").select("record_id", ingest.split_values(F.col("author"), ";").alias("a"), ingest.split_values(F.col("institution"), ";").alias("i"))
-    return crosstab.zipped(lists, "a", "i", "record_id").groupBy("x", "y").agg(F.count("*").alias("n"))
-
-
-@query("affiliation_institutions")
-def affiliation_institutions(v: Views) -> DataFrame:
-    values = unpacked(v.table("papers"), "record_id", {"affiliation": PACKINGS["affiliation"]})
-    return ingest.detected_institutions(values).groupBy("institution").agg(F.count("*").alias("n"))
-
-
-@query("affiliation_countries")
-def affiliation_countries(v: Views) -> DataFrame:
-    values = unpacked(v.table("papers"), "record_id", {"affiliation": PACKINGS["affiliation"]})
-    names = v.table("name_forms").where("country is not null").select("country").distinct()
-    return ingest.detected_countries(values, names).groupBy("country").agg(F.count("*").alias("n"))
-
-
 _KINDS = ", ".join("('" + a.replace("'", "''") + "', '" + b + "')" for a, b in ingest.DOCUMENT_TYPES.items())
 
 
