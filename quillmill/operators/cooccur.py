@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators.entity import presence
 from quillmill.plans import broadcast_if_small, split_join, written
+from quillmill.plans.pairing import PAIR_BLOCK
 
 #: Items of a paper in one slice.
 SLICE = 500
@@ -70,18 +71,34 @@ def _classes(references: DataFrame, once: bool) -> DataFrame:
     return marked.join(first.where("_n > 1").drop("_n"), ["_h", "_g"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "_l")
 
 
-def _compared(references: DataFrame, once: bool, prefix: Column) -> DataFrame:
-    """(a, b, _a, _b), a < b: the lists of class representatives that share a reference in the first ``prefix`` of their rarest.
+def _square(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x["n"] * x["n"])
 
-    ``prefix`` is a column of ``_r``, the list (papers that have it, ref, n), rarest first.
+
+def _compared(references: DataFrame, once: bool, prefix: Column, may: Column) -> DataFrame:
+    """(a, b, shared, dot, sa, sb), a < b: class representatives that can be similar, with the squares of their lengths.
+
+    ``prefix``, a column of ``_r``, the list (papers that have it, ref, n), rarest first, is how many references a pair must meet through;
+    those of few papers are taken too, so that the sums over the met references are mostly the whole. Pairs that lack some and ``may``
+    be similar, a column of shared, dot, the squares sa and sb, what lacks of them, ra and rb, and in number, ma and mb, are summed anew.
     """
     reps = written(_classes(references, once).where("doc_id = class_id").select("doc_id", "_l"), "representatives")
     listed = reps.select("doc_id", F.explode("_l").alias("_x")).select("doc_id", "_x.ref", "_x.n")
     rare = listed.groupBy("ref").agg(F.count("*").alias("_c"))
     ranked = listed.join(rare, "ref").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_c", "ref", "n"))).alias("_r"))
-    probes = written(ranked.select("doc_id", F.explode(F.slice("_r", F.lit(1), prefix)).alias("_x")).where("_x._c > 1").select("doc_id", "_x.ref"), "probes")
-    met = split_join(probes.toDF("a", "ref"), probes.toDF("b", "ref"), ["ref"]).where("a < b").select("a", "b").distinct()
-    return met.join(reps.toDF("a", "_a"), "a").join(reps.toDF("b", "_b"), "b")
+    taken = F.greatest(prefix, F.size(F.filter("_r", lambda x: x["_c"] <= PAIR_BLOCK)))
+    cut = written(ranked.withColumn("_k", taken).select("doc_id", F.slice("_r", F.lit(1), F.col("_k")).alias("_p"), _square(F.col("_r")).alias("s"), _square(F.slice("_r", F.col("_k") + 1, F.size("_r"))).alias("r"), (F.size("_r") - F.col("_k")).alias("m")), "probes")
+    probes = cut.select("doc_id", F.explode("_p").alias("_x")).where("_x._c > 1").select("doc_id", "_x.ref", "_x.n")
+    met = split_join(probes.toDF("a", "ref", "na"), probes.toDF("b", "ref", "nb"), ["ref"]).where("a < b")
+    sums = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    facts = broadcast_if_small(cut.select("doc_id", "s", "r", "m"))
+    known = sums.join(facts.toDF("a", "sa", "ra", "ma"), "a").join(facts.toDF("b", "sb", "rb", "mb"), "b")
+    out = ["a", "b", "shared", "dot", "sa", "sb"]
+    if cut.where("m > 0").isEmpty():
+        return known.select(out)
+    again = known.where("ma > 0 or mb > 0").where(may).select("a", "b", "sa", "sb").join(reps.toDF("a", "_a"), "a").join(reps.toDF("b", "_b"), "b")
+    whole = again.select("a", "b", _shared(lambda n, m: F.when(m.isNotNull(), 1).cast("bigint")).alias("shared"), _shared(lambda n, m: n * m).alias("dot"), "sa", "sb")
+    return known.where("ma = 0 and mb = 0").select(out).unionByName(whole)
 
 
 def _shared(weight) -> Column:
@@ -96,12 +113,13 @@ def coupling(references: DataFrame, least: float = 0.3) -> DataFrame:
     A class holds the papers with equal counts, whose cosine is 1 (see :func:`reference_classes`). Two lists with that cosine share
     one of the references that are left when the most common ones go as long as those alone stay below it; so nothing is lost.
     """
-    square = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x["n"] * x["n"])
     n = F.size("_r")
     # the squares of the references from each place on, against the whole
-    below = F.filter(F.sequence(F.lit(1), n), lambda k: square(F.slice("_r", k, n)) < least * least * square(F.col("_r")) * (1 - 1e-9))
-    pairs = _compared(references, False, F.coalesce(F.array_min(below) - 1, n))
-    scored = pairs.select("a", "b", _shared(lambda n, m: F.when(m.isNotNull(), 1).cast("bigint")).alias("shared"), (_shared(lambda n, m: n * m) / (F.sqrt(square(F.col("_a")).cast("double")) * F.sqrt(square(F.col("_b")).cast("double")))).alias("cosine"))
+    below = F.filter(F.sequence(F.lit(1), n), lambda k: _square(F.slice("_r", k, n)) < least * least * _square(F.col("_r")) * (1 - 1e-9))
+    length = lambda c: F.sqrt(F.col(c).cast("double"))
+    may = F.col("dot") + length("ra") * length("sb") + length("sa") * length("rb") >= least * length("sa") * length("sb") * (1 - 1e-9)
+    pairs = _compared(references, False, F.coalesce(F.array_min(below) - 1, n), may)
+    scored = pairs.withColumn("cosine", F.col("dot") / (length("sa") * length("sb")))
     return scored.where(F.col("cosine") >= least).select("a", "b", "shared", F.round("cosine", 6).alias("cosine"))
 
 
@@ -110,8 +128,8 @@ def shared_references(references: DataFrame, least: int) -> DataFrame:
 
     Two papers that share so many share one of all but the ``least`` - 1 most common references of either.
     """
-    pairs = _compared(references, True, F.greatest(F.lit(0), F.size("_r") - (least - 1)))
-    return pairs.select("a", "b", _shared(lambda n, m: F.when(m.isNotNull(), 1).cast("bigint")).alias("shared")).where(F.col("shared") >= least)
+    pairs = _compared(references, True, F.greatest(F.lit(0), F.size("_r") - (least - 1)), F.col("shared") + F.col("ma") + F.col("mb") >= least)
+    return pairs.where(F.col("shared") >= least).select("a", "b", "shared")
 
 
 def cocited_with(references: DataFrame, target: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import citation, composite, cooccur, dynamics, nested, text
-from quillmill.plans import pairing, split_join
+from quillmill.plans import split_join
 from tests.conftest import rows
 
 
@@ -31,7 +31,7 @@ def _corpus(rng, hot):
 
 @pytest.mark.parametrize("block", [3, 2000])
 def test_coupling_with_a_hot_reference(spark, monkeypatch, block):
-    monkeypatch.setattr(pairing, "PAIR_BLOCK", block)
+    monkeypatch.setattr(cooccur, "PAIR_BLOCK", block)
     monkeypatch.setattr(split_join, "__defaults__", (block,))
     docs = _corpus(np.random.default_rng(2), "hot")
     refs = spark.createDataFrame([(d, r, "x") for d, rs in docs.items() for r in rs] + [(5, None, "x")], "doc_id long, ref string, class_id string")
