@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.plans import checkpointed, split_join
+from quillmill.plans import checkpointed, row_count_at_most, split_join
+
+#: Short titles that are tried on every reference.
+FEW_TITLES = 2_000
 
 #: Arcs of the longest chain of citations that is followed; beyond it there is an error.
 LONGEST_CHAIN = 10_000
@@ -176,7 +179,7 @@ def named_titles(references: DataFrame, papers: DataFrame) -> DataFrame:
     """(doc_id, ref, target): references whose text holds the title of a paper, both in small letters.
 
     ``papers`` is (doc_id, title). A title is looked up by the rarest of its inner words, which stand in the reference as whole words;
-    titles of one or two words are compared with the pieces of references that are as long as they.
+    titles of one or two words are tried one by one where they are few, else compared with the pieces of references as long as they.
     """
     texts = references.where("ref is not null").select("doc_id", "ref", F.lower("ref").alias("_t"))
     titles = papers.where("title is not null and trim(title) <> '' and lower(trim(title)) <> 'unknown'").select(F.col("doc_id").alias("target"), F.lower("title").alias("_title"))
@@ -189,9 +192,11 @@ def named_titles(references: DataFrame, papers: DataFrame) -> DataFrame:
     probes = keys.select("target", "_title", F.col("_m._k").alias("_k"))
     long = split_join(checkpointed(held), checkpointed(probes), ["_k"]).where(F.col("_t").contains(F.col("_title"))).select("doc_id", "ref", "target")
     short = split.where(F.size("_w") <= 2).select("target", F.col("_title").alias("_p"), F.length("_title").alias("_l"))
+    if row_count_at_most(short, FEW_TITLES):
+        all_ = short.agg(F.collect_list(F.struct("target", "_p")).alias("_s"))
+        hit = texts.crossJoin(F.broadcast(all_)).select("doc_id", "ref", F.explode(F.filter("_s", lambda x: F.col("_t").contains(x["_p"]))).alias("_h"))  # one row
+        return long.unionByName(hit.select("doc_id", "ref", F.col("_h.target").alias("target"))).distinct()
     lengths = [r[0] for r in short.select("_l").distinct().collect()]  # lengths of titles of one or two words
-    if not lengths:
-        return long.distinct()
     pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t") - n + 1)), lambda i: F.substring("_t", i, F.lit(n)))
     cut = texts.select("doc_id", "ref", F.explode(F.array_distinct(F.concat(*(pieces(n) for n in lengths)))).alias("_p"))
     return long.unionByName(cut.join(short, "_p").select("doc_id", "ref", "target")).distinct()

@@ -183,12 +183,20 @@ def trigram_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+def _signature(grams: Column, word: int) -> Column:
+    """One of the four words of a signature in which each trigram sets the bit of its hash."""
+    bit = lambda x: F.pmod(F.xxhash64(x), F.lit(256))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit(x) % 64).cast("int"))
+    return F.aggregate(F.filter(grams, lambda x: F.floor(bit(x) / 64) == word), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(one(x)))
+
+
 def trigram_pairs(a: DataFrame, b: DataFrame, key: str, text: str, least: float = 0.7, across: bool = True) -> DataFrame:
     """(a, b, jaccard): texts of two tables by the Jaccard measure of their distinct character trigrams.
 
     ``across`` false: the tables are one and the same, and each pair comes out once, a < b.
     Rows meet through shared trigrams, rare ones first: a text is looked up by the rarest trigrams that any text as similar
-    must share with it, so common trigrams pair nothing.
+    must share with it, so common trigrams pair nothing. Texts of too unlike sizes, trigrams at places after which too few are
+    left, and texts whose signatures of 256 bits differ in more bits than similar ones have unlike trigrams, make no pair.
     """
     grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - 2)), lambda i: F.substring(t, i, F.lit(3))))
     norm = lambda df, k: df.where(F.col(text).isNotNull()).select(F.col(key).alias(k), grams(trigram_text(F.col(text))).alias(f"_{k}"))
@@ -196,11 +204,18 @@ def trigram_pairs(a: DataFrame, b: DataFrame, key: str, text: str, least: float
     df = left.select(F.explode("_a").alias("g")).unionAll(right.select(F.explode("_b").alias("g"))).groupBy("g").agg(F.count("*").alias("_n"))
 
     def prefixed(rows: DataFrame, k: str) -> DataFrame:
+        bits = [f"_s{j}{k}" for j in range(4)]
         listed = rows.select(k, F.size(f"_{k}").alias("_m"), F.explode(f"_{k}").alias("g")).join(df, "g").groupBy(k, "_m").agg(F.array_sort(F.collect_list(F.struct("_n", "g"))).alias("_s"))
         keep = F.col("_m") - F.ceil(F.col("_m") * least).cast("int") + 1
-        return listed.select(k, F.explode(F.slice("_s", F.lit(1), keep)).alias("_x")).select(k, F.col("_x.g").alias("g"))
-
-    met = split_join(checkpointed(prefixed(left, "a")), checkpointed(prefixed(right, "b")), ["g"]).select("a", "b").where(F.lit(True) if across else F.col("a") < F.col("b")).distinct()
+        listed = listed.join(rows.select(k, *(_signature(F.col(f"_{k}"), j).alias(b) for j, b in enumerate(bits))), k)
+        probes = listed.select(k, *bits, F.col("_m").alias(f"_m{k}"), F.posexplode(F.slice("_s", F.lit(1), keep)).alias(f"_p{k}", "_x"))
+        return checkpointed(probes.select(k, *bits, f"_m{k}", f"_p{k}", F.col("_x.g").alias("g")))
+
+    ma, mb, pa, pb = (F.col(c) for c in ("_ma", "_mb", "_pa", "_pb"))
+    reach = F.least(pa, pb) + 1 + F.least(ma - pa, mb - pb) - 1
+    unlike = sum((F.bit_count(F.col(f"_s{j}a").bitwiseXOR(F.col(f"_s{j}b"))) for j in range(4)), F.lit(0))
+    can = (unlike <= (ma + mb) * ((1 - least) / (1 + least)) + 1e-6) & (F.least(ma, mb) >= F.greatest(ma, mb) * least - 1e-6) & (reach >= (ma + mb) * (least / (1 + least)) - 1e-6)
+    met = split_join(prefixed(left, "a"), prefixed(right, "b"), ["g"]).where(can).select("a", "b").where(F.lit(True) if across else F.col("a") < F.col("b")).distinct()
     both = met.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("_a", "_b"))
     score = common / (F.size("_a") + F.size("_b") - common)

@@ -116,3 +116,23 @@ def test_look_ups_without_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(sizing, "split_hot", lambda counted, n, total: F.col(n) > 10)
     got = looked_up(rows_, table, ["g"], "n", keep="n", few=1)
     assert rows(got.select("x", "g", "low")) == want and "n" in got.columns
+
+
+@pytest.mark.parametrize("few", [2000, 0])
+def test_titles_in_references(spark, monkeypatch, few):
+    monkeypatch.setattr(citation, "FEW_TITLES", few)
+    titles = {1: "Maps of Science", 2: "Optics", 3: "open Access", 4: "Unknown", 5: None, 6: " ", 7: "tworks of citation and m", 8: "Nothing like this here"}
+    refs = {(1, "A, Networks of Citation and Maps of Science, 1999"), (1, "B, MARINE OPTICS LETTERS"), (2, "C, On open access"), (3, "D, maps of scientists"), (3, None)}
+    papers = spark.createDataFrame(list(titles.items()), "doc_id long, title string")
+    got = {tuple(r) for r in citation.named_titles(spark.createDataFrame(list(refs), "doc_id long, ref string"), papers).collect()}
+    assert got == {(d, r, k) for d, r in refs if r for k, t in titles.items() if t and t.strip() and t != "Unknown" and t.lower() in r.lower()}
+
+
+def test_trigram_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    words = ["network", "citation", "marine", "optics", "maps", "of", "science", "sciences"]
+    texts = sorted({" ".join(rng.choice(words, int(rng.integers(2, 6)))) for _ in range(60)})
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    grams = [{t[i : i + 3] for i in range(max(1, len(t) - 2))} for t in texts]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b])}
+    assert {(r["a"], r["b"]) for r in text.trigram_pairs(df, df, "k", "t", 0.6, across=False).collect()} == want
