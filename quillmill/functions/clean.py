@@ -61,10 +61,14 @@ def letters_and_digits(c: Column) -> Column:
 _WINDOWS = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
 
 
+def western(c: Column) -> Column:
+    """A text read as ISO 8859-1 with the further characters of Western Windows systems."""
+    return F.translate(c, "".join(map(chr, range(128, 160))), _WINDOWS)
+
+
 def decoded(c: Column) -> Column:
     """A text whose bytes were read as they are: UTF-8 where they are valid, else Western single bytes; a byte order mark goes."""
-    western = F.translate(F.decode(c.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(128, 160))), _WINDOWS)
-    return F.regexp_replace(F.when(F.is_valid_utf8(c), c).otherwise(western), "^\\ufeff", "")
+    return F.regexp_replace(F.when(F.is_valid_utf8(c), c).otherwise(western(F.decode(c.cast("binary"), "ISO-8859-1"))), "^\\ufeff", "")
 
 
 def doi_characters(c: Column) -> Column:

@@ -39,6 +39,13 @@ def _histogram(mentions: DataFrame, papers: DataFrame, item: str, once: bool) ->
     return cited.groupBy("item", "citation").agg(F.count("*").alias("n"))
 
 
+def h_index(mentions: DataFrame, papers: DataFrame, item: str = "item", once: bool = True) -> DataFrame:
+    """(item, h): the h-index alone, in one pass over the histogram."""
+    above = Window.partitionBy("item").orderBy(F.col("citation").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = _histogram(mentions, papers, item, once).withColumn("_upto", F.sum("n").over(above))
+    return steps.groupBy("item").agg(F.max(F.least(F.col("citation").cast("long"), F.col("_upto"))).alias("h"))
+
+
 def impact_indices(mentions: DataFrame, papers: DataFrame, current_year: int, item: str = "item", once: bool = True) -> DataFrame:
     """(item, h, g, e, m, j) of every entity.
 
@@ -118,14 +125,14 @@ def collaboration_index(mentions: DataFrame, papers: DataFrame, item: str = "ite
 HEALTH = ("abbrev_source_title", "abstract", "affiliation", "author", "doi", "author_keywords", "keywords", "references", "year")
 
 
-def averages(authors: DataFrame, institutions: DataFrame, papers: DataFrame, current_year: int) -> DataFrame:
+def averages(authors: DataFrame, institutions: DataFrame, papers: DataFrame) -> DataFrame:
     """(kpi, value): documents and citations per entity, team sizes and the greatest h-index; mentions are (doc_id, item). To two places."""
     docs = papers.agg(F.count("*").alias("docs"), F.sum("citation").alias("c"), F.countDistinct("journal").alias("j"), (F.max("year") - F.min("year") + 1).alias("y"))
     once = presence(authors)
     a = once.agg(F.count("*").alias("ad"), F.countDistinct("item").alias("a"))
     i = presence(institutions).agg(F.count("*").alias("id"), F.countDistinct("item").alias("i"))
     team = once.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("multi"), F.avg("k").alias("team"))
-    h = impact_indices(authors, papers, current_year).agg(F.max("h").alias("h"))
+    h = h_index(authors, papers).agg(F.max("h").alias("h"))
     one = docs.crossJoin(a).crossJoin(i).crossJoin(team).crossJoin(h)  # one row each
     per = lambda x, y: F.try_divide(F.col(x), F.col(y))
     values = {

@@ -19,14 +19,21 @@ def clusters(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "emb
     return flat.select(key, F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"), "cluster")
 
 
-def topics(docs: DataFrame, k: int, text: str = "text", words: int = 8, vocabulary: int = 5000, seed: int = 7) -> DataFrame:
-    """(topic, place, term, weight): the leading words of topics found by latent Dirichlet allocation (a substitute)."""
+def topics(docs: DataFrame, k: int, text: str = "text", words: int = 8, vocabulary: int | None = None, seed: int = 7) -> DataFrame:
+    """(topic, place, term, weight): the leading words of topics found by latent Dirichlet allocation (a substitute).
+
+    The model knows every word of two texts or more, unless ``vocabulary`` bounds their number.
+    """
     rows = docs.where(F.col(text).isNotNull()).select(tokens(F.col(text)).alias("_t")).where(F.size("_t") > 0)
+    if vocabulary is None:
+        held = rows.select(F.explode(F.array_distinct("_t")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").count()
+        vocabulary = max(held, 1)
     counter = CountVectorizer(inputCol="_t", outputCol="_v", vocabSize=vocabulary, minDF=2).fit(rows)
     model = LDA(k=k, maxIter=5, seed=seed, featuresCol="_v").fit(counter.transform(rows))
-    names = F.array(*map(F.lit, counter.vocabulary))  # at most ``vocabulary`` words
+    names = docs.sparkSession.createDataFrame(list(enumerate(counter.vocabulary)), "_i int, term string")
     long = model.describeTopics(words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "_z"))
-    return long.select("topic", "place", F.element_at(names, F.col("_z.termIndices") + 1).alias("term"), F.col("_z.termWeights").alias("weight"))
+    # k times ``words`` rows
+    return names.join(F.broadcast(long), F.col("_i") == F.col("_z.termIndices")).select("topic", "place", "term", F.col("_z.termWeights").alias("weight"))
 
 
 def similar_words(docs: DataFrame, word: str, n: int, text: str = "text", size: int = 50, seed: int = 7) -> DataFrame:

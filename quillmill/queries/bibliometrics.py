@@ -53,13 +53,13 @@ def author_metrics(v: Views) -> DataFrame:
 r AS (SELECT author, citation, row_number() OVER (PARTITION BY author ORDER BY citation DESC, doc_id) AS rn FROM pc JOIN b_papers USING (doc_id))
 SELECT author AS item, max(CASE WHEN citation >= rn THEN rn ELSE 0 END) AS h FROM r GROUP BY author ORDER BY h DESC, item LIMIT 20""")
 def top_authors_by_h(v: Views) -> DataFrame:
-    return entity.top(entity.impact_indices(_items(v, "author"), v.papers, CURRENT_YEAR).select("item", "h"), "h", 20)
+    return entity.top(entity.h_index(_items(v, "author"), v.papers), "h", 20)
 
 
 @query("country_h_mentions", """--views, r AS (SELECT country, citation, row_number() OVER (PARTITION BY country ORDER BY citation DESC, doc_id) AS rn FROM b_authorships JOIN b_papers USING (doc_id))
 SELECT country AS item, max(CASE WHEN citation >= rn THEN rn ELSE 0 END) AS h FROM r GROUP BY country""")
 def country_h_mentions(v: Views) -> DataFrame:
-    return entity.impact_indices(_items(v, "country"), v.papers, CURRENT_YEAR, once=False).select("item", "h")
+    return entity.h_index(_items(v, "country"), v.papers, once=False)
 
 
 @query("entity_mentions", "--views SELECT author AS item, count(*) AS n FROM b_authorships GROUP BY author")

@@ -321,7 +321,7 @@ k AS (SELECT doc_id, count(DISTINCT author) AS k FROM b_authorships GROUP BY doc
 SELECT unnest(['documents_per_author', 'documents_per_institution', 'documents_per_source', 'documents_per_year', 'citations_per_author', 'citations_per_institution', 'citations_per_document', 'citations_per_source', 'multi_author_documents', 'authors_per_document', 'max_h_index']) AS kpi,
 unnest([round(ad * 1.0 / a, 2), round(id * 1.0 / i, 2), round(docs * 1.0 / j, 2), round(docs * 1.0 / y, 2), round(c * 1.0 / a, 2), round(c * 1.0 / i, 2), round(c * 1.0 / docs, 2), round(c * 1.0 / j, 2), CAST(multi AS DOUBLE), round(team, 2), CAST(h AS DOUBLE)]) AS value FROM n, a, m, h""")
 def eda_averages(v: Views) -> DataFrame:
-    return entity.averages(v.authors.select("doc_id", F.col("author").alias("item")), v.authors.select("doc_id", F.col("region").alias("item")), v.papers, CURRENT_YEAR)
+    return entity.averages(v.authors.select("doc_id", F.col("author").alias("item")), v.authors.select("doc_id", F.col("region").alias("item")), v.papers)
 
 
 @query("health_report", "WITH p AS (SELECT " + ", ".join(f"""count(*) FILTER (WHERE lower(trim("{c}")) NOT IN ('', 'unknown')) AS "{c}\"""" for c in entity.HEALTH) + ", count(*) AS n FROM papers) SELECT unnest([" + ", ".join(f"'{c}'" for c in entity.HEALTH) + "]) AS field, unnest([" + ", ".join(f'"{c}"' for c in entity.HEALTH) + "]) AS n_known, round(100.0 * unnest([" + ", ".join(f'"{c}"' for c in entity.HEALTH) + "]) / n, 2) AS share FROM p")
@@ -378,7 +378,7 @@ def portfolio_means(v: Views) -> DataFrame:
 @query("portfolio_h", f"{_STATS}, h AS ({_H}) SELECT s.item, s.n_docs, h.h, {_QUADRANT.replace('p ', '40 ').replace('>= i', '>= 12').format(i='h.h')} FROM s JOIN h ON h.author = s.item")
 def portfolio_h(v: Views) -> DataFrame:
     """Impact is the h-index; the cuts are given."""
-    h = entity.impact_indices(v.authors.select("doc_id", F.col("author").alias("item")), v.papers, CURRENT_YEAR).select("item", "h")
+    h = entity.h_index(v.authors, v.papers, "author")
     return composite.portfolio(_stats(v).select("item", "n_docs").join(h, "item"), impact="h", cuts=(40, 12))
 
 
@@ -431,10 +431,10 @@ def parsed_evolution(v: Views) -> DataFrame:
     return dynamics.parsed_evolution(years.agg(F.array_join(F.sort_array(F.collect_list("y")), " ").alias("text")))
 
 
-@query("event_sessions", "WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e) SELECT user_id, epoch(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, s")
+@query("event_sessions", "WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, s")
 def event_sessions(v: Views) -> DataFrame:
     found = terms.sessions(v.table("events"), "user_id")
-    return found.select("user_id", F.round(F.unix_micros("start") / 1_000_000, 6).alias("start"), "n")
+    return found.select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
 @query("event_first_seen", "SELECT DISTINCT user_id, event_type FROM events")

@@ -178,8 +178,10 @@ def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
     head = lines.first()
     header = head[0] if head else ""
     separator = max(",;\t|", key=lambda x: header.count(x))
-    encoding = "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "windows-1252"
-    return spark.read.option("header", True).option("multiLine", True).option("sep", separator).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
+    valid = lines.where(~F.is_valid_utf8("value")).isEmpty()
+    encoding = "UTF-8" if valid else "ISO-8859-1"
+    df = spark.read.option("header", True).option("multiLine", True).option("sep", separator).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
+    return df if valid else df.select(*(clean.western(F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
 def from_table(df: DataFrame) -> DataFrame:

@@ -104,3 +104,51 @@ def test_pubmed_line_ends(spark, tmp_path):
     for name in ("p.txt", "q.txt"):
         got = {r["pubmed_id"]: r for r in files.pubmed(spark, str(tmp_path / name)).collect()}
         assert set(got) == {"1", "2"} and got["1"]["title"] == "A title that goes on" and got["2"]["title"] == "Second"
+
+
+def test_western_bytes_and_sniffed_tables(spark, tmp_path):
+    (tmp_path / "w.bib").write_bytes(SCOPUS.replace("Other", "Café – “naïve”").encode("cp1252", "ignore"))
+    assert "Café – “naïve”" in {r["title"] for r in files.bibtex(spark, str(tmp_path / "w.bib")).collect()}
+    (tmp_path / "t.csv").write_bytes("Author;Title;Year\nAdams;\"Café; une étude\";2001\n".encode("cp1252"))
+    r = files.corpus(spark, str(tmp_path / "t.csv"), "table").first()
+    assert (r["author"], r["title"], r["year"], r["doi"]) == ("Adams", "Café; une étude", "2001", "UNKNOWN")
+
+
+def test_one_loading_entry(spark, tmp_path):
+    (tmp_path / "s.bib").write_text(SCOPUS + SCOPUS.replace("10.1/a", "10.1/other").replace("Other", "A title p"))
+    got = {r["title"]: r for r in files.corpus(spark, str(tmp_path / "s.bib"), "scopus").collect()}
+    # the cleaned title of a later record is that of an earlier one
+    assert set(got) == {"A Title with p = 0.05", "Other", "A title p"}
+    assert got["A Title with p = 0.05"]["affiliation"] == "Adams, A. Uni X, France"
+    (tmp_path / "w.bib").write_text(WOS)
+    assert files.corpus(spark, str(tmp_path / "w.bib"), "wos").first()["references"] == "Doe J, 1999, X, Y, V1.;Roe R, 2000, Z."
+    (tmp_path / "p.txt").write_text(PUBMED)
+    assert files.corpus(spark, str(tmp_path / "p.txt"), "pubmed").count() == 2
+
+
+def test_affiliations_with_authors(spark):
+    from pyspark.sql import functions as F
+
+    from quillmill.operators import ingest
+
+    df = spark.createDataFrame([("Adams, A. and Baker, B. and Cole, C.", "Uni X, France; Uni Y, Spain; Uni Z, Italy", "Baker, B.; Uni Y, Spain; email: b@y", "Adams, A (Corresponding Author), Uni X, Dept. Optics, France. Baker, B, Uni Y, Spain.")], "a string, f string, c string, w string")
+    r = df.select(
+        ingest.scopus_affiliations(F.col("a"), F.col("f"), F.col("c")).alias("s"), ingest.author_affiliations(F.lit("A and B"), F.col("f")).alias("p"),
+        ingest.wos_affiliations(F.lit("Adams, A. B.; Uni Rome. Cole, C., Uni Oslo.")).alias("w"), ingest.wos_backfilled(F.lit("UNKNOWN"), F.lit("Adams, A (Corresponding Author), Uni X, France. Baker, B, Uni Y, Spain.")).alias("b"),
+    ).first()
+    assert r["s"] == "Baker, B. Uni Y, Spain; Adams, A. Uni X, France; Cole, C. Uni Z, Italy"
+    assert r["p"] == "A Uni X, France; B Uni Y, Spain; Uni Z, Italy"
+    assert r["w"] == "Adams, A. B., Uni Rome; Cole, C., Uni Oslo"
+    assert r["b"] == "Uni X, France. B, Uni Y, Spain"
+
+
+def test_words_of_other_languages(spark):
+    import pytest
+
+    from quillmill.operators import text
+
+    assert "und" in text.stop_words("German") and text.stop_words("polish", {"polish": ["i", "w"]}) == ("i", "w")
+    with pytest.raises(ValueError, match="Polish"):
+        text.stop_words("Polish")
+    docs = spark.createDataFrame([("kot i pies",), ("i dom",), (None,)], "t string")
+    assert [tuple(r) for r in text.frequent_words(docs, "t", 0.6).collect()] == [("i", 2)]
