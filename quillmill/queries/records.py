@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmill.operators import nested, packed
 
@@ -18,6 +19,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return packed.unpacked(_table(spark, sf, "papers"), "record_id")
 
 
+def p2_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """What p2_found keeps of each cell: its letters in order, as a hash, delimiters that are words aside."""
+    values = packed.unpacked(_table(spark, sf, "papers"), "record_id")
+    lists = values.groupBy("record_id", "field_name").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_v"))
+    text = F.array_join(F.transform("_v", lambda x: F.regexp_replace(x["item"], "[^\\p{L}]+", "")), "")
+    return lists.select("record_id", "field_name", F.size("_v").alias("n"), F.md5(text).alias("letters")).where("letters is not null").drop("n")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Referenced works and abstract words of the delivered works."""
     return nested.flattened(_table(spark, sf, "works_raw"))
@@ -29,7 +38,7 @@ def p6_works(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p6_found": p6_found, "p6_works": p6_works}
+    return {"p2_found": p2_found, "p2_letters": p2_letters, "p6_found": p6_found, "p6_works": p6_works}
 
 
 #: The works of the payloads: a work, a list of works, or an object with results.
@@ -54,5 +63,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY loaded_at DESC
 SELECT work_id, doi, display_name, publication_year, type, language, cited_by_count FROM n WHERE n = 1"""
 
 
+_MISSING = "(coalesce(lower(trim(regexp_replace({c}, '[\\s\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200b}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+', ' ', 'g'))), '') IN ('', 'unknown', 'unkn', 'n/a', 'none', '-'))"
+_CELLS = " UNION ALL ".join(f"""SELECT record_id, '{f}' AS field_name, "{f}" AS c FROM papers WHERE NOT {_MISSING.format(c=f'"{f}"')}""" for f in packed.PACKINGS)
+_AND = "regexp_replace({x}, '(^|\\s)(?i:and)(\\s|$)', ' ', 'g')"
+#: Letters of cells without line breaks of mark-up and, between authors and outside quotes, the word and.
+_LETTERS = f"""WITH c AS ({_CELLS}), b AS (SELECT record_id, field_name, regexp_replace(c, '<[bB][rR]\\s*/?>', ' ', 'g') AS c FROM c),
+a AS (SELECT record_id, field_name, CASE WHEN field_name = 'author' THEN array_to_string(list_transform(string_split(c, '"'), lambda x, i: CASE WHEN i % 2 = 1 THEN {_AND.format(x=_AND.format(x="x"))} ELSE x END), ' ') ELSE c END AS c FROM b),
+l AS (SELECT record_id, field_name, regexp_replace(c, '[^\\p{{L}}]+', '', 'g') AS l FROM a) SELECT record_id, field_name, md5(l) AS letters FROM l WHERE l <> ''"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": _FOUND, "p6_works": _TABLE}
+    return {"p2_letters": _LETTERS, "p6_found": _FOUND, "p6_works": _TABLE}
