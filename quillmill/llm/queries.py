@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import co_items, format_twins, languages, names, packing, survivors, tokens
+from quillmill.plans import written
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -73,11 +74,26 @@ def p7_word_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(_table(spark, sf, "documents").select("doc_id", "text"), WORD_VOCABULARY).select("doc_id", "ids")
 
 
+def p7_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded and decoded again; null as the empty text."""
+    encoded = tokens.encode_corpus(_table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
+    return tokens.decode_corpus(encoded.select("doc_id", "ids"), VOCABULARY).select("doc_id", "text")
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, or piece of a document longer than a container, with its container."""
     return packing.pack_texts(_table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
 
 
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: documents placed, containers that are too full, documents split that fit in one, and tokens that are missing or twice."""
+    packed = written(p8_containers(spark, sf), "packed")
+    over = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > 2048).alias("n_over"))
+    whole = packed.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("t"), F.countDistinct("piece_no").alias("p"), (F.max("start_token") - F.sum("n_tokens") + F.max_by("n_tokens", "start_token")).alias("g"))
+    docs = whole.agg(F.count("*").alias("n_docs"), F.count_if((F.col("k") > 1) & (F.col("t") <= 2048)).alias("n_split"), F.count_if((F.col("k") != F.col("p")) | (F.col("g") != 0)).alias("n_gaps"))
+    return docs.crossJoin(over).select("n_docs", "n_over", "n_split", "n_gaps")  # one row each
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Languages of documents whose label is missing or wrong, and of the stretches of mixed ones."""
     return languages.corrected(_table(spark, sf, "documents"), _table(spark, sf, "language_labels")).select("doc_id", "seg_no", "lang")
@@ -89,7 +105,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_survivors, p3_found, p3_entities, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p7_word_ids, p8_containers, p9_found, p9_segments)
+    named = (p1_found, p1_survivors, p3_found, p3_entities, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p7_word_ids, p7_round_trip, p8_containers, p8_invariants, p9_found, p9_segments)
     return {f.__name__: f for f in named}
 
 
@@ -119,6 +135,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4 + "SELECT field_name, item_a, item_b FROM f",
         "p4_lift": _P4 + "SELECT field_name, item_a, item_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n_all / n_a / n_b, 6) AS lift FROM f",
+        "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_invariants": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS n_over, 0 AS n_split, 0 AS n_gaps FROM documents",
         "p5_found": _P5 + "SELECT first_id, record_id AS copy_id FROM f WHERE record_id <> first_id",
         "p5_collapsed": _P5 + "SELECT first_id, count(*) AS n_copies FROM f GROUP BY first_id",
     }
