@@ -28,6 +28,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.best_records(_table(spark, sf, "dup_groups"), _table(spark, sf, "papers"), _table(spark, sf, "sources"))
 
 
+def p1_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of p1_found of the two fields whose rule SQL can state."""
+    return p1_found(spark, sf).where("field_name <> 'references'")
+
+
 def p1_survivors(spark: SparkSession, sf: str) -> DataFrame:
     """One built record for each group, by the sum of votes."""
     return survivors.survivors(_table(spark, sf, "dup_groups"), _table(spark, sf, "papers"), _table(spark, sf, "sources"))
@@ -105,7 +110,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_survivors, p3_found, p3_entities, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p7_word_ids, p7_round_trip, p8_containers, p8_invariants, p9_found, p9_segments)
+    named = (p1_found, p1_texts, p1_survivors, p3_found, p3_entities, p4_found, p4_lift, p5_found, p5_collapsed, p7_ids, p7_word_ids, p7_round_trip, p8_containers, p8_invariants, p9_found, p9_segments)
     return {f.__name__: f for f in named}
 
 
@@ -131,8 +136,35 @@ f AS (SELECT record_id, min(record_id) OVER (PARTITION BY k) AS first_id FROM g)
 """
 
 
+_BLANK = "[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_ROUND = _BLANK[:-1] + "\\[\\](){}<>"
+
+
+def _squeezed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_BLANK}+', ' ', 'g'))"
+
+
+def _present(x: str) -> str:
+    return f"coalesce(lower({_squeezed(x)}), '') NOT IN ('', 'unknown', 'unkn', 'n/a', 'none', '-')"
+
+
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(doi, '^{_ROUND}]+|{_ROUND}.]+$', '', 'g'), '^[\\s\\p{{Ps}}\\p{{Pi}}\"''<]*((https?://)?(dx\\.|www\\.)?doi\\.org/|doi\\s*:?\\s*)+(10\\.)', '\\4', 'i'), '^{_ROUND}]+', '')"
+_REMARKS = ", ".join(f"'{x}'" for x in survivors.NO_ABSTRACT)
+
+_P1 = f"""
+WITH m AS (SELECT DISTINCT group_id, record_id FROM dup_groups WHERE group_id IS NOT NULL AND record_id IS NOT NULL),
+s AS (SELECT lower({_squeezed('label')}) AS l, min(trust_rank) AS rank FROM sources GROUP BY 1),
+r AS (SELECT m.group_id, p.record_id, p.updated_at, coalesce(s.rank, 60) AS rank, p.abstract, p.doi FROM m JOIN papers p USING (record_id) LEFT JOIN s ON s.l = lower({_squeezed('p.source')})),
+n AS (SELECT group_id, record_id, updated_at, rank, 'abstract' AS field_name, regexp_replace({_squeezed('abstract')}, '[\\s.…\\[\\](){{}}]+$', '') AS v FROM r WHERE {_present('abstract')} AND NOT (length(abstract) < 60 AND regexp_replace(lower(abstract), '[^a-z]+', '', 'g') IN ({_REMARKS}))
+  UNION ALL SELECT group_id, record_id, updated_at, rank, 'doi', lower({_BARE}) FROM r WHERE {_present('doi')} AND regexp_matches({_BARE}, '^10\\.[0-9]+/\\S+$')),
+k AS (SELECT * FROM n WHERE v <> '' AND NOT EXISTS (SELECT 1 FROM n o WHERE o.group_id = n.group_id AND o.field_name = n.field_name AND o.v <> n.v AND starts_with(o.v, n.v)))
+SELECT group_id, field_name, record_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY rank, updated_at DESC NULLS LAST, record_id) AS place FROM k) WHERE place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_texts": _P1,
         "p4_found": _P4 + "SELECT field_name, item_a, item_b FROM f",
         "p4_lift": _P4 + "SELECT field_name, item_a, item_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n_all / n_a / n_b, 6) AS lift FROM f",
         "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
