@@ -83,7 +83,15 @@ def betweenness(v: Views) -> DataFrame:
     return graph.betweenness(_strong_authors(v))
 
 
-@query("load_centrality")
+def _loads(levels: int) -> str:
+    """x (s, v, l): what each node gets and sends on if every node sends one unit to s, from the farthest level to the nearest."""
+    steps = ["z AS (SELECT s, v, d FROM t UNION ALL SELECT DISTINCT s, s, 0 FROM t)", "np AS MATERIALIZED (SELECT t.s, t.v, count(*) AS k FROM t JOIN e ON e.y = t.v JOIN z ON z.s = t.s AND z.v = e.x AND z.d = t.d - 1 GROUP BY t.s, t.v)", f"x{levels} AS MATERIALIZED (SELECT s, v, CAST(1 AS DOUBLE) AS l FROM t WHERE d = {levels})"]
+    for k in range(levels - 1, 0, -1):
+        steps.append(f"x{k} AS MATERIALIZED (SELECT t.s, t.v, 1 + coalesce((SELECT sum(x.l / np.k) FROM e JOIN x{k + 1} x ON x.v = e.y AND x.s = t.s JOIN np ON np.s = x.s AND np.v = x.v WHERE e.x = t.v), 0) AS l FROM t WHERE t.d = {k})")
+    return ", " + ", ".join(steps) + ", x AS (" + " UNION ALL ".join(f"SELECT * FROM x{k}" for k in range(1, levels + 1)) + ")"
+
+
+@query("load_centrality", f"--views{_STRONG}{_distances(6)}{_loads(6)}, n AS (SELECT count(DISTINCT x) AS n FROM e) SELECT v AS item, round(sum(l - 1) / greatest((n - 1) * (n - 2), 1), 6) AS load FROM x CROSS JOIN n GROUP BY v, n")
 def load(v: Views) -> DataFrame:
     return graph.load(_strong_authors(v))
 
@@ -131,6 +139,20 @@ def communities(v: Views) -> DataFrame:
     return graph.label_communities(_country_edges(v), rounds=5)
 
 
+def _hubs(rounds: int) -> str:
+    """Rounds of hubs and authorities: the hub step takes the authorities before they are scaled."""
+    steps = [f"{SQL}, l AS MATERIALIZED (SELECT DISTINCT src, dst FROM b_cites), o AS MATERIALIZED (SELECT src, count(*) AS o FROM l GROUP BY src), i AS MATERIALIZED (SELECT dst, count(*) AS i FROM l GROUP BY dst), x AS MATERIALIZED (SELECT src AS item FROM l UNION SELECT dst FROM l), h0 AS MATERIALIZED (SELECT item, 1.0 / count(*) OVER () AS h, CAST(0 AS DOUBLE) AS a FROM x)"]
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT l.dst AS item, sum(h.h / o.o) AS a FROM l JOIN o USING (src) JOIN h{k} h ON h.item = l.src GROUP BY l.dst), b{k} AS MATERIALIZED (SELECT l.src AS item, sum(a.a / i.i) AS h FROM l JOIN i USING (dst) JOIN a{k} a ON a.item = l.dst GROUP BY l.src), h{k + 1} AS MATERIALIZED (SELECT x.item, coalesce(b.h, 0) / sum(b.h) OVER () AS h, coalesce(a.a, 0) / sum(a.a) OVER () AS a FROM x LEFT JOIN b{k} b USING (item) LEFT JOIN a{k} a USING (item))")
+    return ", ".join(steps) + f" SELECT item, round(h * 1000, 6) AS hub, round(a * 1000, 6) AS authority FROM h{rounds}"
+
+
+@query("salsa_rounds", _hubs(10))
+def salsa_rounds(v: Views) -> DataFrame:
+    """Ten rounds, whatever the change."""
+    return graph.salsa(v.cites, rounds=10, tolerance=0.0).select("item", *(F.round(F.col(c) * 1000, 6).alias(c) for c in ("hub", "authority")))
+
+
 @query("modularity_communities")
 def modularity(v: Views) -> DataFrame:
     return graph.greedy_modularity(_strong_authors(v))

@@ -194,13 +194,49 @@ def fuzzy_journals(v: Views) -> DataFrame:
 @query("typed_edges", """--views, y AS (SELECT a.doc_id, 'author' AS k, a.author AS x FROM b_authorships a UNION ALL SELECT doc_id, 'keyword', kwa FROM b_keywords UNION ALL SELECT doc_id, 'reference', ref FROM b_references UNION ALL SELECT doc_id, 'journal', journal FROM b_papers)
 SELECT 'paper_' || substr(md5(CAST(y.doc_id AS VARCHAR)), 1, 12) AS src, y.k || '_' || substr(md5(lower(trim(y.x))), 1, 12) AS dst, 'paper_' || y.k AS relation, p.year, count(*) AS n FROM y JOIN b_papers p USING (doc_id) GROUP BY ALL""")
 def typed_edges(v: Views) -> DataFrame:
-    return temporal.typed_edges(v.papers, {"author": (v.authors, "author"), "keyword": (v.keywords, "kwa"), "reference": (v.references, "ref"), "journal": (v.papers, "journal")})
+    return temporal.typed_edges(v.papers, _attributes(v))
 
 
-@query("typed_nodes", """--views, y AS (SELECT doc_id, journal, year FROM b_papers), e AS (SELECT 'paper_' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS src, 'journal_' || substr(md5(lower(trim(journal))), 1, 12) AS dst, year FROM y)
+def _attributes(v: Views) -> dict:
+    return {"author": (v.authors, "author"), "keyword": (v.keywords, "kwa"), "reference": (v.references, "ref"), "journal": (v.papers, "journal")}
+
+
+@query("typed_nodes", """--views, y AS (SELECT a.doc_id, 'author' AS k, a.author AS x FROM b_authorships a UNION ALL SELECT doc_id, 'keyword', kwa FROM b_keywords UNION ALL SELECT doc_id, 'reference', ref FROM b_references UNION ALL SELECT doc_id, 'journal', journal FROM b_papers),
+e AS (SELECT DISTINCT 'paper_' || substr(md5(CAST(y.doc_id AS VARCHAR)), 1, 12) AS src, y.k || '_' || substr(md5(lower(trim(y.x))), 1, 12) AS dst, p.year FROM y JOIN b_papers p USING (doc_id))
 SELECT node, split_part(node, '_', 1) AS kind, count(*) AS degree, min(year) AS first_year, max(year) AS last_year FROM (SELECT src AS node, year FROM e UNION ALL SELECT dst, year FROM e) GROUP BY node""")
 def typed_nodes(v: Views) -> DataFrame:
-    return temporal.typed_nodes(temporal.typed_edges(v.papers, {"journal": (v.papers, "journal")}))
+    return temporal.typed_nodes(temporal.typed_edges(v.papers, _attributes(v)))
+
+
+@query("internal_references", """WITH r AS (SELECT record_id AS doc_id, unnest(list_distinct(list_filter(list_transform(string_split("references", ';'), lambda v: trim(regexp_replace(v, '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g'))), lambda v: v <> '' AND lower(v) <> 'note' AND NOT regexp_matches(v, '^\\(?[0-9]{4}\\)?$')))) AS ref FROM papers),
+q AS (SELECT doc_id, ref, nullif(lower(regexp_extract(ref, '10\\.[0-9]+/\\S+')), '') AS doi, nullif(lower(regexp_extract(ref, '^[\\p{L}''-]+')), '') AS author, nullif(regexp_extract(ref, '\\b(1[6-9][0-9]{2}|20[0-2][0-9])\\b', 1), '') AS year FROM r),
+p AS (SELECT record_id AS target, lower(trim(doi)) AS doi, nullif(lower(regexp_extract(author, '^[\\p{L}''-]+')), '') AS author, nullif(regexp_extract(year, '[12][0-9]{3}'), '') AS year FROM papers),
+a AS (SELECT q.doc_id, q.ref, min(p.target) AS target FROM q JOIN p ON p.doi = q.doi WHERE q.doc_id <> p.target GROUP BY q.doc_id, q.ref), l AS (SELECT * FROM q ANTI JOIN a ON a.doc_id = q.doc_id AND a.ref = q.ref)
+SELECT doc_id, ref, target FROM a UNION ALL SELECT l.doc_id, l.ref, min(p.target) FROM l JOIN p ON p.author = l.author AND p.year = l.year WHERE l.doc_id <> p.target GROUP BY l.doc_id, l.ref""")
+def internal_references(v: Views) -> DataFrame:
+    """References by the DOI in them, else by first surname and year; titles are not told apart in them."""
+    name = lambda c: F.nullif(F.regexp_extract(c, "^[\\p{L}'-]+", 0), F.lit(""))
+    papers = v.table("papers")
+    refs = papers.select(F.col("record_id").alias("doc_id"), F.explode(F.array_distinct(ingest.split_values(F.col("`references`"), ";", references=True))).alias("ref"))
+    found = lambda c, pattern, g: F.nullif(F.regexp_extract(c, pattern, g), F.lit(""))
+    parsed = refs.select("doc_id", "ref", found("ref", "10\\.[0-9]+/\\S+", 0).alias("doi"), F.lit(None).cast("string").alias("title"), name("ref").alias("author"), found("ref", "\\b(1[6-9][0-9]{2}|20[0-2][0-9])\\b", 1).alias("year"))
+    there = papers.select(F.col("record_id").alias("doc_id"), "doi", F.lit(None).cast("string").alias("title"), name("author").alias("author"), found("year", "[12][0-9]{3}", 0).alias("year"))
+    return temporal.internal_references(there, parsed)
+
+
+_CLEAN = "trim(regexp_replace(regexp_replace(replace(strip_accents(lower(journal)), '&', ' and '), '[''’`]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+
+
+@query("names_applied", f"""WITH c AS (SELECT journal AS candidate, count(*) AS n, {_CLEAN} AS k FROM papers WHERE journal IS NOT NULL GROUP BY journal), b AS (SELECT candidate, first_value(candidate) OVER (PARTITION BY k ORDER BY n DESC, candidate DESC) AS normalized FROM c WHERE k <> '')
+SELECT p.record_id, coalesce(b.normalized, p.journal) AS journal FROM papers p LEFT JOIN b ON b.candidate = p.journal""")
+def names_applied(v: Views) -> DataFrame:
+    papers = v.table("papers")
+    return composite.apply_names(papers.select("record_id", "journal"), composite.exact_clean_names(papers, "journal"), "journal")
+
+
+@query("merged_spellings", "SELECT record_id, CASE WHEN contains(lower(journal), 'proceedings') THEN replace(lower(journal), 'proceedings', 'proc') ELSE lower(journal) END AS journal FROM papers")
+def merged_spellings(v: Views) -> DataFrame:
+    return select.merge_spellings(v.table("papers").select("record_id", "journal"), "journal", ["Proceedings"], "Proc")
 
 
 _KINDS = ", ".join("('" + a.replace("'", "''") + "', '" + b + "')" for a, b in ingest.DOCUMENT_TYPES.items())
