@@ -96,6 +96,11 @@ def plain(name: str) -> str:
     return s.replace("ø", "o").replace("ß", "ss").replace("æ", "ae").replace("ł", "l").replace("đ", "d")
 
 
+def _letters(s: str) -> str:
+    """The letters of any script."""
+    return "".join(c for c in s if c.isalpha())
+
+
 def _is_initials(token: str, shouted: bool) -> bool:
     bare = token.replace(".", "").replace("-", "")
     if "." in token or len(bare) == 1:
@@ -130,16 +135,16 @@ def author_rewritings(name: str, tables: Tables = TABLES) -> list[tuple[str, str
     for family, given, cost in sides:
         while len(given) > 1 and plain(given[-1]) in tables.particles:
             family, given = [given[-1], *family], given[:-1]
-        s = re.sub(r"[^a-z]", "", plain(" ".join(family)))
+        s = _letters(plain(" ".join(family)))
         names = [t for t in given if plain(t).strip(".") not in tables.titles]
         first = names[0] if names else ""
         if first and _is_initials(first, False if not shouted else shouted):
-            letters = re.sub(r"[^a-z]", "", plain("".join(t for t in names if _is_initials(t, shouted))))
+            letters = _letters(plain("".join(t for t in names if _is_initials(t, shouted))))
             g, i, m = "", letters[:1], letters[1:2]
         else:
-            g = re.sub(r"[^a-z]", "", plain(first))
+            g = _letters(plain(first))
             g = tables.given.get(g, g)
-            i, m = g[:1], re.sub(r"[^a-z]", "", plain(names[1]))[:1] if len(names) > 1 else ""
+            i, m = g[:1], _letters(plain(names[1]))[:1] if len(names) > 1 else ""
         if s:
             out.append((s, g, i, m, cost))
     return out
@@ -181,7 +186,7 @@ def institution_rewriting(name: str, tables: Tables = TABLES) -> tuple[str, str]
     parts = [p.strip() for p in plain(name).split(",") if p.strip()]
     while len(parts) > 1 and re.match(r"(dept|department|school|faculty|div|division|unit)\b", parts[0]):
         parts.pop(0)
-    tokens = [t for t in re.findall(r"[a-z0-9]+", " ".join(parts)) if t not in tables.small_words]
+    tokens = [t for t in re.findall(r"[^\W_]+", " ".join(parts)) if t not in tables.small_words]
     kinds = [_kind_of(t, tables) for t in tokens]
     core = [t for t, k in zip(tokens, kinds, strict=True) if k is None]
     if not core:
@@ -196,8 +201,8 @@ def journal_rewriting(name: str, tables: Tables = TABLES) -> tuple[str, list[str
     found = re.search(r"\b(?:part|section|series|sect|ser)\W+([a-z0-9]{1,3})\W*$", text)
     if found:
         series, text = found.group(1), text[: found.start()]
-    tokens = re.findall(r"[a-z0-9]+", text)
-    return series, [tables.journal_words.get(t, t) for t in tokens if len(t) > 2 or t in tables.journal_words or t in tables.small_words]
+    tokens = re.findall(r"[^\W_]+", text)
+    return series, [tables.journal_words.get(t, t) for t in tokens if len(t) > 2 or not t.isascii() or t in tables.journal_words or t in tables.small_words]
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -341,6 +346,7 @@ def _told_apart(people: DataFrame) -> DataFrame:
 
     A name without a country belongs to the only country of its middle initial; one that nothing decides stays alone.
     """
+    people = written(people, "people")
     middle = F.nullif(F.col("m"), F.lit(""))
     lands = people.groupBy("s", "g").agg(F.min("country").alias("_c"), F.max("country").alias("_d"))
     by_middle = people.where("m <> ''").groupBy("s", "g", "m").agg(F.min("country").alias("_cm"), F.max("country").alias("_dm"))
@@ -398,7 +404,8 @@ def entities(forms: DataFrame, tables: Tables = TABLES) -> DataFrame:
     The score is the rarity of the rewriting that led there: one over the number of full names, words and titles it may stand for.
     Defined results: missing names and null ids and fields give no row; repeated rows count once; a null country agrees
     with any; initials that fit several full names and nothing decides stay alone; fields other than author and institution are
-    read as titles; an empty table gives no row; other columns are not read.
+    read as titles; names of any script are read, and those without a word that counts agree if they are the same text; an empty table
+    gives no row; other columns are not read.
     """
     names = forms.select("name_id", "field_name", clean.squeezed(F.col("name")).alias("name"), clean.present(F.col("country")).alias("country")).where("name_id is not null and field_name is not null").where(~clean.is_missing(F.col("name"))).distinct()
     rows = written(_rewritten(_without_countries(names), tables), "rewritings")
@@ -406,7 +413,11 @@ def entities(forms: DataFrame, tables: Tables = TABLES) -> DataFrame:
     institutions = _institutions(rows.where("field_name = 'institution'")).withColumn("field_name", F.lit("institution"))
     others = rows.where("field_name not in ('author', 'institution')")
     journals = _journals(others, tables).join(others.select("name_id", "field_name").distinct(), "name_id")
-    found = authors.unionByName(institutions).unionByName(journals)
+    found = authors.unionByName(institutions.where("entity <> 'institution||'")).unionByName(journals)
+    found = written(found.select("name_id", "field_name", "entity", "score"), "found")
+    # names of which the rules read nothing, such as numbers, agree if they are the same text
+    left = names.join(found.select("name_id", "field_name").distinct(), ["name_id", "field_name"], "left_anti")
+    found = found.unionByName(left.select("name_id", "field_name", F.concat(F.lit("text|"), F.lower("name")).alias("entity"), F.lit(1.0).alias("score")))
     return found.groupBy("name_id", "field_name", F.concat_ws("|", "field_name", "entity").alias("entity")).agg(F.max("score").alias("score"))
 
 

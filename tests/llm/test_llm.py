@@ -160,6 +160,13 @@ def test_words_of_titles_and_places(spark):
     assert _entity_sets(spark, forms)[:4] == [[0, 1, 4], [2, 3], [5, 6], [7]]
 
 
+def test_names_of_any_script(spark):
+    forms = [("author", n, None) for n in ("王伟", "王伟", "王芳", "Иванов, Пётр", "Пётр Иванов", "...", "...", "!")]
+    forms += [("institution", n, None) for n in ("北京大学", "北京大学", "清华大学", "Κέντρο Ερευνών", "???", "2001")]
+    forms += [("journal", n, None) for n in ("Of the", "Of the", "化学", "化学", "数学")]
+    assert _entity_sets(spark, forms) == [[0, 1], [2], [3, 4], [5, 6], [7], [8, 9], [10], [11], [12], [13], [14, 15], [16, 17], [18]]
+
+
 def test_an_entity_of_many_names(spark, monkeypatch):
     from quillmill.plans import split_join
 
