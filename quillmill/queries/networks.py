@@ -172,6 +172,16 @@ def bridge_scores(v: Views) -> DataFrame:
     return temporal.bridge_scores(central, papers)
 
 
+@query("paper_indicators", f"""--views, e AS MATERIALIZED (SELECT DISTINCT src AS x, dst AS y FROM b_cites){_distances(7)}{_BETWEEN}, n AS (SELECT count(*) AS n FROM b_papers), a AS (SELECT doc_id, count(DISTINCT author) AS a FROM b_authorships GROUP BY doc_id), k AS (SELECT doc_id, count(DISTINCT kwa) AS k FROM b_keywords GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS r FROM b_references GROUP BY doc_id), i AS (SELECT x AS doc_id, count(*) AS i FROM e GROUP BY x), q AS (SELECT p.doc_id, p.citation, round(coalesce(b.b, 0) / greatest((n - 1) * (n - 2), 1), 6) AS b FROM b_papers p CROSS JOIN n LEFT JOIN b ON b.item = p.doc_id)
+SELECT q.doc_id AS item, q.citation, q.b AS betweenness, coalesce(a.a, 0) AS n_authors, coalesce(k.k, 0) AS n_keywords, coalesce(r.r, 0) AS n_references, coalesce(i.i, 0) AS n_internal, round(0.7 * q.b + 0.3 * least(q.citation * 1.0 / greatest(1, q.citation + 50), 1), 4) AS score
+FROM q LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN i USING (doc_id)""")
+def paper_indicators(v: Views) -> DataFrame:
+    cites = checkpointed(v.cites)
+    central = graph.directed_betweenness(cites, v.papers.select(F.col("doc_id").alias("item"))).withColumn("betweenness", F.round("betweenness", 6))
+    return temporal.paper_indicators(v.papers, central, v.authors, v.keywords.select("doc_id", F.col("kwa").alias("keyword")), v.references, cites)
+
+
 #: Knowledge flows u -> v, and the number of paths from sources (or any node) to each node and from each node to sinks.
 _FLOWS = ", f AS MATERIALIZED (SELECT DISTINCT dst AS u, src AS v FROM b_cites)"
 

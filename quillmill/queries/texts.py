@@ -208,6 +208,20 @@ def typed_nodes(v: Views) -> DataFrame:
     return temporal.typed_nodes(temporal.typed_edges(v.papers, _attributes(v)))
 
 
+@query("typed_edges_leading", """--views, t AS (SELECT doc_id FROM b_papers ORDER BY citation DESC, doc_id LIMIT 500), c AS (SELECT doc_id, ref FROM b_references WHERE doc_id IN (SELECT doc_id FROM t)), r AS (SELECT ref FROM (SELECT DISTINCT doc_id, ref FROM c) GROUP BY ref HAVING count(*) >= 2 ORDER BY count(*) DESC, ref LIMIT 300),
+y AS (SELECT a.doc_id, 'author' AS k, a.author AS x FROM b_authorships a WHERE doc_id IN (SELECT doc_id FROM t) UNION ALL SELECT doc_id, 'keyword', kwa FROM b_keywords WHERE doc_id IN (SELECT doc_id FROM t) UNION ALL SELECT doc_id, 'reference', ref FROM c WHERE ref IN (SELECT ref FROM r) UNION ALL SELECT doc_id, 'journal', journal FROM b_papers WHERE doc_id IN (SELECT doc_id FROM t))
+SELECT 'paper_' || substr(md5(CAST(y.doc_id AS VARCHAR)), 1, 12) AS src, y.k || '_' || substr(md5(lower(trim(y.x))), 1, 12) AS dst, 'paper_' || y.k AS relation, p.year, count(*) AS n FROM y JOIN b_papers p USING (doc_id) GROUP BY ALL""")
+def typed_edges_leading(v: Views) -> DataFrame:
+    """The graph that a reader looks at: the 500 most cited papers and the 300 references that most of them cite."""
+    own = {k: x for k, x in _attributes(v).items() if k != "reference"}
+    return temporal.leading_part(v.papers, own, v.references)
+
+
+@query("reference_indicators", "--views SELECT ref, count(*) AS n, min(year) AS first_year, max(year) AS last_year, max(year) - min(year) AS span FROM (SELECT DISTINCT doc_id, ref FROM b_references) JOIN b_papers USING (doc_id) WHERE year > 0 GROUP BY ref")
+def reference_indicators(v: Views) -> DataFrame:
+    return temporal.reference_indicators(v.references, v.papers)
+
+
 @query("internal_references", """WITH r AS (SELECT record_id AS doc_id, unnest(list_distinct(list_filter(list_transform(string_split("references", ';'), lambda v: trim(regexp_replace(v, '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g'))), lambda v: v <> '' AND lower(v) <> 'note' AND NOT regexp_matches(v, '^\\(?[0-9]{4}\\)?$')))) AS ref FROM papers),
 q AS (SELECT doc_id, ref, nullif(lower(regexp_extract(ref, '10\\.[0-9]+/\\S+')), '') AS doi, nullif(lower(regexp_extract(ref, '^[\\p{L}''-]+')), '') AS author, nullif(regexp_extract(ref, '\\b(1[6-9][0-9]{2}|20[0-2][0-9])\\b', 1), '') AS year FROM r),
 p AS (SELECT record_id AS target, lower(trim(doi)) AS doi, nullif(lower(regexp_extract(author, '^[\\p{L}''-]+')), '') AS author, nullif(regexp_extract(year, '[12][0-9]{3}'), '') AS year FROM papers),
