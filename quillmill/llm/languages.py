@@ -130,11 +130,11 @@ def without_asides(text: str) -> str:
 
     What begins where a sentence begins and holds its end, and what holds the ends of two sentences or more, is no aside.
     """
-    out, at, shown = [], 0, 0
+    out, at, shown, first = [], 0, 0, len(text) - len(text.lstrip())
     while (m := ASIDE.search(text, at)) is not None:
         a, b = m.span()
         before = text[shown:a].rstrip(" \t") if a - shown < 200 else text[a - 200 : a].rstrip(" \t")
-        opens = (not before and a == shown == 0) or not text[:a].strip() or before.endswith(("\n", "\r")) or STOPPED.search(before[-4:]) is not None
+        opens = a <= first or before.endswith(("\n", "\r")) or STOPPED.search(before[-4:]) is not None
         ends = m.group()[0] in "«“„\"([" and (STOPPED.search(m.group()) is not None or text[b : b + 1] in (".", "!", "?", "…", "。"))
         if (opens and ends) or len(INNER_END.findall(m.group())) > 1:
             at = a + 1

@@ -2,6 +2,7 @@ import collections
 import datetime as dt
 import itertools
 import os
+import time
 
 import numpy as np
 import pytest
@@ -414,6 +415,11 @@ def test_every_sentence_counts(small):
     assert [len(s) for s in languages.sentences("他们去了。我们也去！这是好的？")] == [4, 4, 4]
     long = '"' + "word and word " * 5000 + '" End of it.'
     assert languages.sentences(long) and languages.sentences("(" * 3000 + "a b.")
+    # the time of a long text grows with its length
+    for piece in ("We saw it (see 1). ", '"Who is it? It is I. Yes." ', "« a b » c (d. E f. G) ", "<b>x y</b> \" "):
+        began = time.time()
+        languages.sentences(piece * 30_000)
+        assert time.time() - began < 20
 
 
 def test_models_counted_by_executors(spark, small):
