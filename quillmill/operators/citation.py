@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.plans import checkpointed, row_count_at_most, split_join
+from quillmill.plans import checkpointed, joined_in_parts, row_count_at_most, split_join, written
 
 #: Short titles that are tried on every reference.
 FEW_TITLES = 2_000
@@ -175,37 +177,74 @@ def co_cited_groups(references: DataFrame, size: int, top: int, least: int = 1)
     return counted.orderBy(F.col("n").desc(), "refs").limit(top)
 
 
-def named_titles(references: DataFrame, papers: DataFrame) -> DataFrame:
-    """(doc_id, ref, target): references whose text holds the title of a paper, both in small letters.
+def _titles(papers: DataFrame) -> DataFrame:
+    """(target, _title): the titles that can be looked for, in small letters."""
+    return papers.where("title is not null and trim(title) <> '' and lower(trim(title)) <> 'unknown'").select(F.col("doc_id").alias("target"), F.lower("title").alias("_title"))
+
 
-    ``papers`` is (doc_id, title). A title is looked up by the rarest of its inner words, which stand in the reference as whole words;
-    titles of one or two words are tried one by one where they are few, else compared with the pieces of references as long as they.
+def _holding(references: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, ref, _title, ...): references whose text in small letters holds a title; ``titles`` has one row for each ``_title``.
+
+    A title is looked up by the rarest of its inner words, which stand in the reference as whole words, and only if the references
+    have all of them; references meet titles by words that are looked for, never by all their words. Titles of one or two
+    words are tried one by one where they are few, else compared with the pieces of references as long as they, in the task that made these.
     """
-    texts = references.where("ref is not null").select("doc_id", "ref", F.lower("ref").alias("_t"))
-    titles = papers.where("title is not null and trim(title) <> '' and lower(trim(title)) <> 'unknown'").select(F.col("doc_id").alias("target"), F.lower("title").alias("_title"))
+    texts = written(references.where("ref is not null").select("doc_id", "ref"), "texts")  # read three times
     words = lambda c: F.regexp_extract_all(c, F.lit("[\\p{L}\\p{N}]+"), 0)
-    split = titles.withColumn("_w", words(F.col("_title")))
-    inner = F.slice("_w", F.lit(2), F.size("_w") - 2)
-    held = texts.select(*texts.columns, F.explode(F.array_distinct(words(F.col("_t")))).alias("_k"))
-    rare = held.groupBy("_k").agg(F.count("*").alias("_c"))
-    keys = split.where(F.size("_w") > 2).select("target", "_title", F.explode(inner).alias("_k")).join(rare, "_k").groupBy("target", "_title").agg(F.min(F.struct("_c", "_k")).alias("_m"), F.count("*").alias("_n"))
-    probes = keys.select("target", "_title", F.col("_m._k").alias("_k"))
-    long = split_join(checkpointed(held), checkpointed(probes), ["_k"]).where(F.col("_t").contains(F.col("_title"))).select("doc_id", "ref", "target")
-    short = split.where(F.size("_w") <= 2).select("target", F.col("_title").alias("_p"), F.length("_title").alias("_l"))
+    split = written(titles.withColumns({"_w": words(F.col("_title")), "_id": F.monotonically_increasing_id()}), "titles")
+    each = F.explode(F.array_distinct(words(F.lower("ref")))).alias("_k")
+    rare = texts.select(each).groupBy("_k").agg(F.count("*").alias("_c"))
+    inner = split.where(F.size("_w") > 2).select("_id", F.array_distinct(F.slice("_w", F.lit(2), F.size("_w") - 2)).alias("_i"))
+    met = inner.select("_id", F.size("_i").alias("_s"), F.explode("_i").alias("_k")).join(rare, "_k")
+    keys = met.groupBy("_id", "_s").agg(F.min(F.struct("_c", "_k")).alias("_m"), F.count("*").alias("_n")).where("_n = _s").select("_id", F.col("_m._k").alias("_k"))
+    probes = written(split.drop("_w").join(keys, "_id").drop("_id"), "probes")
+    held = written(joined_in_parts(texts.select("doc_id", "ref", each), probes.select("_k").distinct(), "_k"), "held")
+    long = split_join(held, probes, ["_k"]).where(F.lower("ref").contains(F.col("_title"))).drop("_k")
+    short = split.where(F.size("_w") <= 2).drop("_w", "_id")
+    out = ["doc_id", "ref", *titles.columns]
     if row_count_at_most(short, FEW_TITLES):
-        all_ = short.agg(F.collect_list(F.struct("target", "_p")).alias("_s"))
-        hit = texts.crossJoin(F.broadcast(all_)).select("doc_id", "ref", F.explode(F.filter("_s", lambda x: F.col("_t").contains(x["_p"]))).alias("_h"))  # one row
-        return long.unionByName(hit.select("doc_id", "ref", F.col("_h.target").alias("target"))).distinct()
-    lengths = [r[0] for r in short.select("_l").distinct().collect()]  # lengths of titles of one or two words
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t") - n + 1)), lambda i: F.substring("_t", i, F.lit(n)))
-    cut = texts.select("doc_id", "ref", F.explode(F.array_distinct(F.concat(*(pieces(n) for n in lengths)))).alias("_p"))
-    return long.unionByName(cut.join(short, "_p").select("doc_id", "ref", "target")).distinct()
+        all_ = short.agg(F.collect_list(F.struct(*titles.columns)).alias("_s"))
+        hit = texts.crossJoin(F.broadcast(all_)).withColumn("_t", F.lower("ref"))  # one row
+        hit = hit.select("doc_id", "ref", F.inline(F.filter("_s", lambda x: F.col("_t").contains(x["_title"]))))
+    else:
+        lengths = [r[0] for r in short.select(F.length("_title")).distinct().collect()]  # lengths of titles of one or two words
+        low = F.lower("ref")
+        pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - n + 1)), lambda i: F.substring(low, i, F.lit(n)))
+        cut = [texts.select("doc_id", "ref", F.explode(F.array_distinct(pieces(n))).alias("_title")) for n in lengths]
+        hit = reduce(DataFrame.unionByName, (joined_in_parts(c, short.where(F.length("_title") == n), "_title") for c, n in zip(cut, lengths, strict=True)))
+    return long.select(out).unionByName(hit.select(out))
+
+
+def named_titles(references: DataFrame, papers: DataFrame) -> DataFrame:
+    """(doc_id, ref, target): references whose text holds the title of a paper, both in small letters.
+
+    ``papers`` is (doc_id, title). Each title is looked for once, however many papers have it; see :func:`named_title_counts` for numbers
+    where titles such as years stand in very many references.
+    """
+    titles = _titles(papers).distinct()
+    held = _holding(references, titles.select("_title").distinct())
+    return split_join(written(held, "hits"), written(titles, "targets"), ["_title"]).select("doc_id", "ref", "target").distinct()
+
+
+def named_title_counts(references: DataFrame, papers: DataFrame) -> DataFrame:
+    """(doc_id, n): how many rows :func:`named_titles` has for each paper, counted without listing the papers of each title."""
+    titles = _titles(papers).where("target is not null").distinct()
+    twice = titles.groupBy("target").agg(F.min(F.xxhash64("_title")).alias("_a"), F.max(F.xxhash64("_title")).alias("_b")).where("_a <> _b").select("target")
+    some = not twice.isEmpty()  # papers that have several titles, of which a reference may hold more than one
+    own = titles.join(twice, "target", "left_anti") if some else titles
+    found = _holding(references, own.groupBy("_title").agg(F.count("*").alias("n"))).distinct().groupBy("doc_id").agg(F.sum("n").alias("n"))
+    if some:
+        kept = titles.join(twice, "target", "left_semi").select(F.col("target").alias("doc_id"), F.col("_title").alias("title"))
+        listed = named_titles(references, kept).groupBy("doc_id").agg(F.count("*").alias("n"))
+        found = found.unionByName(listed).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return found
 
 
 def past_citations(named: DataFrame, papers: DataFrame) -> DataFrame:
-    """(year, n): how often papers of a year cite papers of the corpus, out of :func:`named_titles`; years without any have 0."""
+    """(year, n): how often papers of a year cite papers of the corpus, out of :func:`named_titles` or its counts; years without any have 0."""
     years = papers.where("year is not null").select("doc_id", "year")
-    counted = named.join(years, "doc_id").groupBy("year").agg(F.count("*").alias("_n"))
+    each = F.sum("n") if "n" in named.columns else F.count("target")
+    counted = named.join(years, "doc_id").groupBy("year").agg(each.alias("_n"))
     return years.select("year").distinct().join(counted, "year", "left").select("year", F.coalesce("_n", F.lit(0)).alias("n"))
 
 

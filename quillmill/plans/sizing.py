@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.plans.lineage import written
+
 #: Rows of a narrow table that may be broadcast; about 64 bytes a row, so some 30 MB.
 BROADCAST_ROWS = 500_000
 
@@ -22,6 +26,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, rows) else df
 
 
+def joined_in_parts(rows: DataFrame, table: DataFrame, key: str, few: int = BROADCAST_ROWS // 10) -> DataFrame:
+    """The inner join of ``rows`` with a table that is broadcast, in parts of about ``few`` rows one after the other where it has more.
+
+    For rows that are many more than their hits: they are made anew for each part and never shuffled or stored.
+    """
+    parts = -(-table.count() // few)
+    if parts <= 1:
+        return rows.join(F.broadcast(table), key)
+    part = lambda k: rows.join(F.broadcast(table.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)), key)
+    return reduce(DataFrame.unionByName, [written(part(k), "part") for k in range(parts)])
+
+
 def split_hot(counted: DataFrame, n: str, total: int, least: int = 10_000) -> Column:
     """Condition that marks the hot rows of a table of keys with their row counts ``n``.
 

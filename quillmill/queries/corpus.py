@@ -114,7 +114,7 @@ y AS (SELECT record_id AS doc_id, TRY_CAST(regexp_extract(year, '([12][0-9]{{3}}
 SELECT y.year, count(h.target) AS n FROM y LEFT JOIN h USING (doc_id) WHERE y.year IS NOT NULL GROUP BY y.year""")
 def past_citations(v: Views) -> DataFrame:
     papers = v.table("papers").select(F.col("record_id").alias("doc_id"), "title", ingest.year_of(F.col("year"), F.lit(None).cast("string")).alias("year"))
-    return citation.past_citations(citation.named_titles(_references(v), papers.select("doc_id", "title")), papers)
+    return citation.past_citations(citation.named_title_counts(_references(v), papers.select("doc_id", "title")), papers)
 
 
 @query("author_institution_pairs", f"""WITH l AS (SELECT record_id, {_split('author')} AS a, {_split('institution')} AS i FROM papers), x AS (SELECT unnest(list_zip(a, i)) AS z FROM l WHERE len(a) = len(i)), y AS (SELECT unnest(a) AS x, i FROM l WHERE len(a) <> len(i))

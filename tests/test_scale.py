@@ -128,6 +128,38 @@ def test_titles_in_references(spark, monkeypatch, few):
     assert got == {(d, r, k) for d, r in refs if r for k, t in titles.items() if t and t.strip() and t != "Unknown" and t.lower() in r.lower()}
 
 
+@pytest.mark.parametrize("few", [2000, 0])
+def test_counts_of_titles_in_references(spark, monkeypatch, few):
+    from quillmill.plans import joined_in_parts, sizing
+
+    monkeypatch.setattr(citation, "FEW_TITLES", few)
+    monkeypatch.setattr(citation, "joined_in_parts", lambda *a: joined_in_parts(*a, few=1 if few == 0 else sizing.BROADCAST_ROWS))
+    titles = [(1, "Maps of Science"), (2, "2017"), (3, "2017"), (4, "Optics"), (4, "maps of science"), (4, "Optics"), (None, "Optics"), (5, "Unknown"), (6, "no such words here")]
+    refs = [(1, "A, Maps of Science, 2017"), (1, "A, Maps of Science, 2017"), (2, "marine OPTICS and maps of science"), (3, None), (None, "2017"), (4, "of science, maps"), (7, "2017")]
+    papers = spark.createDataFrame(titles, "doc_id long, title string")
+    references = spark.createDataFrame(refs, "doc_id long, ref string")
+    named = {(d, r, k) for d, r in refs if r for k, t in titles if k and t != "Unknown" and t.lower() in r.lower()}
+    got = {tuple(r) for r in citation.named_title_counts(references, papers).collect()}
+    assert got == {(d, sum(x[0] == d for x in named)) for d in {x[0] for x in named}}
+    years = spark.createDataFrame([(1, 2001), (2, 2001), (7, 2003), (9, 2004), (8, None)], "doc_id long, year int")
+    want = {2001: sum(x[0] in (1, 2) for x in named), 2003: sum(x[0] == 7 for x in named), 2004: 0}
+    assert dict(rows(citation.past_citations(citation.named_title_counts(references, papers), years))) == want
+    assert dict(rows(citation.past_citations(citation.named_titles(references, papers), years))) == want
+
+
+@pytest.mark.parametrize("few", [2000, 0])
+def test_words_and_pieces_of_references_are_not_stored(spark, monkeypatch, few):
+    monkeypatch.setattr(citation, "FEW_TITLES", few)
+    stored = []
+    for name in ("written", "checkpointed"):
+        real = getattr(citation, name)
+        monkeypatch.setattr(citation, name, lambda df, *a, real=real: stored.append(real(df, *a)) or stored[-1])
+    refs = spark.createDataFrame([(k, f"Author{k}, a text with many words about field {k}, 1999") for k in range(300)] + [(300, "maps of science, 2017")], "doc_id long, ref string")
+    papers = spark.createDataFrame([(1, "Maps of Science"), *((k, "2017") for k in range(2, 40)), (50, "words never met about field")], "doc_id long, title string")
+    assert [tuple(r) for r in citation.named_title_counts(refs, papers).collect()] == [(300, 39)]
+    assert sorted(df.count() for df in stored)[-2:] in ([3, 301], [4, 301], [1, 301])  # the references themselves, once
+
+
 def test_trigram_pairs_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     words = ["network", "citation", "marine", "optics", "maps", "of", "science", "sciences"]
