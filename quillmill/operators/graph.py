@@ -18,11 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.plans import checkpointed, dropped
+from quillmill.plans import broadcast_if_small, checkpointed, dropped, row_count_at_most, written
 
 #: Edges of a graph that every task may hold.
 LOCAL_EDGES = 2_000_000
 
+#: Cells of a matrix of sources by nodes that a task holds, and nodes whose arcs stand in a matrix at once.
+CELLS, ROWS = 2_000_000, 256
+
+#: Nodes times arcs of a component that one task searches; a larger one is searched by several, each from its share of the nodes.
+SEARCHED = 2_000_000_000
+
 #: Arcs of the longest chain that is followed; beyond it there is an error, never a part of a result.
 LONGEST_CHAIN = 10_000
 
@@ -263,9 +269,146 @@ def _summed_over_sources(edges: DataFrame, limit: int, search, name: str, digits
     return parts.select("item", (value if digits is None else F.round(value, digits)).alias(name))
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """(a, b): from each item of a part of the edges to one item of its component there, few rows where there are many edges."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def hung(d: pd.DataFrame) -> pd.DataFrame:
+        codes, items = pd.factorize(pd.concat([d["a"], d["b"]], ignore_index=True))
+        a, b = np.split(codes, 2)
+        root = np.arange(len(items))
+        while (root[a] != root[b]).any():
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root != root[root]).any():
+                root = root[root]
+        return pd.DataFrame({"a": items, "b": np.asarray(items)[root]})
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for d in it:
+            held.append(d)
+            rows += len(d)
+            if rows > CELLS:
+                held = [hung(pd.concat(held, ignore_index=True))]
+                rows = 0
+        if held:
+            yield hung(pd.concat(held, ignore_index=True))
+
+    return edges.select("a", "b").mapInPandas(run, f"a {kind}, b {kind}")
+
+
+def _by_component(edges: DataFrame, search, column: str, weighted: bool) -> DataFrame:
+    """(item, column): the sums of what ``search(starts, ends, weights, sources)``, which gives (nodes, values), gives each node.
+
+    Each component is searched by itself, in one task or more, so neither the driver nor a task holds the whole graph.
+    """
+    places = Window.partitionBy("component").orderBy("item")  # items of one component
+    nodes = components(written(_stars(edges), "stars")).withColumn("k", (F.row_number().over(places) - 1).cast("int"))
+    nodes = written(nodes, "nodes")
+    table = broadcast_if_small(nodes, 50_000)
+    links = edges.where("a <> b").join(table.toDF("a", "component", "_i"), "a").join(table.select(F.col("item").alias("b"), F.col("k").alias("_j")), "b")
+    # one row for each node, as a component that several tasks search is sent to each of them
+    lists = links.groupBy("component", "_i").agg(F.collect_list(F.struct("_j", F.col("w").cast("double").alias("w")) if weighted else F.struct("_j")).alias("_l"))
+    links = written(lists.select("component", "_i", F.col("_l._j").alias("_j"), *([F.col("_l.w").alias("w")] if weighted else [])), "links")
+    sizes = links.groupBy("component").agg(F.sum(F.size("_j")).alias("_m")).join(nodes.groupBy("component").agg(F.count("*").alias("_n")), "component")
+    most = edges.sparkSession.sparkContext.defaultParallelism
+    sizes = sizes.select("component", F.col("_n").cast("int").alias("_n"), F.least(F.ceil(2.0 * F.col("_m") * F.col("_n") / SEARCHED), F.lit(most)).cast("int").alias("_parts"))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        n, parts, part, component = int(d["_n"].iat[0]), int(d["_parts"].iat[0]), int(d["_part"].iat[0]), d["component"].iat[0]
+        a, b = np.repeat(d["_i"].to_numpy(np.int32), d["_j"].map(len)), np.concatenate(d["_j"].to_list()).astype(np.int32)
+        w = np.concatenate(d["w"].to_list()) if weighted else None
+        src, ends = np.concatenate([a, b]), np.concatenate([b, a])
+        del d, a, b
+        order = np.argsort(src, kind="stable")
+        ends, w = ends[order], np.tile(w, 2)[order] if weighted else None
+        starts = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
+        del src, order
+        k, x = search(starts, ends, w, np.arange(part, n, parts))
+        return pd.DataFrame({"component": component, "k": k.astype(np.int32), "x": x})
+
+    each = links.join(broadcast_if_small(sizes, 50_000), "component").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    kind = nodes.schema["component"].dataType.simpleString()
+    found = each.groupBy("component", "_part").applyInPandas(run, f"component {kind}, k int, x double").groupBy("component", "k").agg(F.sum("x").alias(column))
+    return written(nodes.join(found, ["component", "k"], "left").select("item", column), "searched")
+
+
+def _through(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray | None) -> np.ndarray:
+    """The product of ``x`` and the matrix of the arcs, of which ``ROWS`` rows are made at a time."""
+    out = np.zeros_like(x)
+    for at in range(0, x.shape[1], ROWS):
+        rows = np.arange(at, min(at + ROWS, x.shape[1]))
+        if x[:, rows].any():
+            out += x[:, rows] @ _matrix(starts, ends, w, rows)
+    return out
+
+
+def _matrix(starts: np.ndarray, ends: np.ndarray, w: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    many, at = _arcs_of(starts, rows)
+    out = np.zeros((len(rows), len(starts) - 1))
+    out[np.repeat(np.arange(len(rows)), many), ends[at]] = 1.0 if w is None else w[at]
+    return out
+
+
+def _dependencies_of_all(starts: np.ndarray, ends: np.ndarray, w: None, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the shortest paths from ``sources`` add to each node of a connected graph; dense graphs by products of matrices.
+
+    The farthest level is known when no node is left, so its arcs are not followed again.
+    """
+    n = len(starts) - 1
+    total = np.zeros(n)
+    if n * n > 100 * len(ends):
+        for s in sources:
+            total += _dependencies(starts, ends, s)
+        return np.arange(n), total
+    for own in np.split(sources, range(max(1, CELLS // n), len(sources), max(1, CELLS // n))):
+        front = _matrix(starts, ends, None, own)
+        seen, levels = front > 0, [front]
+        seen[np.arange(len(own)), own] = True
+        while not seen.all():
+            front = _through(front, starts, ends, None)
+            front[seen] = 0.0
+            seen |= front > 0
+            levels.append(front)
+        delta = np.zeros((len(own), n))
+        for near, far in zip(levels[-2::-1], levels[:0:-1], strict=True):
+            delta += near * _through(np.divide(1 + delta, far, out=np.zeros_like(far), where=far > 0), starts, ends, None)
+        total += delta.sum(axis=0)
+    return np.arange(n), total
+
+
+def _constraints_of(starts: np.ndarray, ends: np.ndarray, w: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(starts) - 1
+    src = np.repeat(np.arange(n), np.diff(starts))
+    p = w / np.bincount(src, w, n)[src]
+    out = np.zeros(len(sources))
+    step = max(1, CELLS // n) if n * n <= 100 * len(ends) else 1
+    for k in range(0, len(sources), step):
+        own = sources[k : k + step]
+        if step > 1:
+            direct = _matrix(starts, ends, p, own)
+            out[k : k + step] = np.where(direct > 0, (direct + _through(direct, starts, ends, p)) ** 2, 0.0).sum(axis=1)
+        else:
+            at = slice(starts[own[0]], starts[own[0] + 1])
+            many, arcs = _arcs_of(starts, ends[at])
+            two = np.bincount(ends[arcs], np.repeat(p[at], many) * p[arcs], n)
+            out[k] = ((p[at] + two[ends[at]]) ** 2).sum()
+    return sources, out
+
+
 def betweenness(edges: DataFrame, limit: int = LOCAL_EDGES, digits: int | None = 6) -> DataFrame:
-    """(item, betweenness) of an undirected graph, scaled to the number of pairs of other nodes; ``digits`` None: not rounded."""
-    return _summed_over_sources(edges, limit, _dependencies, "betweenness", digits)
+    """(item, betweenness) of an undirected graph, scaled to the number of pairs of other nodes; ``digits`` None: not rounded.
+
+    A graph of more than ``limit`` edges is not held by every task, but searched component by component.
+    """
+    if row_count_at_most(edges, limit):
+        return _summed_over_sources(edges, limit, _dependencies, "betweenness", digits)
+    found = _by_component(edges, _dependencies_of_all, "_s", False)
+    n = found.count()
+    value = F.coalesce("_s", F.lit(0.0)) / max((n - 1) * (n - 2), 1)
+    return found.select("item", (value if digits is None else F.round(value, digits)).alias("betweenness"))
 
 
 def load(edges: DataFrame, limit: int = LOCAL_EDGES, digits: int | None = 6) -> DataFrame:
@@ -304,7 +447,12 @@ def directed_betweenness(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def constraint_of_dense(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:
-    """(item, constraint), not rounded, of a graph that every task may hold: ``constraint`` where a join of all two-step paths is too long."""
+    """(item, constraint), not rounded: ``constraint`` where a join of all two-step paths is too long.
+
+    A graph of more than ``limit`` edges is not held by every task, but read component by component.
+    """
+    if not row_count_at_most(edges, limit):
+        return _by_component(edges, _constraints_of, "constraint", True)
     spark = edges.sparkSession
     names, *arrays = _arrays(edges, limit)
     graph = spark.sparkContext.broadcast((names, *arrays))

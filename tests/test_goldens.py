@@ -176,6 +176,21 @@ def test_dense_constraint_is_the_joined_one(spark):
     assert got == {r["item"]: r["constraint"] for r in graph.constraint(e).collect()}
 
 
+@pytest.mark.parametrize("searched", [1, 1e9])
+def test_graphs_beyond_one_task_by_components(spark, monkeypatch, searched):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    dense = {tuple(sorted(map(int, x))) for x in rng.integers(0, 30, (150, 2)) if x[0] != x[1]}
+    chain = {(100 + k, 101 + k) for k in range(210)} | {(100, 105)}
+    e = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", 1 + (a * b) % 4) for a, b in dense | chain | {(900, 901)}], "a string, b string, w long")
+    near = lambda x, y: x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-9 for k in x)
+    monkeypatch.setattr(graph, "SEARCHED", searched)
+    monkeypatch.setattr(graph, "CELLS", 200)
+    for f in (lambda limit: graph.betweenness(e, limit, digits=None), lambda limit: graph.constraint_of_dense(e, limit)):
+        assert near(dict(rows(f(10))), dict(rows(f(10_000))))
+
+
 def test_directed_betweenness(spark):
     links = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 5)], "src long, dst long")
     nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "item long")
