@@ -191,6 +191,14 @@ def test_graphs_beyond_one_task_by_components(spark, monkeypatch, searched):
         assert near(dict(rows(f(10))), dict(rows(f(10_000))))
 
 
+def test_collaboration_network_beyond_one_task(spark, monkeypatch):
+    m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "x"), (3, "y"), (4, "z")], "doc_id long, item string")
+    papers = spark.createDataFrame([(k, k) for k in range(1, 5)], "doc_id long, citation int")
+    monkeypatch.setattr(graph.betweenness, "__defaults__", (1, 6))
+    got = {r["item"]: (r["degree"], r["betweenness"]) for r in composite.collaboration_network(m, papers).collect()}
+    assert got == {"a": (1, 0.0), "b": (2, round(2 / 12, 6)), "c": (1, 0.0), "x": (1, 0.0), "y": (1, 0.0), "z": (0, 0.0)}
+
+
 def test_directed_betweenness(spark):
     links = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 5)], "src long, dst long")
     nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "item long")
