@@ -25,7 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import clean
-from quillmill.plans import broadcast_if_small, split_join, written
+from quillmill.plans import BROADCAST_ROWS, broadcast_if_small, looked_up, split_join, written
+
+#: Rows of a table of words or people that may pass through the driver; several such tables may be sent at once.
+FEW = BROADCAST_ROWS // 10
 
 # Nicknames of given names, small letters without accents; one may belong to several names.
 NICKNAMES = {
@@ -216,32 +219,33 @@ def _without_umlauts(c: Column) -> Column:
     return F.regexp_replace(c, "([oau])e", "$1")
 
 
-def repaired(words: DataFrame, ratio: float, shortest: int, rare: int = 0) -> DataFrame:
-    """(kind, word, fixed, score): words that are one typing error from a more frequent word of their kind.
+def repaired(words: DataFrame, ratio: float, shortest: int | Column, rare: int | Column = 0) -> DataFrame:
+    """(kind, word, fixed, score, n): words that are one typing error from a more frequent word of their kind.
 
     ``words`` is (kind, word, n). A word is replaced by the most frequent word that shares a rewriting with one letter left
-    out, if that one is ``ratio`` times as frequent, or at least as frequent and the word stands in ``rare`` names at most. The
-    distinct words of a rewriting are those with one letter put in, so there are never more of them than letters times places.
+    out, if that one is ``ratio`` times as frequent, or at least as frequent and the word stands in ``rare`` names at most;
+    ``shortest`` and ``rare`` may depend on the kind. The distinct words of a rewriting are those with one letter put in, so there are never more of them than letters times places.
     """
     long = words.where(F.length("word") >= shortest)
     gaps = F.concat(F.array(F.col("word")), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word")))))
     keyed = long.select("kind", "word", "n", F.explode(F.array_distinct(F.concat(gaps, F.array(_without_umlauts(F.col("word")))))).alias("_key"))
-    others = keyed.select("kind", "_key", F.col("word").alias("_w"), F.col("n").alias("_m"))
+    # the planner takes the exploded rows for as few as the words, and would send them through the driver
+    others = keyed.select("kind", "_key", F.col("word").alias("_w"), F.col("n").alias("_m")).hint("merge")
     ok = (F.col("_m") >= F.col("n") * ratio) | ((F.col("n") <= rare) & (F.struct(F.col("n"), F.col("word")) < F.struct(F.col("_m"), F.col("_w"))))
     met = keyed.join(others, ["kind", "_key"]).where(F.col("_w") != F.col("word")).where(ok).where(_near(F.col("word"), F.col("_w")))
-    found = met.groupBy("kind", "word").agg(F.max(F.struct("_m", "_w")).alias("_b"), F.countDistinct("_w").alias("_k"))
-    return written(found.select("kind", "word", F.col("_b._w").alias("fixed"), (1.0 / F.col("_k")).alias("score")), "fixes")
+    found = met.groupBy("kind", "word").agg(F.max(F.struct("_m", "_w")).alias("_b"), F.countDistinct("_w").alias("_k"), F.max("n").alias("n"))
+    return written(found.select("kind", "word", F.col("_b._w").alias("fixed"), (1.0 / F.col("_k")).alias("score"), "n"), "fixes")
 
 
 def _fix(df: DataFrame, kind: Column, word: str, fixes: DataFrame) -> DataFrame:
     """``df`` with the word replaced where it has a fix, by which the score is multiplied."""
-    table = broadcast_if_small(fixes.select(F.col("kind").alias("_kind"), F.col("word").alias(word), F.col("fixed").alias("_fixed"), F.col("score").alias("_by")))
-    joined = df.withColumn("_kind", kind).join(table, ["_kind", word], "left")
+    table = fixes.select(F.col("kind").alias("_kind"), F.col("word").alias(word), F.col("fixed").alias("_fixed"), F.col("score").alias("_by"), F.col("n").alias("_rows"))
+    joined = looked_up(df.withColumn("_kind", kind), table, ["_kind", word], "_rows", few=FEW)
     return joined.withColumns({word: F.coalesce("_fixed", word), "score": F.col("score") * F.coalesce("_by", F.lit(1.0))}).drop("_kind", "_fixed", "_by")
 
 
 def contracted(words: DataFrame) -> DataFrame:
-    """(kind, word, fixed, score): words with two consonants after their first letter, such as jrnl, by the word that they contract.
+    """(kind, word, fixed, score, n): words with two consonants after their first letter, such as jrnl, by the word that they contract.
 
     A word is contracted if letters between its first and last one are left out of a word 8 times as frequent; the most frequent
     such word counts if it is 3 times as frequent as any other.
@@ -250,10 +254,10 @@ def contracted(words: DataFrame) -> DataFrame:
     short = words.where(F.col("word").rlike("^[a-z][b-df-hj-np-tv-z]{2}")).select("kind", F.col("word").alias("short"), F.col("n").alias("_ns"), ends.alias("_e"))
     long = words.where(F.col("word").rlike("[aeiou]")).select("kind", "word", "n", ends.alias("_e"))
     left_out = F.levenshtein("short", "word") == F.length("word") - F.length("short")
-    met = short.join(broadcast_if_small(long), ["kind", "_e"]).where((F.length("word") > F.length("short")) & (F.col("n") >= 8 * F.col("_ns")) & left_out)
-    best = met.groupBy("kind", "short").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), asc=False), 1, 2).alias("_b"), F.count("*").alias("_k"))
+    met = short.join(broadcast_if_small(long, FEW), ["kind", "_e"]).where((F.length("word") > F.length("short")) & (F.col("n") >= 8 * F.col("_ns")) & left_out)
+    best = met.groupBy("kind", "short").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), asc=False), 1, 2).alias("_b"), F.count("*").alias("_k"), F.max("_ns").alias("n"))
     sure = (F.size("_b") == 1) | (F.col("_b")[0]["n"] >= 3 * F.try_element_at("_b", F.lit(2))["n"])
-    return written(best.where(sure).select("kind", F.col("short").alias("word"), F.col("_b")[0]["word"].alias("fixed"), (1.0 / F.col("_k")).alias("score")), "contractions")
+    return written(best.where(sure).select("kind", F.col("short").alias("word"), F.col("_b")[0]["word"].alias("fixed"), (1.0 / F.col("_k")).alias("score"), "n"), "contractions")
 
 
 def _without_countries(names: DataFrame) -> DataFrame:
@@ -261,7 +265,7 @@ def _without_countries(names: DataFrame) -> DataFrame:
     low = lambda c: F.trim(F.regexp_replace(clean.without_accents(F.lower(c)), "^[ .]+|[ .]+$", ""))
     known = names.where("country is not null").select(low(F.col("country")).alias("_last")).where("_last <> ''").distinct().withColumn("_is", F.lit(True))
     last = F.when((F.col("field_name") == "institution") & F.col("name").contains(","), low(F.substring_index("name", ",", -1)))
-    tried = names.withColumn("_last", last).join(broadcast_if_small(known), "_last", "left")
+    tried = names.withColumn("_last", last).join(broadcast_if_small(written(known, "known"), FEW), "_last", "left")
     return tried.withColumn("name", F.when(F.col("_is"), F.regexp_replace("name", ",[^,]*$", "")).otherwise(F.col("name"))).select(names.columns)
 
 
@@ -296,24 +300,36 @@ def _nicknamed(read: DataFrame, tables: Tables) -> DataFrame:
     full = read.where("g <> ''").select("s", "g").distinct()
     forms = full.join(table, "g").select("s", F.col("g").alias("_full"), F.col("nick").alias("g"))
     one = forms.groupBy("s", "g").agg(F.min("_full").alias("_full"), F.count("*").alias("_k")).where("_k = 1").join(full, ["s", "g"], "left_semi")
-    return read.join(broadcast_if_small(one.drop("_k")), ["s", "g"], "left").withColumn("g", F.coalesce("_full", "g")).drop("_full")
+    return read.join(broadcast_if_small(written(one.drop("_k"), "nicknamed"), FEW), ["s", "g"], "left").withColumn("g", F.coalesce("_full", "g")).drop("_full")
 
 
-def _authors(rows: DataFrame, tables: Tables) -> DataFrame:
-    """(name_id, entity, score) of persons."""
-    kind = F.lit("given")
-    counted = rows.where("g <> ''").groupBy(F.col("g").alias("word")).agg(F.count_if(F.col("cost") == 0).alias("n")).select(kind.alias("kind"), "word", "n")
-    named = _fix(rows.where("g <> ''"), kind, "g", repaired(counted, 8.0, 2))
-    usual = broadcast_if_small(counted.where("n > 0").select(F.col("word").alias("g"), F.col("n").alias("_gn")))
+def _ordered(rows: DataFrame, counted: DataFrame, fixes: DataFrame) -> DataFrame:
+    """One reading of each person's name, given names repaired: of the two orders the one whose given name is the more usual one."""
+    named = _fix(rows.where("g <> ''"), F.lit("given"), "g", fixes)
+    usual = counted.where("kind = 'given' and n > 0").select(F.col("word").alias("g"), F.col("n").alias("_gn"))
     # names of initials only do not pass the join
-    weighed = named.join(usual, "g", "left").withColumn("_gn", F.coalesce("_gn", F.lit(0))).unionByName(rows.where("g = ''").withColumn("_gn", F.lit(0).cast("bigint")))
-    # of the two orders the one whose given name is the more usual one
-    read = weighed.groupBy("name_id").agg(F.max_by(F.struct("s", "g", F.when(F.col("g") != "", F.substring("g", 1, 1)).otherwise(F.col("i")).alias("i"), "m", "country", "score"), F.struct("_gn", -F.col("cost"), "s")).alias("_r")).select("name_id", "_r.*")
+    weighed = looked_up(named, usual, ["g"], "_gn", keep="_gn", few=FEW).withColumn("_gn", F.coalesce("_gn", F.lit(0))).unionByName(rows.where("g = ''").withColumn("_gn", F.lit(0).cast("bigint")))
+    return weighed.groupBy("name_id").agg(F.max_by(F.struct("s", "g", F.when(F.col("g") != "", F.substring("g", 1, 1)).otherwise(F.col("i")).alias("i"), "m", "country", "score"), F.struct("_gn", -F.col("cost"), "s")).alias("_r")).select("name_id", "_r.*")
+
+
+def _respelled(people: DataFrame, schools: DataFrame) -> DataFrame:
+    """(field_name, kind and the columns of ``people``): surnames repaired among those of one initial, institutions' cores among those of one legal form.
+
+    Both are repaired by the same rule and in one table, so that there are half as many plans.
+    """
+    people = people.select(F.lit("author").alias("field_name"), F.when(F.col("i") != "", F.concat(F.lit("author|"), "i")).alias("kind"), *people.columns)
+    none = [F.lit(None).cast(people.schema[c].dataType).alias(c) for c in ("g", "i", "m", "country")]
+    read = people.unionByName(schools.select(F.lit("institution").alias("field_name"), F.concat(F.lit("institution|"), "cls").alias("kind"), "name_id", "s", *none, "score"))
     for _ in range(2):
         read = written(read, "read")
-        words = read.where("i <> ''").groupBy(F.col("i").alias("kind"), F.col("s").alias("word")).agg(F.count("*").alias("n"))
-        read = _fix(read, F.col("i"), "s", repaired(words, 3.0, 6, rare=2))
-    read = written(_nicknamed(written(read, "read"), tables).withColumn("i", F.when(F.col("g") != "", F.substring("g", 1, 1)).otherwise(F.col("i"))), "read")
+        words = read.where("kind is not null").groupBy("kind", F.col("s").alias("word")).agg(F.count("*").alias("n"))
+        read = _fix(read, F.col("kind"), "s", repaired(words, 3.0, 6, rare=2))
+    return written(read, "read")
+
+
+def _authors(read: DataFrame, tables: Tables) -> DataFrame:
+    """(name_id, entity, score) of persons, one reading each."""
+    read = written(_nicknamed(read, tables).withColumn("i", F.when(F.col("g") != "", F.substring("g", 1, 1)).otherwise(F.col("i"))), "read")
     full = read.where("g <> ''")
 
     def only(keys: list[str], n: int) -> DataFrame:
@@ -333,7 +349,7 @@ def _authors(rows: DataFrame, tables: Tables) -> DataFrame:
         .when((c("_k1") > 1) & (c("_k2") == 1), c("_g2"))
         .when((c("_k1") > 1) & (c("_k3") == 1) & agrees(c("m"), c("_m3"), c("_n3"), F.lit(None)), c("_g3"))
     )
-    solved = short.withColumn("_g", g)
+    solved = written(short.withColumn("_g", g), "solved")
     unknown = F.when(c("_k1").isNull(), F.concat_ws("|", F.lit("initials"), "s", "i")).when(c("_k1") == 1, F.concat_ws("|", F.lit("initials"), "s", "i", F.coalesce("country", F.lit("")), "m"))
     alone = F.concat(F.lit("name|"), F.col("name_id").cast("string"))
     left = solved.where("_g is null").select("name_id", F.coalesce(unknown, alone).alias("entity"), (c("score") / F.coalesce("_k1", F.lit(1))).alias("score"))
@@ -351,37 +367,32 @@ def _told_apart(people: DataFrame) -> DataFrame:
     lands = people.groupBy("s", "g").agg(F.min("country").alias("_c"), F.max("country").alias("_d"))
     by_middle = people.where("m <> ''").groupBy("s", "g", "m").agg(F.min("country").alias("_cm"), F.max("country").alias("_dm"))
     several = lands.where("_c <> _d").select("s", "g", F.lit(True).alias("_several"))
-    placed = people.join(broadcast_if_small(several), ["s", "g"], "left")
+    placed = people.join(broadcast_if_small(written(several, "several"), FEW), ["s", "g"], "left")
     apart = placed.where("_several").join(by_middle, ["s", "g", "m"], "left").withColumn("_land", F.coalesce("country", F.when(F.col("_cm") == F.col("_dm"), F.col("_cm"))))
     rows = placed.where("_several is null").withColumn("_land", F.lit("")).select("name_id", "s", "g", "m", "score", "_land").unionByName(apart.select("name_id", "s", "g", "m", "score", "_land"))
+    rows = written(rows, "placed")
     middles = rows.where("_land is not null").groupBy("s", "g", "_land").agg(F.min(middle).alias("_m"), F.max(middle).alias("_n")).where("_m <> _n").select("s", "g", "_land", F.lit(True).alias("_many"))
-    told = rows.join(broadcast_if_small(middles), ["s", "g", "_land"], "left")
+    told = rows.join(broadcast_if_small(written(middles, "middles"), FEW), ["s", "g", "_land"], "left")
     who = F.when(F.col("_land").isNotNull() & (F.col("_many").isNull() | (F.col("m") != "")), F.concat_ws("|", F.lit("person"), "s", "g", "_land", F.when(F.col("_many"), F.col("m")).otherwise("")))
     return told.select("name_id", F.coalesce(who, F.concat(F.lit("name|"), F.col("name_id").cast("string"))).alias("entity"), "score")
 
 
-def _institutions(rows: DataFrame) -> DataFrame:
-    """(name_id, entity, score) of institutions."""
-    read = rows.select("name_id", "cls", "s", "score")
-    for _ in range(2):
-        words = read.groupBy(F.col("cls").alias("kind"), F.col("s").alias("word")).agg(F.count("*").alias("n"))
-        read = _fix(read, F.col("cls"), "s", repaired(words, 3.0, 6, rare=2))
-    return read.select("name_id", F.concat_ws("|", F.lit("institution"), "cls", "s").alias("entity"), "score")
+def _title_words(rows: DataFrame) -> DataFrame:
+    return rows.select("name_id", "cls", "country", "score", F.explode("words").alias("w"))
 
 
-def _journals(rows: DataFrame, tables: Tables) -> DataFrame:
+def _journals(rows: DataFrame, counted: DataFrame, fixes: DataFrame, tables: Tables) -> DataFrame:
     """(name_id, entity, score) of journals: words repaired, abbreviated titles joined to the full one they abbreviate.
 
     A word of a title is abbreviated by its beginning, or by leaving out letters between its first and last one.
     """
-    words = rows.select("name_id", "cls", "country", "score", F.explode("words").alias("w"))
+    words = _title_words(rows)
     kind = F.lit("journal")
-    counted = written(words.groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n")).select(kind.alias("kind"), "word", "n"), "counted")
     # small words go, and with them those in which a letter was typed twice, an eighth as frequent or less
     small = counted.where(F.col("word").isin(*tables.small_words))
     twice = counted.select(F.col("word").alias("w"), F.col("n").alias("_n"), F.regexp_replace("word", "(.)\\1", "$1").alias("word")).join(F.broadcast(small), "word").where((F.col("w") != F.col("word")) & (F.col("_n") * 8 <= F.col("n")))  # as many rows as the table has small words
-    words = words.where(~F.col("w").isin(*tables.small_words)).join(broadcast_if_small(twice.select("w")), "w", "left_anti")
-    fixed = written(_fix(_fix(words, kind, "w", repaired(counted, 8.0, 5, rare=2)), kind, "w", contracted(counted)), "words")
+    words = words.where(~F.col("w").isin(*tables.small_words)).join(broadcast_if_small(written(twice.select("w"), "twice"), FEW), "w", "left_anti")
+    fixed = written(_fix(_fix(words, kind, "w", fixes), kind, "w", contracted(counted)), "words")
     start = F.substring("w", 1, 3)
     titles = fixed.groupBy("name_id", "cls", "country").agg(F.array_sort(F.collect_list("w")).alias("t"), F.array_join(F.array_sort(F.collect_list(start)), " ").alias("_key"), F.min("score").alias("score"))
     forms = written(titles.groupBy("cls", "_key", "t").agg(F.min("country").alias("_c")).withColumn("_len", F.length(F.array_join("t", ""))), "titles")
@@ -390,10 +401,10 @@ def _journals(rows: DataFrame, tables: Tables) -> DataFrame:
     fits = (F.size("t") == F.size("_big")) & F.forall(F.zip_with("t", "_big", lambda a, b: a.startswith(b) | b.startswith(a) | left_out(a, b)), lambda x: x)
     # the meeting of titles that agree in the starts of all their words, each distinct title once
     met = written(split_join(small, big, ["cls", "_key"]).where((F.col("_blen") > F.col("_len")) & fits), "met")
-    tops = met.join(met.select("cls", "_key", F.col("t").alias("_big")).distinct(), ["cls", "_key", "_big"], "left_anti")
+    tops = written(met.join(met.select("cls", "_key", F.col("t").alias("_big")).distinct(), ["cls", "_key", "_big"], "left_anti"), "tops")
     one = tops.groupBy("cls", "_key", "t").agg(F.count("*").alias("_n"), F.min("_big").alias("_only"))
     there = tops.where("_bc is not null").groupBy("cls", "_key", "t", F.col("_bc").alias("country")).agg(F.count("*").alias("_nc"), F.min("_big").alias("_onlyc"))
-    found = titles.join(broadcast_if_small(one), ["cls", "_key", "t"], "left").join(broadcast_if_small(there), ["cls", "_key", "t", "country"], "left")
+    found = titles.join(broadcast_if_small(one, FEW), ["cls", "_key", "t"], "left").join(broadcast_if_small(there, FEW), ["cls", "_key", "t", "country"], "left")
     title = F.when(F.col("_n") == 1, F.col("_only")).when(F.col("_nc") == 1, F.col("_onlyc")).otherwise(F.col("t"))
     return found.select("name_id", F.concat_ws("|", F.lit("journal"), "cls", F.array_join(title, " ")).alias("entity"), (F.col("score") / F.coalesce("_n", F.lit(1))).alias("score"))
 
@@ -409,10 +420,16 @@ def entities(forms: DataFrame, tables: Tables = TABLES) -> DataFrame:
     """
     names = forms.select("name_id", "field_name", clean.squeezed(F.col("name")).alias("name"), clean.present(F.col("country")).alias("country")).where("name_id is not null and field_name is not null").where(~clean.is_missing(F.col("name"))).distinct()
     rows = written(_rewritten(_without_countries(names), tables), "rewritings")
-    authors = _authors(rows.where("field_name = 'author'"), tables).withColumn("field_name", F.lit("author"))
-    institutions = _institutions(rows.where("field_name = 'institution'")).withColumn("field_name", F.lit("institution"))
-    others = rows.where("field_name not in ('author', 'institution')")
-    journals = _journals(others, tables).join(others.select("name_id", "field_name").distinct(), "name_id")
+    persons, titled = rows.where("field_name = 'author'"), rows.where("field_name not in ('author', 'institution')")
+    given = persons.where("g <> ''").groupBy(F.col("g").alias("word")).agg(F.count_if(F.col("cost") == 0).alias("n")).select(F.lit("given").alias("kind"), "word", "n")
+    counted = written(given.unionByName(_title_words(titled).groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n")).select(F.lit("journal").alias("kind"), "word", "n")), "counted")
+    is_given = F.col("kind") == "given"
+    fixes = repaired(counted, 8.0, F.when(is_given, 2).otherwise(5), rare=F.when(is_given, 0).otherwise(2))
+    read = _respelled(_ordered(persons, counted, fixes), rows.where("field_name = 'institution'"))
+    # each field by itself: a plan of all of them would be made anew at each of its stages
+    authors = written(_authors(read.where("field_name = 'author'").drop("field_name", "kind"), tables), "authors").withColumn("field_name", F.lit("author"))
+    institutions = read.where("field_name = 'institution'").select("name_id", F.concat(F.col("kind"), F.lit("|"), F.col("s")).alias("entity"), "score", "field_name")
+    journals = written(_journals(titled, counted.where("kind = 'journal'"), fixes, tables), "journals").join(titled.select("name_id", "field_name").distinct(), "name_id")
     found = authors.unionByName(institutions.where("entity <> 'institution||'")).unionByName(journals)
     found = written(found.select("name_id", "field_name", "entity", "score"), "found")
     # names of which the rules read nothing, such as numbers, agree if they are the same text

@@ -176,6 +176,41 @@ def test_an_entity_of_many_names(spark, monkeypatch):
     assert rows(names.linked(df)) == sorted([(a, b) for a in range(40) for b in range(a + 1, 40)], key=repr)
 
 
+def _odd_names(spark):
+    forms = [("author", n, c) for n, c in (("Peiklossen, Giuseppe", "France"), ("Beppe Peiklossen", None), ("Peikolssen, G.", "France"), ("Peiklossen, Giusepe M.", "Spain"), ("Wang, Wei M.", "China"), ("Wei J. Wang", "China"), ("Wang, W. J.", None), ("Lund, Pat", None), ("Lund, Patricia", None), ("Roe", None), ("...", None))]
+    forms += [("institution", n, "France") for n in ("University of Hagretrumann", "Hagretruman Univ.", "Univ Hagretrumann, France", "University of", "2001")]
+    forms += [("journal", n, None) for n in ("Advances in Marine Optics", "Advncs in Marine Optics", "ADV MAR OPT", "Marine Optics, Advnaces in", "Advances in Marine oof Optics")]
+    forms += [("journal", f"Advances in Field {x * 4}", None) for x in "xyzuvwstpq"] + [("author", f"{x * 3}el, Giuseppe", None) for x in "bcdfghkl"]
+    return spark.createDataFrame([(k, *x) for k, x in enumerate(forms)], "name_id long, field_name string, name string, country string")
+
+
+def test_words_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    words = spark.createDataFrame([("given", f"word{k}", k) for k in range(50)], "kind string, word string, n long")
+    words.write.parquet(str(tmp_path / "words"))
+    monkeypatch.setattr(names, "written", lambda df, name="table": df)
+    plan = names.repaired(spark.read.parquet(str(tmp_path / "words")), 3.0, 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_plans_of_names_stay_small(spark, monkeypatch):
+    joins = []
+
+    def written(df, name="table", write=names.written):
+        joins.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), name))
+        return write(df, name)
+
+    monkeypatch.setattr(names, "written", written)
+    names.entities(_odd_names(spark))
+    assert max(joins)[0] <= 6, sorted(joins)[-5:]
+
+
+def test_tables_of_names_too_large_to_be_sent(spark, monkeypatch):
+    want = rows(names.entities(_odd_names(spark)))
+    assert len({r[2] for r in want}) < len(want)
+    monkeypatch.setattr(names, "FEW", 0)
+    assert rows(names.entities(_odd_names(spark))) == want
+
+
 # 4 items -----------------------------------------------------------------------------------------
 
 
