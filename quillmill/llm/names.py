@@ -229,11 +229,12 @@ def repaired(words: DataFrame, ratio: float, shortest: int | Column, rare: int |
     long = words.where(F.length("word") >= shortest)
     gaps = F.concat(F.array(F.col("word")), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word")))))
     keyed = long.select("kind", "word", "n", F.explode(F.array_distinct(F.concat(gaps, F.array(_without_umlauts(F.col("word")))))).alias("_key"))
-    # the planner takes the exploded rows for as few as the words, and would send them through the driver
-    others = keyed.select("kind", "_key", F.col("word").alias("_w"), F.col("n").alias("_m")).hint("merge")
-    ok = (F.col("_m") >= F.col("n") * ratio) | ((F.col("n") <= rare) & (F.struct(F.col("n"), F.col("word")) < F.struct(F.col("_m"), F.col("_w"))))
-    met = keyed.join(others, ["kind", "_key"]).where(F.col("_w") != F.col("word")).where(ok).where(_near(F.col("word"), F.col("_w")))
-    found = met.groupBy("kind", "word").agg(F.max(F.struct("_m", "_w")).alias("_b"), F.countDistinct("_w").alias("_k"), F.max("n").alias("n"))
+    # both sides are named alike, so that they share one shuffle; the planner takes the exploded rows for as few as the words, and would
+    # send them through the driver
+    side = lambda word, n: keyed.select("kind", "_key", F.col("word").alias(word), F.col("n").alias(n))
+    ok = (F.col("_m") >= F.col("_n") * ratio) | ((F.col("_n") <= rare) & (F.struct(F.col("_n"), F.col("_v")) < F.struct(F.col("_m"), F.col("_w"))))
+    met = side("_v", "_n").join(side("_w", "_m").hint("merge"), ["kind", "_key"]).where(F.col("_w") != F.col("_v")).where(ok).where(_near(F.col("_v"), F.col("_w")))
+    found = met.groupBy("kind", F.col("_v").alias("word")).agg(F.max(F.struct("_m", "_w")).alias("_b"), F.countDistinct("_w").alias("_k"), F.max("_n").alias("n"))
     return written(found.select("kind", "word", F.col("_b._w").alias("fixed"), (1.0 / F.col("_k")).alias("score"), "n"), "fixes")
 
 
