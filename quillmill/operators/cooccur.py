@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillmill.operators.entity import presence
 from quillmill.plans import broadcast_if_small, split_join, written
 from quillmill.plans.pairing import PAIR_BLOCK
+from quillmill.plans.ranking import ranked
 
 #: Items of a paper in one slice.
 SLICE = 500
@@ -37,6 +38,14 @@ def edges(mentions: DataFrame, item: str = "item", least: int = 1) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("w")).where(F.col("w") >= least)
 
 
+def numbered_edges(mentions: DataFrame, item: str = "item") -> tuple[DataFrame, DataFrame]:
+    """:func:`edges` between the numbers of items, written, and the table (item, number) of all items: where nearly every pair is met, names fill the disk."""
+    items = mentions.where(F.col(item).isNotNull()).select(F.col(item).alias("item")).distinct()
+    names = written(ranked(items, [F.col("item")]).select("item", F.col("rank").cast("bigint").alias("number")), "names")
+    found = mentions.select("doc_id", F.col(item).alias("item")).join(broadcast_if_small(names), "item").select("doc_id", F.col("number").alias("item"))
+    return written(edges(found), "pairs"), names
+
+
 def position_edges(mentions: DataFrame, item: str = "item") -> DataFrame:
     """(a, b, w): ordered pairs of different positions within papers; repeated items make loops and count again."""
     lists = mentions.where(F.col(item).isNotNull()).groupBy("doc_id").agg(F.collect_list(item).alias("_i")).where(F.size("_i") > 1)

@@ -7,9 +7,17 @@ sources over the tasks.
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import heapq
+import os
+import shutil
+import tempfile
+import uuid
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +37,9 @@ CELLS, ROWS = 2_000_000, 256
 #: Nodes times arcs of a component that one task searches; a larger one is searched by several, each from its share of the nodes.
 SEARCHED = 2_000_000_000
 
+#: Edges of the largest component that a task holds; the arcs of a larger one are read from a file. Arcs that are followed at once there.
+HELD, PIECE = 2_000_000, 8_000_000
+
 #: Arcs of the longest chain that is followed; beyond it there is an error, never a part of a result.
 LONGEST_CHAIN = 10_000
 
@@ -309,12 +320,13 @@ def _by_component(edges: DataFrame, search, column: str, weighted: bool) -> Data
     nodes = written(nodes, "nodes")
     table = broadcast_if_small(nodes, 50_000)
     links = edges.where("a <> b").join(table.toDF("a", "component", "_i"), "a").join(table.select(F.col("item").alias("b"), F.col("k").alias("_j")), "b")
-    # one row for each node, as a component that several tasks search is sent to each of them
-    lists = links.groupBy("component", "_i").agg(F.collect_list(F.struct("_j", F.col("w").cast("double").alias("w")) if weighted else F.struct("_j")).alias("_l"))
+    # rows of a node's neighbours, as a component that several tasks search is sent to each of them; a long list is cut
+    lists = links.groupBy("component", "_i", F.floor(F.col("_j") / 4096)).agg(F.collect_list(F.struct("_j", F.col("w").cast("double").alias("w")) if weighted else F.struct("_j")).alias("_l"))
     links = written(lists.select("component", "_i", F.col("_l._j").alias("_j"), *([F.col("_l.w").alias("w")] if weighted else [])), "links")
-    sizes = links.groupBy("component").agg(F.sum(F.size("_j")).alias("_m")).join(nodes.groupBy("component").agg(F.count("*").alias("_n")), "component")
     most = edges.sparkSession.sparkContext.defaultParallelism
-    sizes = sizes.select("component", F.col("_n").cast("int").alias("_n"), F.least(F.ceil(2.0 * F.col("_m") * F.col("_n") / SEARCHED), F.lit(most)).cast("int").alias("_parts"))
+    weights = [F.min(F.array_min("w")).alias("_lo"), F.max(F.array_max("w")).alias("_hi"), F.min(F.forall("w", lambda x: x == F.floor(x))).alias("_whole")] if weighted else [F.lit(1.0).alias("_lo"), F.lit(1.0).alias("_hi"), F.lit(True).alias("_whole")]
+    sizes = links.groupBy("component").agg(F.sum(F.size("_j")).alias("_m"), *weights).join(nodes.groupBy("component").agg(F.count("*").cast("int").alias("_n")), "component")
+    sizes = written(sizes, "sizes").withColumn("_parts", F.least(F.ceil(2.0 * F.col("_m") * F.col("_n") / SEARCHED), F.lit(most)).cast("int"))
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         n, parts, part, component = int(d["_n"].iat[0]), int(d["_parts"].iat[0]), int(d["_part"].iat[0]), d["component"].iat[0]
@@ -329,10 +341,199 @@ def _by_component(edges: DataFrame, search, column: str, weighted: bool) -> Data
         k, x = search(starts, ends, w, np.arange(part, n, parts))
         return pd.DataFrame({"component": component, "k": k.astype(np.int32), "x": x})
 
-    each = links.join(broadcast_if_small(sizes, 50_000), "component").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    held = sizes.where(F.col("_m") <= HELD).select("component", "_n", "_parts")
+    each = links.join(broadcast_if_small(held, 50_000), "component").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     kind = nodes.schema["component"].dataType.simpleString()
-    found = each.groupBy("component", "_part").applyInPandas(run, f"component {kind}, k int, x double").groupBy("component", "k").agg(F.sum("x").alias(column))
-    return written(nodes.join(found, ["component", "k"], "left").select("item", column), "searched")
+    found = each.groupBy("component", "_part").applyInPandas(run, f"component {kind}, k int, x double")
+    if large := sizes.where(F.col("_m") > HELD).collect():  # one row for millions of edges
+        found = found.unionByName(_from_files(links, large, search, weighted, most))
+    return written(nodes.join(found.groupBy("component", "k").agg(F.sum("x").alias(column)), ["component", "k"], "left").select("item", column), "searched")
+
+
+def _from_files(links: DataFrame, large: list, search, weighted: bool, parts: int) -> DataFrame:
+    """(component, k, x): what ``search`` gives for the components of ``large``, rows with their sizes and weights.
+
+    Each task searches from its share of the nodes. It reads all arcs, of which the tasks of a machine share one file, and holds
+    only those that it follows.
+    """
+    spark, name = links.sparkSession, f"quillmill-arcs-{uuid.uuid4().hex}"
+    table = spark.createDataFrame([(r["component"], c) for c, r in enumerate(large)], f"component {links.schema['component'].dataType.simpleString()}, _c int")
+    sizes = [(r["_n"], r["_m"], _weight_kind(r["_lo"], r["_hi"], r["_whole"])) for r in large]
+    arcs = links.join(F.broadcast(table), "component").select("_c", "_i", "_j", *(["w"] if weighted else []))  # a row for millions of edges
+    # each part reads the table by itself, so that the arcs are neither shuffled nor stored for each of them; the last one is empty
+    # and cut into several, without which the union would put the others, of one task each, into one
+    wanted = [arcs.coalesce(1).withColumn("_part", F.lit(part)) for part in range(parts)]
+    each = reduce(DataFrame.unionAll, [*wanted, arcs.where("_i < 0").withColumn("_part", F.lit(parts))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (first := next(batches, None)) is None:
+            return
+        part = first["_part"][0].as_py()
+        with _filed(name, chain([first], batches), sizes) as graphs:
+            for c, (starts, ends, w) in enumerate(graphs):
+                k, x = search(starts, ends, w, np.arange(part, len(starts) - 1, parts))
+                for at in range(0, len(k), ROWS * ROWS):
+                    own = slice(at, at + ROWS * ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[own]), c, np.int32)), pa.array(k[own].astype(np.int32)), pa.array(x[own])], ["_c", "k", "x"])
+
+    return each.mapInArrow(run, "_c int, k int, x double").join(F.broadcast(table), "_c").select("component", "k", "x")  # a row for millions of edges
+
+
+def _weight_kind(low: float, high: float, whole: bool) -> str:
+    """The smallest type that holds the weights; none where all are 1."""
+    if low == high == 1:
+        return ""
+    return next((k for k, most in (("u1", 2**8), ("u2", 2**16), ("u4", 2**32)) if whole and low >= 0 and high < most), "f8")
+
+
+@contextlib.contextmanager
+def _filed(name: str, batches: Iterator[pa.RecordBatch], sizes: list[tuple[int, int, str]]) -> Iterator[list[tuple]]:
+    """For each component its offsets, ends and weights, in files of this machine that the first task writes and the last one deletes."""
+    folder = os.path.join(tempfile.gettempdir(), name)
+    with open(f"{folder}.lock", "a") as lock, open(f"{folder}.used", "a") as used:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.isdir(folder):
+            made = tempfile.mkdtemp(prefix=f"{name}-")
+            try:
+                _file(made, batches, sizes)
+                os.rename(made, folder)
+            except BaseException:
+                shutil.rmtree(made, ignore_errors=True)
+                raise
+        fcntl.flock(used, fcntl.LOCK_SH)
+        fcntl.flock(lock, fcntl.LOCK_UN)
+        for _ in batches:  # what another task has written
+            pass
+        try:
+            of = lambda c, what, kind: np.asarray(np.memmap(f"{folder}/{c}-{what}", kind, "r"))
+            yield [(np.load(f"{folder}/{c}-starts.npy"), of(c, "ends", _end_kind(n)), of(c, "w", kind) if kind else None) for c, (n, _, kind) in enumerate(sizes)]
+        finally:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            with contextlib.suppress(BlockingIOError):
+                fcntl.flock(used, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                shutil.rmtree(folder, ignore_errors=True)
+
+
+def _end_kind(n: int) -> str:
+    return "u2" if n <= 2**16 else "u4"
+
+
+def _file(folder: str, batches: Iterator[pa.RecordBatch], sizes: list[tuple[int, int, str]]) -> None:
+    """Writes the arcs of each component in both directions, by their first node and, within it, their second."""
+    degrees = [np.zeros(n, np.int64) for n, _, _ in sizes]
+    parts = ("a", "b", "v")
+    with contextlib.ExitStack() as open_files:
+        raw = [[open_files.enter_context(open(f"{folder}/{c}-{x}", "wb")) for x in parts] for c in range(len(sizes))]
+        for batch in batches:
+            of = batch["_c"].to_numpy()
+            for c in np.unique(of):
+                d, (n, _, kind) = (batch if (of == c).all() else batch.filter(pa.array(of == c))), sizes[c]
+                many = d["_j"].value_lengths().to_numpy()
+                a, b = np.repeat(d["_i"].to_numpy(), many), d["_j"].flatten().to_numpy()
+                degrees[c] += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+                for f, x, to in zip(raw[c], (a, b, d["w"].flatten().to_numpy() if kind else None), (_end_kind(n), _end_kind(n), kind), strict=True):
+                    if x is not None:
+                        f.write(memoryview(x.astype(to)))
+    for c, (n, m, kind) in enumerate(sizes):
+        starts = np.concatenate([[0], np.cumsum(degrees[c])])
+        free = starts[:-1].copy()
+        a, b = (np.asarray(np.memmap(f"{folder}/{c}-{x}", _end_kind(n), "r")) for x in "ab")
+        v = np.asarray(np.memmap(f"{folder}/{c}-v", kind, "r")) if kind else None
+        if len(a) != m:
+            raise RuntimeError(f"{len(a)} of {m} edges came")
+        ends, w = (np.asarray(np.memmap(f"{folder}/{c}-{x}", to, "w+", shape=2 * m)) if to else None for x, to in (("ends", _end_kind(n)), ("w", kind)))
+        for k in range(0, m, PIECE // 8):
+            own = slice(k, k + PIECE // 8)
+            src, dst = np.concatenate([a[own], b[own]]), np.concatenate([b[own], a[own]])
+            order = np.argsort(src, kind="stable")
+            src, many = src[order], np.bincount(src, minlength=n)
+            at = free[src] + np.arange(len(src)) - (np.cumsum(many) - many)[src]
+            ends[at] = dst[order]
+            if kind:
+                w[at] = np.tile(v[own], 2)[order]
+            free += many
+        for k in range(n):
+            own = slice(starts[k], starts[k + 1])
+            if kind:
+                order = np.argsort(ends[own], kind="stable")
+                w[own] = w[own][order]
+                ends[own] = ends[own][order]
+            else:
+                ends[own].sort()
+        np.save(f"{folder}/{c}-starts.npy", starts)
+        for x in parts:
+            os.remove(f"{folder}/{c}-{x}")
+
+
+def _pieces(starts: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+    """``nodes`` in parts of about ``PIECE`` arcs."""
+    arcs = np.cumsum(starts[nodes + 1] - starts[nodes])
+    return np.split(nodes, np.flatnonzero(np.diff(arcs // PIECE)) + 1)
+
+
+def _taken(xs: np.ndarray, starts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """What stands in ``xs`` for the arcs of ``nodes``."""
+    if starts[nodes + 1].sum() - starts[nodes].sum() > 100 * len(nodes):
+        return np.concatenate([xs[a:b] for a, b in zip(starts[nodes].tolist(), starts[nodes + 1].tolist(), strict=True)])
+    return xs[_arcs_of(starts, nodes)[1]]
+
+
+class _Near:
+    """Sums over the arcs of nodes, each of which has some; the arcs last followed stay, if they are few, as they are often followed back next."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray, w: np.ndarray | None = None) -> None:
+        self.starts, self.ends, self.w, self.n = starts, ends, w, len(starts) - 1
+        self.many = np.diff(starts)
+        self.last: tuple[np.ndarray | None, np.ndarray | None] = (None, None)
+
+    def _ends(self, nodes: np.ndarray) -> np.ndarray:
+        if self.last[0] is not nodes:
+            self.last = (None, None)
+            self.last = (nodes, _taken(self.ends, self.starts, nodes).astype(np.intp))
+        return self.last[1]
+
+    def _parts(self, nodes: np.ndarray) -> list[np.ndarray]:
+        return [nodes] if self.many[nodes].sum() <= PIECE else _pieces(self.starts, nodes)
+
+    def gathered(self, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """For each of ``nodes`` the sum of ``x`` over its neighbours, times the weights if there are any."""
+        out = []
+        for own in self._parts(nodes):
+            values = x[self._ends(own)]
+            if self.w is not None:
+                values *= _taken(self.w, self.starts, own)
+            out.append(np.add.reduceat(values, np.cumsum(self.many[own]) - self.many[own]))
+        return np.concatenate(out)
+
+    def scattered(self, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """What each node has if every one of ``nodes`` sends its ``x`` to all neighbours."""
+        out = np.zeros(self.n)
+        for own in self._parts(nodes):
+            same = (x[own] == x[own[0]]).all()
+            out += np.bincount(self._ends(own), None if same else np.repeat(x[own], self.many[own]), self.n) * (x[own[0]] if same else 1.0)
+        return out
+
+    def dependencies(self, s: int) -> np.ndarray:
+        """As :func:`_dependencies`, of a connected graph; between two levels the arcs of that side are followed which has fewer."""
+        seen, sigma, delta = np.zeros(self.n, bool), np.zeros(self.n), np.zeros(self.n)
+        seen[s], sigma[s] = True, 1.0
+        levels, rest = [np.array([s])], np.flatnonzero(~seen)
+        while len(rest):
+            near = levels[-1]
+            if self.many[near].sum() <= self.many[rest].sum():
+                got = self.scattered(sigma, near)[rest]
+            else:
+                before = np.zeros(self.n)
+                before[near] = sigma[near]
+                got = self.gathered(before, rest)
+            far, rest = rest[got > 0], rest[got == 0]
+            sigma[far] = got[got > 0]
+            levels.append(far)
+        for near, far in zip(levels[-2:0:-1], levels[:1:-1], strict=True):
+            share = np.zeros(self.n)
+            share[far] = (1 + delta[far]) / sigma[far]
+            delta[near] = sigma[near] * (self.gathered(share, near) if self.many[near].sum() <= self.many[far].sum() else self.scattered(share, far)[near])
+        return delta
 
 
 def _through(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray | None) -> np.ndarray:
@@ -359,9 +560,10 @@ def _dependencies_of_all(starts: np.ndarray, ends: np.ndarray, w: None, sources:
     """
     n = len(starts) - 1
     total = np.zeros(n)
-    if n * n > 100 * len(ends):
+    if n * n > 8 * len(ends) or n > CELLS // 50:  # products of few rows with many are not worth it
+        near = _Near(starts, ends)
         for s in sources:
-            total += _dependencies(starts, ends, s)
+            total += near.dependencies(s)
         return np.arange(n), total
     for own in np.split(sources, range(max(1, CELLS // n), len(sources), max(1, CELLS // n))):
         front = _matrix(starts, ends, None, own)
@@ -379,22 +581,25 @@ def _dependencies_of_all(starts: np.ndarray, ends: np.ndarray, w: None, sources:
     return np.arange(n), total
 
 
-def _constraints_of(starts: np.ndarray, ends: np.ndarray, w: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _constraints_of(starts: np.ndarray, ends: np.ndarray, w: np.ndarray | None, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without weights, all are 1."""
     n = len(starts) - 1
-    src = np.repeat(np.arange(n), np.diff(starts))
-    p = w / np.bincount(src, w, n)[src]
     out = np.zeros(len(sources))
-    step = max(1, CELLS // n) if n * n <= 100 * len(ends) else 1
-    for k in range(0, len(sources), step):
-        own = sources[k : k + step]
-        if step > 1:
-            direct = _matrix(starts, ends, p, own)
+    near = _Near(starts, ends, w)
+    totals = near.many.astype(float) if w is None else np.concatenate([np.add.reduceat(_taken(w, starts, own).astype(float), np.cumsum(near.many[own]) - near.many[own]) for own in _pieces(starts, np.arange(n))])
+    if n * n <= 100 * len(ends) <= 200 * HELD:
+        p = (np.ones(len(ends)) if w is None else w) / np.repeat(totals, near.many)
+        for k in range(0, len(sources), step := max(1, CELLS // n)):
+            direct = _matrix(starts, ends, p, sources[k : k + step])
             out[k : k + step] = np.where(direct > 0, (direct + _through(direct, starts, ends, p)) ** 2, 0.0).sum(axis=1)
-        else:
-            at = slice(starts[own[0]], starts[own[0] + 1])
-            many, arcs = _arcs_of(starts, ends[at])
-            two = np.bincount(ends[arcs], np.repeat(p[at], many) * p[arcs], n)
-            out[k] = ((p[at] + two[ends[at]]) ** 2).sum()
+        return sources, out
+    for k, s in enumerate(sources):
+        at = slice(starts[s], starts[s + 1])
+        others = ends[at].astype(np.intp)
+        p = (1.0 if w is None else w[at]) / np.full(len(others), totals[s])
+        sent = np.zeros(n)
+        sent[others] = p / totals[others]
+        out[k] = ((p + near.gathered(sent, others)) ** 2).sum()
     return sources, out
 
 

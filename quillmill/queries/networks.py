@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import citation, composite, cooccur, entity, graph, temporal
-from quillmill.plans import checkpointed, written
+from quillmill.plans import checkpointed
 from quillmill.sources.views import SQL, Views
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,10 +111,11 @@ r AS (SELECT n.item, n.n_docs, coalesce(b.b / greatest((m - 1) * (m - 2), 1), 0)
 z AS (SELECT item, """ + ", ".join(f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) * 1.0 / (max({c}) OVER () - min({c}) OVER ()) ELSE 0.5 END AS z_{c}" for c in ("b", "s", "k", "n_docs")) + " FROM r) SELECT item, round(0.45 * z_b + 0.25 * z_s + 0.20 * (1 - z_k) + 0.10 * z_n_docs, 6) AS score FROM z")
 def brokerage(v: Views) -> DataFrame:
     mentions = v.authors.select("doc_id", F.col("author").alias("item"))
-    edges = written(cooccur.edges(mentions), "pairs")
+    pairs, names = cooccur.numbered_edges(mentions)
     docs = entity.presence(mentions).groupBy("item").agg(F.count("*").alias("n_docs"))
+    found = graph.betweenness(pairs, digits=None).join(graph.degree(pairs).select("item", "strength"), "item").join(graph.constraint_of_dense(pairs), "item", "left").withColumnRenamed("item", "number")
     # every author has a row: one without partners has no paths and no strength, and its constraint counts as the greatest
-    parts = docs.join(graph.betweenness(edges, digits=None), "item", "left").join(graph.degree(edges).select("item", "strength"), "item", "left").join(graph.constraint_of_dense(edges), "item", "left")
+    parts = docs.join(names.join(found, "number").drop("number"), "item", "left")
     return composite.brokerage(checkpointed(parts.fillna(0, ["betweenness", "strength"])))
 
 

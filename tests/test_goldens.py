@@ -191,6 +191,36 @@ def test_graphs_beyond_one_task_by_components(spark, monkeypatch, searched):
         assert near(dict(rows(f(10))), dict(rows(f(10_000))))
 
 
+@pytest.mark.parametrize(("piece", "weight"), [(40, 1), (10_000, 4), (40, 2.5), (40, 70_000)])
+def test_large_components_are_read_from_files(spark, monkeypatch, tmp_path, piece, weight):
+    rng = np.random.default_rng(8)
+    near = {tuple(sorted(map(int, x))) for x in rng.integers(0, 60, (150, 2)) if x[0] != x[1]} | {(k, k + 1) for k in range(70)} | {(k, k + 1) for k in range(200, 240)} | {(300, 301)}
+    e = spark.createDataFrame([(a, b, 1.0 + (weight - 1) * (a * b % 2)) for a, b in near], "a long, b long, w double")
+    want = dict(rows(graph.betweenness(e, digits=None))), dict(rows(graph.constraint_of_dense(e)))
+    for name, value in (("HELD", 20), ("PIECE", piece), ("CELLS", 200)):
+        monkeypatch.setattr(graph, name, value, raising=False)
+    got = dict(rows(graph.betweenness(e, 10, digits=None))), dict(rows(graph.constraint_of_dense(e, 10)))
+    assert all(x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-9 for k in x) for x, y in zip(got, want, strict=True))
+
+
+def test_searches_hold_few_arcs(monkeypatch):
+    import tracemalloc
+
+    n, rng = 3_000, np.random.default_rng(9)
+    a, b = np.nonzero(np.triu(rng.random((n, n)) < 0.04, 1))
+    src, ends = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort([ends, src])
+    starts, ends = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), ends[order].astype("u2")
+    monkeypatch.setattr(graph, "PIECE", 20_000, raising=False)
+    monkeypatch.setattr(graph, "HELD", 20_000, raising=False)
+    for search, w in ((graph._dependencies_of_all, None), (graph._constraints_of, np.ones(len(ends), "u1"))):
+        tracemalloc.start()
+        search(starts, ends, w, np.arange(3))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 2e6 < 8 * len(ends)
+
+
 def test_collaboration_network_beyond_one_task(spark, monkeypatch):
     m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "x"), (3, "y"), (4, "z")], "doc_id long, item string")
     papers = spark.createDataFrame([(k, k) for k in range(1, 5)], "doc_id long, citation int")
