@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import clean
-from quillmill.operators.cooccur import edges
+from quillmill.operators.cooccur import numbered_edges
 from quillmill.operators.entity import impact_indices, presence
 from quillmill.operators.graph import betweenness, degree
-from quillmill.plans import broadcast_if_small, written
+from quillmill.plans import broadcast_if_small
 
 
 def leading(stats: DataFrame, top: int, production: str = "n_docs", impact: str = "impact", key: str = "item") -> DataFrame:
@@ -85,8 +85,9 @@ def brokerage(parts: DataFrame) -> DataFrame:
 
 def collaboration_network(entities: DataFrame, papers: DataFrame, digits: int = 6) -> DataFrame:
     """:func:`collaboration_impact` with the degree, strength and betweenness of each entity in the graph of those that share papers; 0 for those alone."""
-    pairs = written(edges(entities), "pairs")
-    out = collaboration_impact(entities, papers).join(degree(pairs).select("item", "degree", "strength"), "item", "left").join(betweenness(pairs, digits=digits), "item", "left")
+    pairs, names = numbered_edges(entities)
+    found = degree(pairs).select("item", "degree", "strength").join(betweenness(pairs, digits=digits), "item").withColumnRenamed("item", "number")
+    out = collaboration_impact(entities, papers).join(names.join(found, "number").drop("number"), "item", "left")
     return out.fillna(0, ["degree", "strength", "betweenness"])
 
 

@@ -229,6 +229,14 @@ def test_collaboration_network_beyond_one_task(spark, monkeypatch):
     assert got == {"a": (1, 0.0), "b": (2, round(2 / 12, 6)), "c": (1, 0.0), "x": (1, 0.0), "y": (1, 0.0), "z": (0, 0.0)}
 
 
+def test_numbered_edges_are_short(spark):
+    m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (2, None), (4, "z")], "doc_id long, item string")
+    pairs, names = cooccur.numbered_edges(m)
+    of = {r["number"]: r["item"] for r in names.collect()}
+    assert sorted(of.values()) == ["a", "b", "c", "z"] and pairs.dtypes[:2] == [("a", "bigint"), ("b", "bigint")]
+    assert sorted((of[r["a"]], of[r["b"]], r["w"]) for r in pairs.collect()) == [("a", "b", 1), ("b", "c", 1)]
+
+
 def test_directed_betweenness(spark):
     links = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 5)], "src long, dst long")
     nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "item long")
