@@ -587,11 +587,10 @@ def _constraints_of(starts: np.ndarray, ends: np.ndarray, w: np.ndarray | None,
     out = np.zeros(len(sources))
     near = _Near(starts, ends, w)
     totals = near.many.astype(float) if w is None else np.concatenate([np.add.reduceat(_taken(w, starts, own).astype(float), np.cumsum(near.many[own]) - near.many[own]) for own in _pieces(starts, np.arange(n))])
-    if n * n <= 100 * len(ends) <= 200 * HELD:
-        p = (np.ones(len(ends)) if w is None else w) / np.repeat(totals, near.many)
+    if n * n <= 8 * len(ends) and n <= CELLS // 50:
         for k in range(0, len(sources), step := max(1, CELLS // n)):
-            direct = _matrix(starts, ends, p, sources[k : k + step])
-            out[k : k + step] = np.where(direct > 0, (direct + _through(direct, starts, ends, p)) ** 2, 0.0).sum(axis=1)
+            direct = _matrix(starts, ends, w, sources[k : k + step]) / totals[sources[k : k + step], None]
+            out[k : k + step] = np.where(direct > 0, (direct + _through(direct / totals, starts, ends, w)) ** 2, 0.0).sum(axis=1)
         return sources, out
     for k, s in enumerate(sources):
         at = slice(starts[s], starts[s + 1])
